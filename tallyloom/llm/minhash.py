@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     banded = reps.select("id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(banded.join(shared.select("key", "centre"), "key"), "members")
+    shared = scratch.save(shared.select("key", "centre"), "shared")
+    members = scratch.save(banded.join(shared, "key"), "members")
     sketches = reps.select("id", "n_shingles", "sketch", "parity")
     limit = most_differing_bits(bands * rows, percent / 100 - slack)
     by_size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent

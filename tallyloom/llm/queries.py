@@ -42,10 +42,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_digests
+
+    return substring_digests(table(spark, sf_dir, "documents"), length=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.

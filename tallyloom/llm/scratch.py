@@ -7,6 +7,7 @@ one made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,9 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
+        # Shuffle files of the finished step go only once the driver's JVM has collected its plan.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
