@@ -151,6 +151,7 @@ def pack(pieces: DataFrame, capacity: int, block_rows: int = 20_000) -> DataFram
     for length, first_rank, each, first_bin, offset in plan(counts, capacity):
         slabs[length][0].append(first_rank)
         slabs[length][1].append((first_rank, each, first_bin, offset))
+    names = pieces.columns
     shared = pieces.sparkSession.sparkContext.broadcast(dict(slabs))  # by length; bounded by capacity, not by rows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +162,12 @@ def pack(pieces: DataFrame, capacity: int, block_rows: int = 20_000) -> DataFram
                 first_rank, each, first_bin, offset = found[bisect_right(ranks, rank) - 1]
                 bins.append(first_bin + (rank - first_rank) // each)
                 offsets.append(offset + (rank - first_rank) % each * length)
-            columns = [batch.column(c) for c in pieces.columns] + [pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*pieces.columns, "sequence_id", "offset"])
+            columns = [batch.column(c) for c in names] + [pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
     within = Window.partitionBy("length", "__block").orderBy(*keys)
     ranked = blocked.withColumn("__in", F.row_number().over(within)).join(starts, ["length", "__block"])
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__in") - 1).alias("__rank"))
+    ranked = ranked.select(*names, (F.col("__before") + F.col("__in") - 1).alias("__rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 

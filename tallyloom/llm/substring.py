@@ -346,9 +346,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFra
     scratch = Scratch(docs.sparkSession, "substring")
     rows, candidates, spans = repeated_spans(docs, scratch, length, gram)
     cut_ = cut(candidates.select("doc_id", "text").join(spans, "doc_id"), length, gram).where("n_removed > 0")
-    cut_ = cut_.select(F.col("doc_id").alias("__id"), F.col("name").alias("__name"), F.col("kept").cast("string").alias("__kept")).distinct()
-    copies = rows.where("copy").select(F.col("doc_id").alias("__id"), F.lit("").alias("__empty"))
-    named = docs.withColumn("__text", F.xxhash64("text"))
-    out = named.join(cut_, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__name")), "left").drop("__id")
-    out = out.join(copies, F.col("doc_id") == F.col("__id"), "left").withColumn("text", F.coalesce("__empty", "__kept", "text"))
-    return out.select(*docs.columns)
+    copies = rows.where("copy").select("doc_id", F.lit(None).cast("long").alias("name"), F.lit(b"").alias("kept"))  # whatever the text
+    changed = cut_.select("doc_id", "name", "kept").unionByName(copies).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("name", "kept")).alias("__new"))
+    new = F.filter("__new", lambda x: x["name"].isNull() | (x["name"] == F.xxhash64("text")))
+    text = F.when(F.size(new) > 0, new[0]["kept"].cast("string")).otherwise(F.col("text"))
+    return docs.join(changed, F.col("doc_id") == F.col("__id"), "left").withColumn("text", text).select(*docs.columns)
