@@ -57,6 +57,27 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vecdedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~remainder_is(3, 1)))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", remainder_is(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_digests
 
@@ -75,6 +96,9 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
