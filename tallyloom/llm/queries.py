@@ -63,6 +63,12 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_languages, identify
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_masked_lm": op6_masked_lm,
     "op7_language_id": op7_language_id,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
