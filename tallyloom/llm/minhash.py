@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     scratch = Scratch(spark, "minhash")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     signed_docs = scratch.save(signatures(docs, k, bands, rows), "signatures")
-    sets = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Written first, so that Spark can split the join of a large group of copies.
+    sets = scratch.save(signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     classes = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
     reps = classes.where("doc_id = rep and n_shingles > 0").select("doc_id")
