@@ -38,7 +38,7 @@ def top_groups(totals: DataFrame, group: str, k: int, value: str = "n") -> DataF
 
 def share(df: DataFrame, group: str, part: Column, value: str) -> DataFrame:
     """Value of the rows where ``part`` holds, over all value, per group; null where that is zero."""
-    return df.groupBy(group).agg(F.sum(F.when(part, F.col(value)).otherwise(0.0)).alias("part"), F.sum(value).alias("whole")).withColumn("share", F.try_divide("part", "whole"))
+    return df.groupBy(group).agg(F.sum(F.when(part, F.col(value)).otherwise(F.lit(0))).alias("part"), F.sum(value).alias("whole")).withColumn("share", F.try_divide("part", "whole"))
 
 
 def rollup_totals(df: DataFrame, levels: list[str], value: str) -> DataFrame:
