@@ -1,0 +1,122 @@
+"""Toxicity, quality, language and masked-word scores: accuracy on held-out rows, and odd rows."""
+
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from helpers import documents, empty, labels, odd_rows
+from pyspark.sql import functions as F
+
+from tallyloom.llm import langid, masked_lm, quality, queries, toxicity
+from tallyloom.llm.arrays import text_bytes
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_maximal_segments_are_those_of_the_definition():
+    """Recursive definition: the best-scoring stretch, then the same on either side of it."""
+
+    def brute(scores, a, b):
+        best = max(((round(sum(scores[i:j]), 9), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, _, i, j = best
+        return brute(scores, a, i) + [(i, j - 1, best[0])] + brute(scores, j, b)
+
+    rng = random.Random(2)
+    for _ in range(200):
+        scores = [rng.choice([rng.random() * 3 + 0.1, -0.3]) if rng.random() < 0.4 else -0.3 for _ in range(14)]
+        places = [i for i, s in enumerate(scores) if s > 0]
+        got = toxicity.maximal_segments(places, [scores[i] for i in places], -0.3)
+        assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in brute(scores, 0, 14)]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = queries.op3_toxicity(spark, SF)
+    known = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    n, right = known.count(), known.where("predicted = toxic").count()
+    assert got.count() == 1000 and right / n > 0.9
+    assert got.where("score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count() == 0
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = documents(spark, odd_rows()).drop("score")
+    for known in ((), [(3, 1, 0), (4, 1, 1), (4, 1, 0), (7, None, None)]):
+        out = toxicity.toxic_passages(docs, toxicity.fit_toxicity(docs, labels(spark, known)))
+        assert out.where("score between 0 and 1").count() == docs.count()
+    assert toxicity.toxic_passages(empty(spark).drop("score"), toxicity.fit_toxicity(empty(spark), labels(spark))).count() == 0
+
+
+def test_kneser_ney_sums_to_one(spark):
+    text = spark.createDataFrame([("the cat sat on the mat the the the end",), ("a cat and a rat",)], "text string")
+    code = quality.alphabet(text)
+    p = np.exp(quality.kneser_ney(quality.trigram_counts(text, code)))
+    assert np.allclose(p.sum(-1), 1, atol=1e-4)
+    syms, upto = quality.symbols(*text_bytes(pa.array(["the cat"])), code)
+    keys, at = quality.trigrams(syms, upto)
+    counts = {(r.a, r.b, r.c): r.n for r in quality.trigram_counts(text, code).collect()}
+    a, b, c = (int(code[ord(x)]) for x in "the")
+    assert counts[a, b, c] == 3 and at.tolist() == [0, len(syms) - 2]
+
+
+def test_quality_on_labelled_rows(spark):
+    got = queries.op10_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    bad, good = got.where("quality = 0"), got.where("quality = 1")
+    assert bad.where("rejected").count() / bad.count() > 0.9
+    assert good.where("rejected").count() / good.count() < 0.02
+
+
+def test_quality_of_odd_rows(spark):
+    docs = documents(spark, odd_rows()).select("doc_id", "text", "lang", "source")
+    out = quality.score_quality(docs, labels(spark, [(3, 1, 0), (4, 1, 1), (8, 0, 0)]))
+    assert {r.doc_id for r in out.where("rejected").collect()} >= {0, 1, 2} and out.count() == docs.count()
+    assert quality.score_quality(docs, labels(spark)).where("rejected").count() == 3
+    assert quality.score_quality(empty(spark).select("doc_id", "text", "lang"), labels(spark)).count() == 0
+
+
+def test_language_on_held_out_rows(spark):
+    got = queries.op7_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out")
+    assert got.count() == 1000 and held.where("lang_pred = lang").count() / held.count() > 0.97
+
+
+def test_language_of_odd_rows(spark):
+    docs = documents(spark, odd_rows()).drop("score")
+    for source in (docs, docs.where("lang is null"), empty(spark)):
+        out = langid.identify(docs, langid.fit_languages(source)).collect()
+        assert {r.doc_id for r in out if r.lang_pred == "und"} >= {0, 1, 2}
+        assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+
+
+@pytest.mark.parametrize("languages", [2, 3, 9])
+def test_codewords_are_apart(languages):
+    code = langid.codewords(languages, 15)
+    assert len({tuple(c) for c in code}) == languages and all(abs(c.sum()) < languages for c in code.T)
+
+
+def test_masked_words_gradient():
+    rng = np.random.default_rng(0)
+    flat = masked_lm.start_weights().astype(np.float64)
+    near, target = rng.integers(0, masked_lm.PAD + 1, (5, 2 * masked_lm.SIDE)), rng.integers(0, masked_lm.VOCABULARY, 5)
+    loss = lambda f: -masked_lm.log_probabilities(masked_lm.views(f), near, target).mean()
+    g = masked_lm.gradient(masked_lm.views(flat), near, target)
+    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-6), 30):
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert math.isclose((loss(up) - loss(down)) / 2e-5, g[i], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_masked_words_learn_more_than_frequencies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = masked_lm.score_documents(docs).agg(F.sum("log_likelihood"), F.sum("n_tokens"), F.count("*")).first()
+    assert got[2] == 1000 and got[0] / got[1] > -0.8 * math.log(masked_lm.VOCABULARY)
+
+
+def test_masked_words_of_odd_rows(spark):
+    rows = {r.doc_id: r for r in masked_lm.score_documents(documents(spark, odd_rows())).collect()}
+    assert all(rows[i].n_tokens == 0 and rows[i].log_likelihood == 0 and rows[i].mean_log_likelihood is None for i in (0, 1, 2))
+    assert rows[7].n_tokens == 60_000 and rows[7].log_likelihood < 0
+    assert masked_lm.score_documents(empty(spark)).count() == 0
