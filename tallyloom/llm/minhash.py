@@ -194,6 +194,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
         mixed = by_component.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("parts > 1").select("key", "main", "blocks")
         open_ = scratch.save(labelled.join(mixed, "key").join(sketches, "id"), "open")
+        if open_.isEmpty():
+            break
         # Of two members in different components, one at least is outside the bucket's main component.
         # A large bucket is cut into blocks; its members outside the main component meet each of them.
         left = side(open_.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "a", "component", "main")

@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -109,6 +113,3 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
-
-#: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
