@@ -61,23 +61,31 @@ def _codes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, f"{schema}, code binary, norm double, align double")
 
 
-def estimates(query: np.ndarray, turn: np.ndarray, codes: np.ndarray, norm: np.ndarray, align: np.ndarray, noise: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of one query with all coded vectors, and their error bounds."""
-    dim = len(query)
-    size = np.sqrt((query * query).sum())
-    turned = (query / size) @ turn
-    low = turned.min()
-    step = max((turned.max() - low) / ((1 << QUERY_BITS) - 1), 1e-12)
-    level = np.clip(np.floor((turned - low) / step + noise.random(dim)), 0, (1 << QUERY_BITS) - 1).astype(np.int64)
-    planes = _pack(np.array([level >> j & 1 for j in range(QUERY_BITS)]))
-    total = np.zeros(len(codes), np.int64)
-    for j in range(QUERY_BITS):
-        total += np.bitwise_count(codes & planes[j]).sum(1, dtype=np.int64) << j
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    root = np.sqrt(dim)
-    inner = (2 * (step * total + low * ones) - (step * level.sum() + dim * low)) / root
-    spread = np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(max(dim - 1, 1)) + step / 2 / align
-    return norm * size * inner / align, norm * size * SIGMAS * spread
+class Codes:
+    """Coded vectors of a block, with what doesn't depend on the query worked out once."""
+
+    def __init__(self, words: np.ndarray, norm: np.ndarray, align: np.ndarray, dim: int):
+        self.dim, self.turn = dim, rotation(dim)
+        self.words = np.ascontiguousarray(words.T)
+        self.ones = sum(np.bitwise_count(w).astype(np.float64) for w in self.words)
+        self.scale = norm / align
+        self.spread = SIGMAS * norm * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(max(dim - 1, 1))
+
+    def estimates(self, query: np.ndarray, noise: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of one query with all vectors, and their upper bounds."""
+        size = np.sqrt((query * query).sum())
+        turned = (query / size) @ self.turn
+        low = turned.min()
+        step = max((turned.max() - low) / ((1 << QUERY_BITS) - 1), 1e-12)
+        level = np.clip(np.floor((turned - low) / step + noise.random(self.dim)), 0, (1 << QUERY_BITS) - 1).astype(np.int64)
+        planes = _pack(np.array([level >> j & 1 for j in range(QUERY_BITS)]))
+        total = np.zeros(len(self.scale), np.uint32)
+        for j in range(QUERY_BITS):
+            for words, plane in zip(self.words, planes[j]):
+                total += np.bitwise_count(words & plane).astype(np.uint32) << np.uint32(j)
+        inner = (2 * step) * total + (2 * low) * self.ones - (step * level.sum() + self.dim * low)
+        value = inner * self.scale * (size / np.sqrt(self.dim))
+        return value, value + size * self.spread + (SIGMAS * size * step / 2) * self.scale
 
 
 def inner_products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -91,24 +99,23 @@ def _search(k: int):
         if queries.num_rows and candidates.num_rows:
             ids = candidates["vec_id"].to_numpy()
             x = matrix(candidates["embedding"])
-            codes = np.frombuffer(b"".join(candidates["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
-            norm, align = candidates["norm"].to_numpy(), candidates["align"].to_numpy()
-            turn, noise = rotation(x.shape[1]), np.random.default_rng(1)
+            words = np.frombuffer(b"".join(candidates["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            codes, noise = Codes(words, candidates["norm"].to_numpy(), candidates["align"].to_numpy(), x.shape[1]), np.random.default_rng(1)
             for query_id, query in zip(queries["vec_id"].to_pylist(), matrix(queries["embedding"])):
-                value, error = estimates(query, turn, codes, norm, align, noise)
-                own = ids == query_id
-                value[own] = -np.inf
-                reach = value + error
-                reach[own] = -np.inf
-                n = min(k, len(ids) - int(own.sum()))
+                value, reach = codes.estimates(query, noise)
+                own = np.flatnonzero(ids == query_id)
+                value[own] = reach[own] = -np.inf
+                n = min(k, len(ids) - len(own))
                 if n <= 0:
                     continue
-                first = np.argpartition(-value, n - 1)[:n]
-                floor = inner_products(x[first], query).min()
-                # The k best by estimate set a floor; whatever may reach it is scored exactly.
-                again = np.flatnonzero(reach >= floor - 1e-9 * abs(floor))
-                again = np.union1d(again, first)
-                again = again[~own[again]]
+                # The best by estimate set a floor; whatever may reach it is scored on the original vector.
+                first = np.argpartition(-value, min(10 * n, len(ids)) - 1)[: 10 * n]
+                first = first[value[first] > -np.inf]
+                score = x[first] @ query
+                floor = np.partition(score, len(score) - n)[len(score) - n]
+                slack = 1e-9 * max(abs(floor), 1e-300)
+                again = np.flatnonzero(reach >= floor - slack)
+                again = np.union1d(again[x[again] @ query >= floor - slack], first[score >= floor - slack])
                 score = inner_products(x[again], query)
                 best = np.lexsort((ids[again], -score))[:k]
                 out[0] += [query_id] * len(best)
