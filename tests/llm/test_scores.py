@@ -68,6 +68,18 @@ def test_quality_on_labelled_rows(spark):
     assert good.where("rejected").count() / good.count() < 0.02
 
 
+def test_quality_threshold_of_a_rare_language(spark):
+    """Forty trusted documents of a rare language set a threshold of their own."""
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(40))
+    rows = [(i, text("abcde"), "common") for i in range(6000)] + [(i, text("fghijklmnopqrstuvwxyz"), "rare") for i in range(6000, 6050)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = quality.score_quality(docs, labels(spark, [(i, 1, 0) for i in range(6040)]))
+    assert got.where("lang = 'rare' and rejected").count() == 0
+    limits = {r.lang: r.threshold for r in got.select("lang", "threshold").distinct().collect()}
+    assert limits["rare"] > 1.5 * limits["common"]
+
+
 def test_quality_of_odd_rows(spark):
     docs = documents(spark, odd_rows()).select("doc_id", "text", "lang", "source")
     out = quality.score_quality(docs, labels(spark, [(3, 1, 0), (4, 1, 1), (8, 0, 0)]))
