@@ -5,8 +5,9 @@ it; the sum of the log-probabilities of all a document's words, each given its
 neighbours, scores the document.  The vocabulary is the most frequent words of
 the whole corpus, counted in Spark, and a fixed number of classes of rarer words
 by their ending.  Training is data-parallel: every task runs plain Adam in numpy
-over positions of all its documents (one in ``stride``, shifted from document to
-document), and the tasks' weights are averaged in a tree, round after round.
+over all its documents, and the tasks' weights are averaged in a tree, round after
+round.  Round i of n takes every n-th position of a document from the i-th on, so
+all rounds together train on each position once.
 """
 
 from __future__ import annotations
@@ -133,21 +134,26 @@ class Adam:
         flat -= (self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
 
 
-def _trained(docs: DataFrame, vocabulary: np.ndarray, flat: np.ndarray, stride: int, rate: float) -> DataFrame:
+def positions(at: np.ndarray, i: int, rounds: int) -> np.ndarray:
+    """The tokens that round ``i`` trains on, by their place in their document."""
+    within = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+    return np.flatnonzero(within % rounds == i)
+
+
+def _trained(docs: DataFrame, vocabulary: np.ndarray, flat: np.ndarray, turn: int, rounds: int, rate: float) -> DataFrame:
     """(n, weights): each task's weights after its positions, and how many those were."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = shared.value
-        table, own, adam, seen, turn = IntTable(words, np.arange(len(words), dtype=np.int32)), start.copy(), Adam(rate), 0, 0
+        table, own, adam, seen = IntTable(words, np.arange(len(words), dtype=np.int32)), start.copy(), Adam(rate), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, at = tokens(*text_bytes(part.column("text")), table)
                 if not len(ids):
                     continue
                 near = contexts(ids, at)
-                pick = np.arange(turn % stride, len(ids), stride)
-                turn += 1
+                pick = positions(at, turn, rounds)
                 for i in range(0, len(pick), 512):
                     at_ = pick[i : i + 512]
                     adam.step(own, gradient(views(own), near[at_], ids[at_]))
@@ -170,11 +176,11 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "n long, weights array<double>")
 
 
-def train(docs: DataFrame, vocabulary: np.ndarray, scratch: Scratch, rounds: int = 2, stride: int = 8) -> np.ndarray:
+def train(docs: DataFrame, vocabulary: np.ndarray, scratch: Scratch, rounds: int = 2) -> np.ndarray:
     """Weights averaged over all tasks, by tree: 64 results at a time meet in one task."""
     flat = start_weights()
     for i in range(rounds):
-        parts = scratch.save(_trained(docs, vocabulary, flat, stride, 0.01 / (i + 1)), "weights")
+        parts = scratch.save(_trained(docs, vocabulary, flat, i, rounds, 0.01 / (i + 1)), "weights")
         left = parts.count()
         while left > 64:
             left = -(-left // 64)
@@ -185,7 +191,7 @@ def train(docs: DataFrame, vocabulary: np.ndarray, scratch: Scratch, rounds: int
     return flat
 
 
-def score_documents(docs: DataFrame, rounds: int = 2, stride: int = 8) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of (doc_id, text).
 
     log_likelihood sums the natural log-probabilities of all words given their
@@ -196,7 +202,7 @@ def score_documents(docs: DataFrame, rounds: int = 2, stride: int = 8) -> DataFr
     docs = docs.select("doc_id", "text")
     top = word_counts(docs).orderBy(F.desc("n"), "w").limit(FREQUENT).collect()  # FREQUENT rows
     vocabulary = np.array([r["w"] for r in top], np.int64)
-    flat = train(docs, vocabulary, scratch, rounds, stride)
+    flat = train(docs, vocabulary, scratch, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))  # SIZE numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,16 @@ def test_masked_words_learn_more_than_frequencies(spark):
     assert got[2] == 1000 and got[0] / got[1] > -0.8 * math.log(masked_lm.VOCABULARY)
 
 
+def test_masked_words_train_on_every_position_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100)
+    flat, words = masked_lm.start_weights(), np.zeros(0, np.int64)
+    seen = [masked_lm._trained(docs, words, flat, i, 2, 0.01).agg(F.sum("n")).first()[0] for i in range(2)]
+    assert sum(seen) == masked_lm.score_documents(docs).agg(F.sum("n_tokens")).first()[0]
+    at = np.array([0, 3, 3, 4, 9])
+    picks = [masked_lm.positions(at, i, 2).tolist() for i in range(2)]
+    assert sorted(picks[0] + picks[1]) == list(range(9)) and picks[0] == [0, 2, 3, 4, 6, 8]
+
+
 def test_masked_words_of_odd_rows(spark):
     rows = {r.doc_id: r for r in masked_lm.score_documents(documents(spark, odd_rows())).collect()}
     assert all(rows[i].n_tokens == 0 and rows[i].log_likelihood == 0 and rows[i].mean_log_likelihood is None for i in (0, 1, 2))
