@@ -132,9 +132,11 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     Candidates are all rows of the query's length but those with its id; ties go
     to the smaller vec_id.  Rows with a null id, and vectors that are null,
     empty, zero or hold null or non-finite components take no part.  Queries
-    with fewer candidates get fewer rows; an empty table gives none.
+    with fewer candidates get fewer rows; an empty table gives none.  A repeated
+    row (same id and vector) counts once.
     """
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("dim"))
+    good = good.distinct()  # repeats of a row would take places among the k best of a block
     asked = good.where(is_query)
     n, n_asked = good.count(), asked.count()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))

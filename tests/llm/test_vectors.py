@@ -89,6 +89,14 @@ def test_nearest_by_inner_product(spark, monkeypatch):
     assert hits / total > 0.98
 
 
+def test_repeats_of_a_row_leave_places_for_others(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist(), 0) for i in range(30)]
+    rows += [(30, [9 * v for v in rows[0][1]], 0)] * 25
+    got = ann.nearest(table(spark, rows), "vec_id = 0", k=20).collect()
+    assert len(got) == 20 and sorted(r.rank for r in got) == list(range(1, 21)) and len({r.vec_id for r in got}) == 20
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert vecdedup.near_duplicate_vectors(empty).count() == 0
