@@ -51,13 +51,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, U64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=U64)
-
-
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true within each row: starts, ends, and each row's offsets into them."""
     n = len(inside)
@@ -72,22 +65,42 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def stir(x: np.ndarray) -> np.ndarray:
+    """A cheaper, non-linear step between the parts of a hash; :func:`mix` ends it."""
+    with np.errstate(over="ignore"):
+        return (x ^ (x >> U64(29))) * _BASE
+
+
+def blocks8(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number (zeros beyond the end), as a view of a copy."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run; runs are in order and don't overlap."""
+    """A 64-bit hash of the bytes of each run.
+
+    Every block of 8 bytes is mixed with its place before the blocks are added,
+    so no pattern of letters cancels out as it does in a polynomial modulo 2**64.
+    """
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
-    longest = int(lengths.max())
-    table = powers(_BASE, longest)
-    # One entry for each byte inside a run, gathered run by run.
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(total, dtype=np.int64)
-    within = place - np.repeat(first, lengths)
+    at8 = blocks8(data)
+    tail = U64(64) - ((np.minimum(lengths, 8).astype(U64)) << U64(3))
     with np.errstate(over="ignore"):
-        value = (data[within + np.repeat(starts, lengths)].astype(U64) + U64(1)) * table[within]
-        total_by_run = np.add.reduceat(value, first)
-        return mix(total_by_run + lengths.astype(U64) * U64(0xA24BAED4963EE407))
+        first = np.where(lengths > 0, at8[starts] << tail, U64(0))
+        total = stir(first + _STEP)
+        long_ = np.flatnonzero(lengths > 8)
+        if len(long_):
+            n = (lengths[long_] - 1) // 8  # blocks after the first
+            begin = np.cumsum(n) - n
+            place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n) + 1
+            from_ = np.repeat(starts[long_], n) + 8 * place
+            left = np.minimum(np.repeat(ends[long_], n) - from_, 8).astype(U64)
+            value = at8[from_] << (U64(64) - (left << U64(3)))
+            total[long_] += np.add.reduceat(mix(value ^ mix(place.astype(U64) * _STEP)), begin)
+        return mix(total + lengths.astype(U64) * U64(0xA24BAED4963EE407))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,24 +109,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words; entry i starts at word i.  Length is len(words) - k + 1, or 0."""
+    """Hash of each k consecutive words; entry i starts at word i.  Length is len(words) - k + 1, or 0.
+
+    Hashes of twice as many words are made from two neighbours, each time through
+    a non-linear step, and k words from the powers of two in k.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     with np.errstate(over="ignore"):
-        out, done, block, size, factor = None, 0, words, 1, _STEP
-        left = k
+        out, done, block, size, left = None, 0, words, 1, k
         while left:
             if left & 1:
                 part = block[done : done + n]
-                out = part.copy() if out is None else out + part * scale
+                out = part.copy() if out is None else stir(out * _STEP + part)
                 done += size
-            if out is not None:
-                scale = powers(_STEP, done + 1)[done]
             left >>= 1
             if left:
-                block = block[: len(block) - size] + block[size:] * factor
-                factor = factor * factor
+                block = stir(block[: len(block) - size] * _STEP + block[size:])
                 size *= 2
         return mix(out + U64(k) * U64(0x9FB21C651E98DF25))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import IntTable, hash_runs, slices, text_bytes
+from .arrays import IntTable, blocks8, hash_runs, slices, text_bytes
 
 LETTER, NUMBER, WHITE, OTHER, BEFORE = 0, 1, 2, 3, 9
 #: Code points beyond ASCII with the Unicode property White_Space (fixed values).
@@ -36,8 +36,8 @@ WIDE_SPACES = frozenset([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Bytes of text handled at once; bounds a Python worker's memory.
 SLICE = 2 << 20
-#: Slots of a worker's table of pieces already encoded, and the most tokens in one.
-CACHE_BITS, CACHE_TOKENS = 18, 6
+#: Slots of a worker's table of pieces already encoded, and the most bytes and tokens in one.
+CACHE_BITS, CACHE_BYTES, CACHE_TOKENS = 18, 16, 6
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -60,7 +60,10 @@ def classes(data: np.ndarray) -> np.ndarray:
         first = padded[lead]
         size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
         rest = [padded[lead + i] & 0x3F for i in (1, 2, 3)]
-        code = np.where(size == 2, (first & 0x1F) << 6 | rest[0], np.where(size == 3, (first & 0x0F) << 12 | rest[0] << 6 | rest[1], (first & 0x07) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]))
+        two = (first & 0x1F) << 6 | rest[0]
+        three = (first & 0x0F) << 12 | rest[0] << 6 | rest[1]
+        four = (first & 0x07) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]
+        code = np.where(size == 2, two, np.where(size == 3, three, four))
         distinct, which = np.unique(np.minimum(code, 0x10FFFF), return_inverse=True)
         kind = np.array([char_class(int(c)) for c in distinct], np.uint8)[which]
         for i in range(4):
@@ -119,6 +122,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _same_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lead: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether piece a[i] has the same bytes as piece b[i]; ``lead`` holds each piece's first 16 bytes."""
+    same = (lengths[a] == lengths[b]) & (lead[:, a] == lead[:, b]).all(0)
+    longer = np.flatnonzero(same & (lengths[a] > CACHE_BYTES) & (a != b))
+    if len(longer):
+        size = lengths[a[longer]]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        equal = data[within + np.repeat(starts[a[longer]], size)] == data[within + np.repeat(starts[b[longer]], size)]
+        same[longer] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return same
+
+
 class Bpe:
     """Tables of one vocabulary file.  Inside, a token is its rank: bytes 0-255, then merges in order."""
 
@@ -157,8 +172,9 @@ class Bpe:
         self.blob_at = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
         self._memo_key = np.full(1 << 20, -1, np.int64)
         self._memo = np.zeros(1 << 20, bool)
-        #: Tokens of frequent short pieces by hash: a fixed number of slots, one piece each.
-        self._cache_key = np.zeros(1 << CACHE_BITS, np.uint64)
+        #: Tokens of frequent short pieces: a fixed number of slots, one piece each, known by its length and bytes.
+        self._cache_length = np.full(1 << CACHE_BITS, -1, np.int64)
+        self._cache_bytes = np.zeros((2, 1 << CACHE_BITS), np.uint64)
         self._cache_n = np.zeros(1 << CACHE_BITS, np.int64)
         self._cache = np.zeros((1 << CACHE_BITS, CACHE_TOKENS), np.int64)
 
@@ -294,16 +310,25 @@ class Bpe:
         return chosen[on_path], upto[ends] - upto[begins]
 
     def _piece_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after another, and how many each has; a piece seen before is looked up."""
-        hashes = hash_runs(data, starts, ends)
+        """Ids of all pieces, one after another, and how many each has; a piece seen before is looked up.
+
+        Hashes only bring pieces together: whether two are the same is decided by their lengths and bytes.
+        """
+        hashes, lengths, at8 = hash_runs(data, starts, ends), ends - starts, blocks8(data)
+        bits = np.stack([np.minimum(lengths, 8), np.clip(lengths - 8, 0, 8)]).astype(np.uint64) << np.uint64(3)
+        lead = np.stack([at8[starts], at8[np.minimum(starts + 8, len(data))]])
+        lead = np.where(bits > 0, lead << (np.uint64(64) - np.maximum(bits, np.uint64(8))), np.uint64(0))
         slot = (hashes & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
-        miss = np.flatnonzero(self._cache_key[slot] != hashes)
+        miss = np.flatnonzero((self._cache_length[slot] != lengths) | (self._cache_bytes[:, slot] != lead).any(0))
         begin, n = slot * CACHE_TOKENS, self._cache_n[slot]
         fresh, index, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
         index = miss[index]
-        lengths = (ends - starts)[index]
-        gather = np.repeat(starts[index] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        tokens, counts = self.encode_pieces(data[gather], lengths)
+        other = np.flatnonzero(~_same_pieces(data, starts, lengths, lead, miss, index[which]))
+        which[other] = len(index) + np.arange(len(other))
+        fresh, index = np.concatenate([fresh, hashes[miss[other]]]), np.concatenate([index, miss[other]])
+        size = lengths[index]
+        gather = np.repeat(starts[index] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        tokens, counts = self.encode_pieces(data[gather], size)
         begins = np.cumsum(counts) - counts
         begin[miss], n[miss] = begins[which] + self._cache.size, counts[which]
         pool = np.concatenate([self._cache.ravel(), self.ids[tokens]])
@@ -311,10 +336,11 @@ class Bpe:
         ids = pool[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
         # An empty slot takes a piece; a full one changes hands for one new piece in four.
         home = slot[index]
-        put = np.flatnonzero((counts <= CACHE_TOKENS) & ((self._cache_n[home] == 0) | (fresh >> np.uint64(62) == 0)))
+        room = (self._cache_length[home] < 0) | (fresh >> np.uint64(62) == 0)
+        put = np.flatnonzero((counts <= CACHE_TOKENS) & (size <= CACHE_BYTES) & room)
         put = put[np.unique(home[put], return_index=True)[1]]
         home = home[put]
-        self._cache_key[home], self._cache_n[home] = fresh[put], counts[put]
+        self._cache_length[home], self._cache_bytes[:, home], self._cache_n[home] = size[put], lead[:, index[put]], counts[put]
         for i in range(CACHE_TOKENS):
             has = counts[put] > i
             self._cache[home[has], i] = self.ids[tokens[begins[put[has]] + i]]
@@ -380,7 +406,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for part in slices(batch, "__text", SLICE):
                 ids, at = bpe.encode(*text_bytes(part.column("__text")))
-                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["__id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("__id"), lists], ["__id", "ids"])
 
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = source.schema["__id"].dataType.simpleString()
@@ -394,11 +421,13 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> D
         bpe = load(path)
         for batch in batches:
             column = batch.column("ids")
-            column = pa.concat_arrays([column]) if not column.null_count else pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
-            flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
-            data, upto = bpe.decode(flat, at)
+            if column.null_count:
+                column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            data, upto = bpe.decode(flat, np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))]))
             blob = data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([blob[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:])], pa.string())], ["__id", "text"])
+            texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(texts, pa.string())], ["__id", "text"])
 
     source = encoded.select(F.col(id_col).alias("__id"), "ids")
     kind = source.schema["__id"].dataType.simpleString()
@@ -408,7 +437,9 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> D
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Each document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Null and empty texts have 0 tokens and the digests of no bytes.
+    One row for each row of ``docs``, also for repeated rows and null ids.  Null
+    and empty texts have 0 tokens and the digests of no bytes.  Other columns are
+    ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
