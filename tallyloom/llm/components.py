@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
 Every round is two grouped minima and two joins; labels never leave Spark and
-no neighbour list is gathered, so a node may have any number of links.
+no neighbour list is gathered, so a node may have any number of links.  The
+minima are written before they are joined: both sides of a join are then plain
+tables, and Spark can split the links of a node that has very many.
 """
 
 from __future__ import annotations
@@ -12,33 +14,40 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Each node's smallest neighbour, itself included: (u, m)."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return scratch.save(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) links of any direction, repeats and self-links allowed, to (node, component).
+    """(a, b) links of any direction, repeats and self-links allowed, to (node, component), a written table.
 
     ``component`` is the smallest node reachable.  Only linked nodes appear;
     rows with a null end count as no link.
     """
-    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct()
-    current = scratch.save(pairs, "links")
-    before = None
+    pairs = links.where("a is not null and b is not null and a <> b")
+    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    current, before = scratch.save(pairs, "links"), None
     while True:
         # Large star: every larger neighbour of a node hangs on the node's smallest neighbour.
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = _star(both, scratch)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = scratch.save(large.distinct(), "large")
+        scratch.drop(current, least)
         # Small star: a node and its smaller neighbours hang on the smallest of them.
-        small = large.join(_star(large), "u")
-        moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        after = scratch.save(moved, "round")
+        least = _star(large, scratch)
+        small = large.join(least, "u")
+        moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        after = scratch.save(moved.where("u > v").distinct(), "round")
         state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(current)
+        scratch.drop(large, least)
         current = after
         if state == before:
             break
         before = state
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = nodes.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = scratch.save(nodes, "components")
+    scratch.drop(current)
+    return out

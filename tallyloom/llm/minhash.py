@@ -7,8 +7,8 @@ population count of the XOR of two odd sketches estimates high similarities far
 more sharply than as many bits of plain MinHash would, so nearly every false
 candidate is rejected from 64 bytes; the rest are confirmed on the full sets.
 
-Documents with equal shingle sets form one class and only its representative
-goes on.  Buckets aren't expanded into pairs: each member is first compared with
+Rows with equal shingle sets form one class, a numbered node; only one signature
+and one text of each goes on, however often its rows repeat.  Buckets aren't expanded into pairs: each member is first compared with
 its bucket's smallest member; components of the confirmed links are found; and
 only members of buckets that still hold several components are compared across
 those components, first each with its best-estimated partner in each other
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, gram_hashes, hash_runs, mix, row_grams, signed, slices, text_bytes, words_of
+from .columns import set_aside
 from .components import components
 from .scratch import Scratch
 
@@ -57,9 +58,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
+SIGNATURE = "doc_id long, name long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>, parity array<long>"
+
+
+def _lists(matrix: np.ndarray, pick: pa.Array) -> pa.Array:
+    """Rows of a matrix as a list column, in the order of ``pick`` (null: null)."""
+    flat = pa.array(signed(np.ascontiguousarray(matrix)).ravel(), pa.int64())
+    return pa.FixedSizeListArray.from_arrays(flat, matrix.shape[1]).cast(pa.list_(pa.int64())).take(pick)
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit name of the set), keys (one for each band),
-    sketch and parity (odd sketches of the MinHash samples and of the full set).
+    """doc_id, name (the text's hash by Spark), n_shingles, set_a, set_b (a 128-bit name of the set),
+    keys (one for each band), sketch and parity (odd sketches of the MinHash samples and of the full set).
 
     Documents without words have 0 shingles and null for the rest.
     """
@@ -67,6 +77,20 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     salts = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     shifts = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
+    def samples(all_: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each set's MinHash samples and band keys."""
+        low = np.empty((len(begin), n), np.uint64)
+        keys = np.zeros((len(begin), bands), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                low[:, i] = np.minimum.reduceat((all_ ^ shifts[i]) * salts[i], begin)
+            low = mix(low)
+            grouped = low.reshape(len(begin), bands, rows)
+            for j in range(rows):
+                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, j])
+            keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
+        return low, keys
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
@@ -75,34 +99,25 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 has = np.flatnonzero(sizes)
                 row_of = np.full(len(sets), -1)
                 row_of[has] = np.arange(len(has))
-                all_ = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-                begin = (np.cumsum(sizes) - sizes)[has]
-                low = np.empty((len(has), n), np.uint64)
+                pick = pa.array(row_of, pa.int64(), mask=row_of < 0)
                 if len(has):
-                    with np.errstate(over="ignore"):
-                        for i in range(n):
-                            low[:, i] = np.minimum.reduceat((all_ ^ shifts[i]) * salts[i], begin)
-                        low = mix(low)
-                        set_a, set_b = np.add.reduceat(all_, begin), np.add.reduceat(mix(all_), begin)
-                        keys = np.zeros((len(has), bands), np.uint64)
-                        grouped = low.reshape(len(has), bands, rows)
-                        for j in range(rows):
-                            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, j])
-                        keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
+                    all_ = np.concatenate(sets)
+                    begin = (np.cumsum(sizes) - sizes)[has]
+                    low, keys = samples(all_, begin)
+                    set_a, set_b = np.add.reduceat(all_, begin), np.add.reduceat(mix(all_), begin)
                     each = np.repeat(np.arange(len(has)), n)
                     sketch = odd_sketches((mix(low ^ salts[None, :]) % np.uint64(SKETCH_BITS)).ravel(), each, len(has), SKETCH_BITS)
-                    parity = odd_sketches(mix(~all_) % np.uint64(SET_BITS), np.repeat(np.arange(len(has)), sizes[has]), len(has), SET_BITS)
+                    each = np.repeat(np.arange(len(has)), sizes[has])
+                    parity = odd_sketches(mix(~all_) % np.uint64(SET_BITS), each, len(has), SET_BITS)
                 else:
                     set_a = set_b = np.zeros(0, np.uint64)
                     keys, sketch, parity = (np.zeros((0, w), np.uint64) for w in (bands, SKETCH_BITS // 64, SET_BITS // 64))
-                pick = pa.array([None if r < 0 else r for r in row_of.tolist()], pa.int64())
-                lists = lambda m, w: pa.FixedSizeListArray.from_arrays(pa.array(signed(np.ascontiguousarray(m)).ravel(), pa.int64()), w).cast(pa.list_(pa.int64())).take(pick)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(set_a), pa.int64()).take(pick), pa.array(signed(set_b), pa.int64()).take(pick), lists(keys, bands), lists(sketch, SKETCH_BITS // 64), lists(parity, SET_BITS // 64)],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch", "parity"],
-                )
+                columns = [part.column("doc_id"), part.column("name"), pa.array(sizes, pa.int64())]
+                columns += [pa.array(signed(x), pa.int64()).take(pick) for x in (set_a, set_b)]
+                columns += [_lists(x, pick) for x in (keys, sketch, parity)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n_shingles", "set_a", "set_b", "keys", "sketch", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>, parity array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("name"), "text").mapInArrow(run, SIGNATURE)
 
 
 def most_differing_bits(samples: int, similarity: float) -> int:
@@ -135,33 +150,47 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     keep.append(both > 0 and 100 * both >= percent * (len(held[1]) + len(set_b) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    # Candidates are of like size, so the text of ``a`` adds at most a quarter more than that of ``b``.
     return pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, slack: float = 0.2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept.
-
-    Documents with 100 * intersection >= percent * union of their distinct
-    k-word shingles (ASCII lower case) are linked; component_id is the smallest
-    doc_id reachable.  Null, empty and wordless texts have 0 shingles and link
-    with nothing.  ``bands`` x ``rows`` MinHash samples miss a pair at exactly
-    0.8 with probability (1 - 0.8**6)**40, about 5e-6, and one at 0.85 with
-    6e-9.  A candidate whose sketch estimate lies more than ``slack`` below the
-    threshold (over five standard errors) is dropped without the full check.
+    """doc_id, n_shingles, component_id, kept, name (the text's hash by Spark) for every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Rows with 100 * intersection >= percent * union of their distinct k-word
+    shingles (ASCII lower case) are linked; component_id is the smallest doc_id
+    reachable; kept: doc_id = component_id.  Null, empty and wordless texts have 0
+    shingles and link with nothing.  A row without a doc_id links with nothing, has
+    a null component_id and is kept.  Repeated rows are each returned, with the
+    same result; rows that share a doc_id but not the text are judged each by its
+    own text.  An empty table gives no rows.
+
+    ``bands`` x ``rows`` MinHash samples miss a pair at exactly 0.8 with probability
+    (1 - 0.8**6)**40, about 5e-6, and one at 0.85 with 6e-9.  A candidate whose
+    sketch estimate lies more than ``slack`` below the threshold (over five standard
+    errors) is dropped without the full check.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs, set_name = docs.select("doc_id", "text"), ["set_a", "set_b", "n_shingles"]
     signed_docs = scratch.save(signatures(docs, k, bands, rows), "signatures")
-    # Written first, so that Spark can split the join of a large group of copies.
-    sets = scratch.save(signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
-    classes = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    classes = scratch.save(classes, "classes")
-    reps = classes.where("doc_id = rep and n_shingles > 0").select("doc_id")
-    reps = scratch.save(signed_docs.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "keys", "sketch", "parity"), "representatives")
-    scratch.drop(signed_docs)
+    known = signed_docs.where("n_shingles > 0 and doc_id is not null")
+    # Nodes are numbered in the order of their smallest doc_id, so a smallest node leads to a smallest doc_id.
+    named = scratch.save(known.groupBy(*set_name).agg(F.min("doc_id").alias("rep")), "names")
+    numbered = named.repartitionByRange("rep").sortWithinPartitions("rep", "set_a", "set_b")
+    sets = scratch.save(numbered.withColumn("node", F.monotonically_increasing_id()), "sets")
+    rows_of_sets = known.select("doc_id", "name", *set_name).join(sets, set_name)
+    one_text = rows_of_sets.where("doc_id = rep").groupBy("node").agg(F.first("rep").alias("doc_id"), F.min("name").alias("name"))
+    one_text = scratch.save(one_text, "chosen")
+    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    classes = signed_docs.select("doc_id", "name", *set_name).join(sets, set_name, "left")
+    classes = scratch.save(classes.select("doc_id", "n_shingles", own("node"), own("rep"), "name"), "classes")
+    arrays = known.groupBy(*set_name).agg(*(F.first(c).alias(c) for c in ("keys", "sketch", "parity")))
+    reps = arrays.join(sets, set_name).select(F.col("node").alias("id"), "n_shingles", "keys", "sketch", "parity")
+    reps = scratch.save(reps, "representatives")
+    scratch.drop(signed_docs, named)
 
     banded = reps.select("id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
@@ -176,7 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     def side(rows_: DataFrame, x: str, *more: str) -> DataFrame:
         """Columns of one end of a pair, named for it."""
         short = {"component": "c", "main": "m", "n_shingles": "n", "sketch": "s", "parity": "p"}
-        return rows_.select(*(c for c in ("key", "block") if more), F.col("id").alias(x), *(F.col(c).alias(f"{short[c]}_{x}") for c in (*more, "n_shingles", "sketch", "parity")))
+        renamed = (F.col(c).alias(f"{short[c]}_{x}") for c in (*more, "n_shingles", "sketch", "parity"))
+        return rows_.select(*(c for c in ("key", "block") if more), F.col("id").alias(x), *renamed)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that may reach the threshold, by set sizes and sketches."""
@@ -184,35 +214,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     tried = scratch.save(plausible(stars), "stars")
-    in_buckets = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = scratch.save(docs.join(in_buckets, "doc_id", "left_semi"), "texts")
+    in_buckets = one_text.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    texts = docs.withColumn("name", F.xxhash64("text")).join(in_buckets, ["doc_id", "name"]).select("node", "text")
+    texts = scratch.save(texts.dropDuplicates(["node"]), "texts")
     links = scratch.save(confirm(tried, texts, k, percent), "links")
-    labels = scratch.save(components(links, scratch), "labels")
+    labels = components(links, scratch)
 
     for last in (False, True):
-        labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
         by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-        mixed = by_component.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("parts > 1").select("key", "main", "blocks")
+        main = F.max(F.struct("n", "component"))["component"].alias("main")
+        mixed = by_component.groupBy("key").agg(main, F.count("*").alias("parts"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+        mixed = mixed.where("parts > 1").select("key", "main", "blocks")
         open_ = scratch.save(labelled.join(mixed, "key").join(sketches, "id"), "open")
         if open_.isEmpty():
             break
         # Of two members in different components, one at least is outside the bucket's main component.
         # A large bucket is cut into blocks; its members outside the main component meet each of them.
-        left = side(open_.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "a", "component", "main")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        left = side(open_.where("component <> main").withColumn("block", every), "a", "component", "main")
         right = side(open_.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "b", "component", "main")
         across = left.join(right, ["key", "block"]).where("c_a <> c_b and (c_b = m_b or a < b)").where(by_size & by_samples & by_sets)
         if last:
-            pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = across.select("a", "b")
         else:
             best = F.min(F.struct(differing_bits("p_a", "p_b", SET_BITS).alias("d"), F.col("b"))).alias("best")
-            pairs = across.groupBy("a", "c_b").agg(best).select(F.least("best.b", "a").alias("a"), F.greatest("best.b", "a").alias("b")).distinct()
+            pairs = across.groupBy("a", "c_b").agg(best).select("a", F.col("best.b").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = scratch.save(confirm(pairs, texts, k, percent), "links")
         if not found.isEmpty():
             links = scratch.save(links.union(found), "links")
-            labels = scratch.save(components(links, scratch), "labels")
+            labels = components(links, scratch)
         tried = tried.union(pairs)
         scratch.drop(open_)
 
-    out = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    low = sets.select(F.col("node").alias("component"), F.col("rep").alias("low"))
+    lows = scratch.save(labels.join(low, "component").select("node", "low"), "lows")
+    scratch.drop(sets, one_text, reps, shared, members, texts, links, labels)
+    # A row that links with nothing has no node, or no component beyond its class.
+    low = F.coalesce("low", "rep", "doc_id")
+    out = classes.join(lows, "node", "left")
+    return out.select("doc_id", "n_shingles", low.alias("component_id"), F.col("doc_id").eqNullSafe(low).alias("kept"), "name")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` doesn't keep, and with one row of each repeated (doc_id, text).
+
+    A row goes by its doc_id and its text, so another text under the same doc_id
+    stays.  Rows without a doc_id, and any other columns, stay as they are.
+    """
+    own, back = set_aside(docs, ["doc_id", "text"])
+    scratch = Scratch(docs.sparkSession, "near")
+    row = ["doc_id", "name"]
+    judged = near_duplicates(own, k, percent).where("doc_id is not null").groupBy(*row).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    # Only rows that go or repeat are joined; of those that repeat and stay, one comes back.
+    judged = scratch.save(judged.where("not kept or n > 1"), "judged")
+    own = own.withColumn("name", F.xxhash64("text"))
+    once = own.join(judged.select(*row), row, "left_anti")
+    again = own.join(judged.where("kept").select(*row), row, "left_semi").dropDuplicates(row)
+    return back(once.unionByName(again))

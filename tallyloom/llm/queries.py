@@ -37,7 +37,7 @@ def remainder_is(modulus: int, remainder: int) -> Column:
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("name")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

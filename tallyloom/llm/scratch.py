@@ -1,33 +1,41 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts lineage and outlives any executor.  The folder is the
-session's ``spark.checkpoint.dir``; only where that is unset (tests) is a local
-one made.
+session's ``spark.checkpoint.dir``.  Only a local session, whose tasks all run on
+this machine, may leave it unset and gets a folder of its own.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Lets Spark delete the shuffle files of a write once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or this process's own where none is set."""
+    """The cluster's checkpoint folder; this process's own where none is set and the session is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="spark-scratch-")
     return _OWN["dir"]
 
 
 class Scratch:
-    """Tables of one operator call, each under a path of its own."""
+    """Tables of one operator call, each under a path of its own.
+
+    An operator drops what it won't read again.  What its lazy result still reads
+    stays in the shared folder, for its owner to clear after the result is used.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -38,18 +46,21 @@ class Scratch:
         """Write ``df`` as Parquet and return the written table."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
-        # Shuffle files of the finished step go only once the driver's JVM has collected its plan.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table made by :meth:`save` that nothing will read again."""
-        path = getattr(df, "_scratch_path", None)
-        if path and path.startswith(self.root):
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables made by :meth:`save` that nothing will read again."""
+        for table in tables:
+            path = getattr(table, "_scratch_path", None)
+            if path and path.startswith(self.root):
+                jvm = self.spark.sparkContext._jvm
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

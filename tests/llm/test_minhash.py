@@ -3,7 +3,7 @@ import random
 from helpers import BASE, documents, empty, odd_rows
 
 from tallyloom.llm.components import components
-from tallyloom.llm.minhash import near_duplicates
+from tallyloom.llm.minhash import drop_near_duplicates, near_duplicates
 from tallyloom.llm.scratch import Scratch
 
 
@@ -28,6 +28,13 @@ def brute(rows, k, percent):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def alternating(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
 def check(spark, rows, k=4):
     got = near_duplicates(documents(spark, rows), k=k).collect()
     want = brute(rows, k, 80)
@@ -38,7 +45,8 @@ def check(spark, rows, k=4):
 def test_odd_rows(spark):
     check(spark, odd_rows())
     assert near_duplicates(empty(spark)).count() == 0
-    assert near_duplicates(documents(spark, [(None, "a b c d e f", "en", "s", 1)])).count() == 0
+    alone = documents(spark, [(None, "a b c d e f", "en", "s", 1), (3, "a b c d e f", "en", "s", 1)])
+    assert sorted((tuple(r)[:4] for r in near_duplicates(alone).collect()), key=repr) == [(3, 2, 3, True), (None, 2, None, True)]
 
 
 def test_chains_and_groups_of_near_copies(spark):
@@ -62,3 +70,41 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(500, 600)] + [(3, 3), (None, 4), (7, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(500, 600)]}
+
+
+def test_repeated_rows_stay_linear(spark, monkeypatch):
+    """A row repeated 50 times beside a near copy, also repeated: the tables inside don't grow with the repeats."""
+    near = BASE.replace("wizards", "witches", 1) + " and so it was"
+    rows = [(1, BASE, "en", "s", 1)] * 50 + [(2, near, "en", "s", 1)] * 50 + [(3, "something else that nobody repeats", "en", "s", 1)]
+    written, save = [], Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    check(spark, rows)
+    assert all(n <= 101 for name, n in written if name in ("signatures", "classes"))
+    assert all(n <= 160 for name, n in written if name not in ("signatures", "classes")), written
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    other = " ".join(f"unique{i}" for i in range(40))
+    got = near_duplicates(documents(spark, [(1, BASE, "en", "s", 1), (2, BASE, "en", "s", 1), (2, other, "en", "s", 1)]), k=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (2, 2, True)]
+
+
+def test_texts_that_a_polynomial_hash_confuses_stay_apart(spark):
+    first, second = alternating(1024)
+    check(spark, [(1, f"{first} one two three four", "en", "s", 1), (2, f"{second} one two three four", "en", "s", 1), (3, first, "en", "s", 1), (4, second, "en", "s", 1)])
+
+
+def test_one_row_of_each_group_stays(spark):
+    other = " ".join(f"unique{i}" for i in range(40))
+    rows = [(1, BASE), (2, BASE), (2, other), (3, "q r s t u v"), (3, "q r s t u v"), (4, None), (4, None), (None, BASE), (None, BASE)]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows]).withColumnRenamed("source", "a.b").withColumnRenamed("found", "name")
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    want = [(1, BASE), (2, other), (3, "q r s t u v"), (4, None), (None, BASE), (None, BASE)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
