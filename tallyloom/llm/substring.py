@@ -5,12 +5,17 @@ winnowing: among the ``length - gram + 1`` grams of a window the one with the
 least hash is its anchor, so equal windows have equal anchors wherever they
 stand.  Only windows whose anchor occurs in two documents are named by hash and
 counted; of those that do repeat, the first document's text is the reference,
-each repeated window once.  Reference passages are cut into shards of bounded
-size.  A shard's suffix automaton is built in each task that needs it, and the
-repeated passages of later documents stream through it: matching statistics of
-at least ``length`` words that reach a smaller document mark a window, compared
-word by word.  A shard wanted by very many documents is handed to several tasks,
-each with a share of those documents.
+each repeated window once.  So a join of hashes does the search, because automata
+of all documents would have to meet all documents (the README has figures), and
+the automata decide on words: reference passages are cut into shards of bounded
+size, a shard's suffix automaton is built in each task that needs it, and the
+repeated passages of later documents stream through it; matching statistics of
+at least ``length`` words that reach a smaller document mark a window.  A shard
+wanted by very many documents is handed to several tasks, each with a share of
+those documents.
+
+Documents are told apart by doc_id and text.  A repeated row goes through all of
+this once, and its result is joined back to each.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import gram_hashes, hash_runs, mix, signed, slices, text_bytes, words_of
+from .arrays import gram_hashes, hash_runs, signed, slices, text_bytes, words_of
+from .columns import set_aside
 from .scratch import Scratch
 
 #: Words of reference in one automaton, words of later documents for one task, and
@@ -72,12 +78,6 @@ class Words:
         data, starts, ends = self.data, self.starts, self.ends
         return b" ".join(data[starts[a] : ends[b - 1]].tobytes().split()) if b > a else b""
 
-    def tag(self, i: int) -> int:
-        """A hash of row i's words, telling apart texts that share a doc_id."""
-        own = self.hashes[self.at[i] : self.at[i + 1]]
-        with np.errstate(over="ignore"):
-            return int(signed(mix(own + np.arange(len(own), dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64))[0])
-
 
 class SuffixAutomaton:
     """Suffix automaton of passages of words; each state knows the smallest owner of its strings."""
@@ -155,7 +155,7 @@ class SuffixAutomaton:
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, n_words, sha (of the words joined by one space), anchors (distinct)."""
+    """doc_id, name, n_words, sha (of the words joined by one space), anchors (distinct) from (doc_id, name, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +167,14 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 found, rows = w.anchor_hash[change], w.row[change]
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 lists = [np.unique(signed(found[a:b])) for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(w.at), pa.int64()), pa.array(shas), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n_words", "sha", "anchors"])
+                columns = [part.column("doc_id"), part.column("name"), pa.array(np.diff(w.at), pa.int64()), pa.array(shas), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n_words", "sha", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha string, anchors array<long>")
+    return docs.select("doc_id", "name", "text").mapInArrow(run, "doc_id long, name long, n_words long, sha string, anchors array<long>")
 
 
 def candidate_windows(candidates: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, doc_id, s): windows of the candidates whose anchor another document shares."""
+    """(h, doc_id, row, s): windows of the candidates whose anchor another document shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,17 +185,18 @@ def candidate_windows(candidates: DataFrame, length: int, gram: int) -> DataFram
                 for i in range(part.num_rows):
                     a, b = w.row_at[i], w.row_at[i + 1]
                     keep[a:b] = np.isin(signed(w.anchor_hash[a:b]), lists[i].values.to_numpy())
-                ids = part.column("doc_id").to_numpy()[w.row[keep]]
+                row = w.row[keep]
                 start = (w.first - w.at[w.row])[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w.window_hash[keep])), pa.array(ids), pa.array(start.astype(np.int32))], ["h", "doc_id", "s"])
+                columns = [pa.array(signed(w.window_hash[keep])), *(pa.array(part.column(c).to_numpy()[row]) for c in ("doc_id", "row")), pa.array(start.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "row", "s"])
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "h long, doc_id long, s int")
+    return candidates.select("doc_id", "row", "text", "anchors").mapInArrow(run, "h long, doc_id long, row long, s int")
 
 
 def passages(candidates: DataFrame, length: int, gram: int) -> DataFrame:
     """Maximal runs of repeated windows with one owner and chunk: the owner's own (reference) and later documents'.
 
-    owner, chunk, reference, doc_id, tag, start, n (words), words.
+    owner, chunk, reference, doc_id, row, start, n (words), words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,35 +218,37 @@ def passages(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                     hit = known[at] == mine
                     own, part_of = np.where(hit, owner[at], -1), np.where(hit, chunk[at], -1)
                     cut = np.flatnonzero((np.diff(own) != 0) | (np.diff(part_of) != 0) | (np.diff(hit.astype(np.int8)) != 0)) + 1
-                    doc, tag, base = part.column("doc_id")[i].as_py(), w.tag(i), int(w.at[i])
+                    doc, number, base = part.column("doc_id")[i].as_py(), part.column("row")[i].as_py(), int(w.at[i])
                     for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(mine)]):
                         if hit[x]:
-                            row = (int(own[x]), int(part_of[x]), bool(own[x] == doc), doc, tag, x, y - x + length - 1, w.joined(base + x, base + y + length - 1))
+                            n = y - x + length - 1
+                            row = (int(own[x]), int(part_of[x]), bool(own[x] == doc), doc, number, x, n, w.joined(base + x, base + x + n))
                             for values, value in zip(out, row):
                                 values.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["owner", "chunk", "reference", "doc_id", "tag", "start", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["owner", "chunk", "reference", "doc_id", "row", "start", "n", "words"])
 
-    return candidates.mapInArrow(run, "owner long, chunk int, reference boolean, doc_id long, tag long, start int, n int, words binary")
+    return candidates.mapInArrow(run, "owner long, chunk int, reference boolean, doc_id long, row long, start int, n int, words binary")
 
 
-def matched_windows(regions: DataFrame, length: int) -> DataFrame:
-    """(doc_id, tag, spans): starts and ends of the removable stretches of each later passage."""
+def matched_windows(regions: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(row, spans): starts and ends of the removable stretches of each later passage."""
     sized = regions.where("reference").agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-sized // SHARD_WORDS))
     placed = regions.withColumn("shard", F.pmod(F.xxhash64("owner", "chunk"), F.lit(shards)))
-    loads = placed.where("not reference").groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WORDS).alias("tasks"))
+    loads = scratch.save(placed.where("not reference").groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WORDS).alias("tasks")), "loads")
     placed = placed.join(loads, "shard")
     copies = placed.where("reference").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
-    later = placed.where("not reference").withColumn("task", F.pmod(F.xxhash64("doc_id", "start"), "tasks"))
-    both = copies.select("shard", "task", "reference", "owner", "doc_id", "tag", "start", "words").unionByName(later.select("shard", "task", "reference", "owner", "doc_id", "tag", "start", "words"))
+    later = placed.where("not reference").withColumn("task", F.pmod(F.xxhash64("row", "start"), "tasks"))
+    names = ["shard", "task", "reference", "owner", "doc_id", "row", "start", "words"]
+    both = copies.select(*names).unionByName(later.select(*names))
     sorted_ = both.repartition("shard", "task").sortWithinPartitions("shard", "task", F.desc("reference"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, automaton, open_ = None, SuffixAutomaton(), True
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for shard, task, reference, owner, doc, tag, start, words in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            out: list[list] = [[], []]
+            for shard, task, reference, owner, doc, row, start, words in zip(*(batch.column(c).to_pylist() for c in names)):
                 if key != (shard, task):
                     key, automaton, open_ = (shard, task), SuffixAutomaton(), True
                 if reference:
@@ -260,18 +264,15 @@ def matched_windows(regions: DataFrame, length: int) -> DataFrame:
                     else:
                         spans += (start + end - length + 1, start + end + 1)
                 if spans:
-                    for values, value in zip(out, (doc, tag, spans)):
-                        values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["doc_id", "tag", "spans"])
+                    out[0].append(row)
+                    out[1].append(spans)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32()))], ["row", "spans"])
 
-    return sorted_.mapInArrow(run, "doc_id long, tag long, spans array<int>")
+    return sorted_.mapInArrow(run, "row long, spans array<int>")
 
 
 def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Documents (doc_id, text, found: their spans and tags) to n_words, n_removed and the words kept, in UTF-8.
-
-    ``name`` is the text's hash by Spark, which finds the row again.
-    """
+    """Documents (doc_id, name, text, found: lists of spans) to doc_id, name, n_removed and the words kept, in UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,62 +280,68 @@ def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 w = Words(part.column("text"), length, gram)
                 removed, kept = [], []
                 for i in range(part.num_rows):
-                    n, tag = int(w.at[i + 1] - w.at[i]), w.tag(i)
+                    n = int(w.at[i + 1] - w.at[i])
                     gone = np.zeros(n, bool)
-                    for f in part.column("found")[i].as_py():
-                        if f["tag"] == tag:
-                            for a, b in zip(f["spans"][::2], f["spans"][1::2]):
-                                gone[a:b] = True
+                    for spans in part.column("found")[i].as_py():
+                        for a, b in zip(spans[::2], spans[1::2]):
+                            gone[a:b] = True
                     words = w.joined(int(w.at[i]), int(w.at[i + 1])).split(b" ") if n else []
                     removed.append(int(gone.sum()))
                     kept.append(b" ".join([words[j] for j in np.flatnonzero(~gone).tolist()]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("name"), pa.array(np.diff(w.at), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "name", "n_words", "n_removed", "kept"])
+                columns = [part.column("doc_id"), part.column("name"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n_removed", "kept"])
 
-    named = docs.select("doc_id", F.xxhash64("text").alias("name"), "text", "found")
-    return named.mapInArrow(run, "doc_id long, name long, n_words long, n_removed long, kept binary")
+    return docs.select("doc_id", "name", "text", "found").mapInArrow(run, "doc_id long, name long, n_removed long, kept binary")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What each document loses: (all rows with n_words, sha and ``first``, the smallest doc_id with the same words;
-    candidate texts; (doc_id, found) for the documents with spans to remove)."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+def repeated_words(docs: DataFrame, scratch: Scratch, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """What each row of (doc_id, name, text) loses: (all rows with n_words, sha and ``copy``, whether an
+    earlier document has the same words; doc_id, name, n_removed and kept of the others that lose words)."""
     base = scratch.save(anchors(docs, length, gram), "anchors")
-    same = base.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    once = base.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    rows = base.select("doc_id", "n_words", "sha").join(same, "sha").join(once, "doc_id")
-    # A later copy of a whole document loses everything; an id with several texts is judged window by window.
-    rows = scratch.save(rows.select("doc_id", "n_words", "sha", ((F.col("first") < F.col("doc_id")) & (F.col("rows") == 1) & (F.col("n_words") >= length)).alias("copy")), "rows")
-    single = base.join(rows.where("not copy").select("doc_id").distinct(), "doc_id", "left_semi").where("n_words >= %d" % length)
-    by_anchor = single.select("doc_id", F.explode("anchors").alias("anchor"))
+    long_ = base.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
+    # Written first, so that Spark can split the join of a large group of copies.
+    same = scratch.save(long_.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first"), "same")
+    rows = base.join(same, "sha", "left").select("doc_id", "name", "n_words", "sha", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"), "anchors")
+    rows = scratch.save(rows, "rows")
+    scratch.drop(base, same)
+    by_anchor = rows.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull() & ~F.col("copy"))
+    by_anchor = by_anchor.select("doc_id", "name", F.explode("anchors").alias("anchor"))
     shared = by_anchor.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     shared = scratch.save(shared, "shared")
-    wanted = by_anchor.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = scratch.save(docs.join(wanted, "doc_id"), "candidates")
-    windows = candidate_windows(candidates, length, gram)
+    wanted = by_anchor.join(shared, "anchor").groupBy("doc_id", "name").agg(F.collect_set("anchor").alias("anchors"))
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "name"])
+    candidates = once.join(wanted, ["doc_id", "name"]).withColumn("row", F.monotonically_increasing_id())
+    candidates = scratch.save(candidates, "candidates")
+    windows = scratch.save(candidate_windows(candidates, length, gram), "windows")
     firsts = windows.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
     firsts = firsts.select("h", F.col("first.doc_id").alias("owner"), F.floor(F.col("first.s") / CHUNK).cast("int").alias("chunk"))
     firsts = scratch.save(firsts, "firsts")
-    found = windows.select("h", "doc_id").join(firsts, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "owner", "chunk")).alias("found"))
-    regions = scratch.save(passages(candidates.select("doc_id", "text").join(found, "doc_id"), length, gram), "passages")
-    spans = matched_windows(regions, length).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "spans")).alias("found"))
-    return rows, candidates, scratch.save(spans, "spans")
+    found = windows.select("h", "row").join(firsts, "h").groupBy("row").agg(F.collect_list(F.struct("h", "owner", "chunk")).alias("found"))
+    regions = scratch.save(passages(candidates.select("doc_id", "row", "text").join(found, "row"), length, gram), "passages")
+    scratch.drop(shared, windows, firsts)
+    spans = matched_windows(regions, length, scratch).groupBy("row").agg(F.collect_list("spans").alias("found"))
+    changed = cut(candidates.join(spans, "row"), length, gram).where("n_removed > 0")
+    changed = scratch.save(changed, "changed")
+    scratch.drop(candidates, regions)
+    return rows, changed
 
 
 def substring_digests(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row with a doc_id.
+    """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A word goes if a window of
     ``length`` words that covers it also starts in a document with a smaller
     doc_id.  Null and empty texts have no words; rows that share a doc_id don't
-    count as earlier than each other.
+    count as earlier than each other; a row without a doc_id is earlier than none,
+    has none before it and loses nothing.  Other columns are ignored; an empty
+    table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    rows, candidates, spans = repeated_spans(docs, scratch, length, gram)
-    changed = cut(candidates.select("doc_id", "text").join(spans, "doc_id"), length, gram)
-    changed = changed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    rest = rows.join(spans.select("doc_id"), "doc_id", "left_anti")
-    gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0).cast("long"))
-    return rest.select("doc_id", "n_words", gone.alias("n_removed"), F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256")).unionByName(changed)
+    rows, changed = repeated_words(docs.select("doc_id", "text", F.xxhash64("text").alias("name")), scratch, length, gram)
+    out = rows.join(changed.select("doc_id", "name", "n_removed", F.sha2("kept", 256).alias("cut_sha")), ["doc_id", "name"], "left")
+    removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
+    sha = F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut_sha", "sha"))
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
@@ -344,10 +351,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFra
     empty); all other rows, also those without a doc_id, stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    rows, candidates, spans = repeated_spans(docs, scratch, length, gram)
-    cut_ = cut(candidates.select("doc_id", "text").join(spans, "doc_id"), length, gram).where("n_removed > 0")
-    copies = rows.where("copy").select("doc_id", F.lit(None).cast("long").alias("name"), F.lit(b"").alias("kept"))  # whatever the text
-    changed = cut_.select("doc_id", "name", "kept").unionByName(copies).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("name", "kept")).alias("__new"))
-    new = F.filter("__new", lambda x: x["name"].isNull() | (x["name"] == F.xxhash64("text")))
-    text = F.when(F.size(new) > 0, new[0]["kept"].cast("string")).otherwise(F.col("text"))
-    return docs.join(changed, F.col("doc_id") == F.col("__id"), "left").withColumn("text", text).select(*docs.columns)
+    own, back = set_aside(docs, ["doc_id", "text"])
+    own = own.withColumn("name", F.xxhash64("text"))
+    rows, changed = repeated_words(own.select("doc_id", "text", "name"), scratch, length, gram)
+    copies = rows.where("copy").select("doc_id", "name").distinct().withColumn("kept", F.lit(b""))
+    new = scratch.save(changed.select("doc_id", "name", "kept").unionByName(copies), "new")
+    text = F.when(F.col("kept").isNotNull(), F.col("kept").cast("string")).otherwise(F.col("text"))
+    return back(own.join(new, ["doc_id", "name"], "left").withColumn("text", text))

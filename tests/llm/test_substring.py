@@ -3,6 +3,7 @@ import random
 
 from helpers import BASE, documents, empty, odd_rows
 
+from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.substring import SuffixAutomaton, remove_repeats, substring_digests
 
 
@@ -39,6 +40,7 @@ def test_odd_rows(spark):
     assert substring_digests(empty(spark)).count() == 0
     alone = documents(spark, [(None, BASE, "en", "s", 1), (1, BASE, "en", "s", 1)])
     assert sorted(r.text for r in remove_repeats(alone).collect()) == [BASE, BASE]
+    assert [r.n_removed for r in substring_digests(alone).collect()] == [0, 0]
 
 
 def test_passages_copies_and_repeats(spark):
@@ -69,3 +71,25 @@ def test_automaton_finds_what_search_finds():
         for below in (0, 2, 9):
             want = [e for e in range(2, 40) if any(p[j : j + 3] == text[e - 2 : e + 1] for p, o in passages if o < below for j in range(len(p) - 2))]
             assert machine.matches(text, 3, below) == want
+
+
+def test_repeated_rows_stay_linear(spark, monkeypatch):
+    """Two documents that share a passage, each repeated 50 times: the tables inside don't grow with the repeats squared."""
+    written, save = [], Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rows = [(1, "one " + BASE, "en", "s", 1)] * 50 + [(2, BASE + " two", "en", "s", 1)] * 50
+    check(spark, rows, 50, 20)
+    assert all(n <= 100 for _, n in written), written
+
+
+def test_columns_with_odd_names_stay(spark):
+    docs = documents(spark, [(1, BASE, "en", "s", 1), (2, BASE + " x", "en", "s", 1)])
+    docs = docs.withColumnRenamed("source", "a.b").withColumnRenamed("found", "name").withColumnRenamed("ids", "__new").withColumnRenamed("key", "__id")
+    out = remove_repeats(docs)
+    assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == sorted([BASE, "x"])
