@@ -3,8 +3,9 @@
 Each stage takes the documents that the one before kept; all but the last return
 the columns of ``documents``.  Null and empty texts leave at the first stage (no
 trusted text resembles them); rows without a doc_id pass all stages that compare
-documents unchanged; an empty table passes through.  Columns beyond those a stage
-needs, whatever their names, stay untouched.
+documents unchanged; of a repeated row (same doc_id and text) one passes the third
+stage; an empty table passes through.  Columns beyond those a stage needs, whatever
+their names, stay untouched.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import set_aside
-from tallyloom.llm.minhash import near_duplicates
+from tallyloom.llm.columns import named, set_aside
+from tallyloom.llm.minhash import drop_near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.quality import score_quality
 from tallyloom.llm.queries import table, vocabulary
@@ -40,18 +41,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near duplicates (five words, similarity 0.8)."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, one with the smallest doc_id, of each group of near duplicates (five words, similarity 0.8) and of repeats."""
+    return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word windows that a document with a smaller doc_id holds; n_chars follows the text."""
-    own, back = set_aside(docs, ["doc_id", "text", "n_chars"])
-    out = remove_repeats(own)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return back(out)
+    out = remove_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(n_chars if c == "n_chars" else named(c) for c in out.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
