@@ -2,12 +2,16 @@
 
 A small network sees ``SIDE`` words on either side of a masked word and predicts
 it; the sum of the log-probabilities of all a document's words, each given its
-neighbours, scores the document.  The vocabulary is the most frequent words of
-the whole corpus, counted in Spark, and a fixed number of classes of rarer words
-by their ending.  Training is data-parallel: every task runs plain Adam in numpy
-over all its documents, and the tasks' weights are averaged in a tree, round after
-round.  Round i of n takes every n-th position of a document from the i-th on, so
-all rounds together train on each position once.
+neighbours, scores the document.  Every word of the corpus is in the vocabulary.
+The ``FREQUENT`` most frequent words are outputs of the network; each other word
+belongs to one of ``RARE`` outputs by its ending, and its share of that output is
+its share of the output's count, from word counts over all documents that are kept
+and joined in Spark.  The output is a softmax of two levels, class and member.
+
+Training is synchronous: a hash of doc_id and text deals all documents into
+``steps`` mini-batches; for each, tasks sum the gradient over their documents, the
+sums meet in a tree, and one Adam step follows.  All positions train once, and the
+weights don't depend on how the documents lie in partitions (but for rounding).
 """
 
 from __future__ import annotations
@@ -20,37 +24,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, IntTable, hash_runs, mix, signed, slices, text_bytes, words_of
+from .arrays import LOWER, IntTable, hash_runs, signed, slices, text_bytes, words_of
 from .scratch import Scratch
 
-FREQUENT, ENDINGS, SIDE, WIDTH, HIDDEN = 192, 64, 2, 16, 32
-VOCABULARY = FREQUENT + ENDINGS
-PAD = VOCABULARY
-SHAPES = [(VOCABULARY + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCABULARY), (VOCABULARY,)]
-SIZE = sum(math.prod(s) for s in SHAPES)
-BATCH = 4096
+CLASSES, MEMBERS, RARE = 64, 64, 64
+FREQUENT = CLASSES * MEMBERS - RARE
+#: The token beyond either end of a document.
+PAD = CLASSES * MEMBERS
+SIDE, WIDTH, HIDDEN = 2, 16, 32
+SHIFTS = [d for d in range(-SIDE, SIDE + 1) if d]
+SHAPES = {
+    "table": (PAD + 1, WIDTH),
+    "w1": (len(SHIFTS) * WIDTH, HIDDEN),
+    "b1": (HIDDEN,),
+    "wc": (HIDDEN, CLASSES),
+    "bc": (CLASSES,),
+    "wm": (CLASSES, HIDDEN, MEMBERS),
+    "bm": (CLASSES, MEMBERS),
+}
+SIZE = sum(math.prod(s) for s in SHAPES.values())
+#: Words whose counts every task holds (the rest are joined), tokens in one go, tokens for a task of a step, sums that meet at once.
+KNOWN, BATCH, TASK_TOKENS, FAN = 1 << 17, 8192, 100_000, 32
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(w, n): how often each word (by hash) occurs in all texts; a task sends one row for a word it has seen."""
+    """(w, rare, n): each word (by hash), the output of rare words that it would belong to, and how often it occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            words, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            distinct, which = np.unique(words, return_inverse=True)
-            return distinct, np.bincount(which, n, len(distinct)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            words, rare, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            distinct, at, which = np.unique(words, return_index=True, return_inverse=True)
+            return distinct, rare[at], np.bincount(which, n, len(distinct)).astype(np.int64)
 
-        def row(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n)], ["w", "n"])
+        def row(words: np.ndarray, rare: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(rare), pa.array(n)], ["w", "rare", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 data = LOWER[data]
                 starts, ends, _ = words_of(data, offsets)
-                held.append(np.unique(hash_runs(data, starts, ends), return_counts=True))
+                words, at, n = np.unique(hash_runs(data, starts, ends), return_index=True, return_counts=True)
+                held.append((words, endings(data, starts[at], ends[at]), n))
                 if len(held) == 16:
                     held[:] = [merged()]
                     if len(held[0][0]) > 500_000:  # bounds the task's memory
@@ -58,167 +75,308 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield row(*merged())
 
-    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def tokens(data: np.ndarray, offsets: np.ndarray, table: IntTable) -> tuple[np.ndarray, np.ndarray]:
-    """Token of each word and each row's offsets into them."""
+    parts = docs.select("text").mapInArrow(run, "w long, rare int, n long")
+    return parts.groupBy("w").agg(F.first("rare").alias("rare"), F.sum("n").alias("n"))
+
+
+def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The output, from 0 to RARE - 1, that words with these last two bytes share."""
+    return (hash_runs(data, np.maximum(starts, ends - 2), ends) % np.uint64(RARE)).astype(np.int32)
+
+
+class Vocabulary:
+    """The words that every task knows: hashes by falling count, their counts, and the count of each output of rare words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rare_totals: np.ndarray):
+        self.words, self.logs = words, np.log(np.maximum(counts, 1))
+        self.counts = counts[:FREQUENT]
+        self.rare_logs = np.log(np.maximum(rare_totals, 1))
+        self.rare_totals = rare_totals
+
+    def table(self) -> IntTable:
+        return IntTable(self.words, np.arange(len(self.words), dtype=np.int32))
+
+    def output_counts(self) -> np.ndarray:
+        out = np.zeros(PAD)
+        out[: len(self.counts)] = self.counts
+        out[FREQUENT:] = self.rare_totals
+        return out
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """From a written table of word counts.  Words come in levels by the logarithm of their count; whole
+    levels, the highest first, are known to every task while they hold at most KNOWN words together."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"])  # under 512 rows
+    total, lowest = 0, 1 << 30
+    for r in sizes:
+        total += r["k"]
+        if total > KNOWN:
+            break
+        lowest = r["level"]
+    top = counts.where(level >= lowest).select("w", "rare", "n").toArrow()  # at most KNOWN rows
+    words, n = top["w"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((words, -n))
+    totals = np.zeros(RARE)
+    for r in counts.groupBy("rare").agg(F.sum("n").alias("n")).collect():  # RARE rows
+        totals[r["rare"]] = r["n"]
+    frequent = order[:FREQUENT]
+    totals -= np.bincount(top["rare"].to_numpy()[frequent], n[frequent], RARE)
+    return Vocabulary(words[order], n[order], totals)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, table: IntTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token of each word, its place among the known words (-1: not known), its hash, and each row's offsets into them."""
     data = LOWER[data]
     starts, ends, at = words_of(data, offsets)
-    known = table.get(signed(hash_runs(data, starts, ends)))
-    ending = mix(hash_runs(data, np.maximum(starts, ends - 2), ends)) % np.uint64(ENDINGS)
-    return np.where(known >= 0, known, FREQUENT + ending.astype(np.int64)).astype(np.int64), at
+    hashes = hash_runs(data, starts, ends)
+    known = table.get(signed(hashes))
+    out = known.astype(np.int64)
+    rare = np.flatnonzero((known < 0) | (known >= FREQUENT))
+    out[rare] = FREQUENT + endings(data, starts[rare], ends[rare])
+    return out, known, hashes, at
 
 
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE neighbours of each token, PAD beyond its document."""
-    n = len(ids)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    padded = np.concatenate([np.full(SIDE, PAD), ids, np.full(SIDE, PAD)])
-    rows = np.concatenate([np.full(SIDE, -1), row, np.full(SIDE, -1)])
-    shifts = [d for d in range(-SIDE, SIDE + 1) if d]
-    return np.stack([np.where(rows[SIDE + d : SIDE + d + n] == row, padded[SIDE + d : SIDE + d + n], PAD) for d in shifts], axis=1)
+def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One sequence with SIDE pads before, between and after the rows, and the place of each token in it."""
+    place = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(at) - 1), np.diff(at)))
+    out = np.full(len(ids) + SIDE * len(at), PAD, np.int64)
+    out[place] = ids
+    return out, place
 
 
-def start_weights() -> np.ndarray:
+def start_weights(output_counts: np.ndarray) -> np.ndarray:
+    """Random inner weights; the biases are the outputs' own frequencies, so training starts from the unigram model."""
     rng = np.random.default_rng(11)
-    parts = [rng.standard_normal(s) * (0.1 if len(s) < 2 or s[0] > 2 * SIDE * WIDTH else 1 / math.sqrt(s[0])) * (len(s) > 1) for s in SHAPES]
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
-
-
-def views(flat: np.ndarray) -> list[np.ndarray]:
-    out, at = [], 0
-    for s in SHAPES:
-        out.append(flat[at : at + math.prod(s)].reshape(s))
+    w = {name: np.zeros(shape) for name, shape in SHAPES.items()}
+    w["table"] = rng.standard_normal(SHAPES["table"]) * 0.3
+    w["w1"] = rng.standard_normal(SHAPES["w1"]) / math.sqrt(SHAPES["w1"][0])
+    w["wc"], w["wm"] = rng.standard_normal(SHAPES["wc"]) * 0.02, rng.standard_normal(SHAPES["wm"]) * 0.02
+    share = (output_counts + 0.1).reshape(CLASSES, MEMBERS)
+    w["bc"] = np.log(share.sum(1) / share.sum())
+    w["bm"] = np.log(share / share.sum(1, keepdims=True))
+    return np.concatenate([w[name].ravel() for name in SHAPES]).astype(np.float32)
+
+
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, s in SHAPES.items():
+        out[name] = flat[at : at + math.prod(s)].reshape(s)
         at += math.prod(s)
     return out
 
 
-def log_probabilities(weights: list[np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(target | neighbours)."""
-    table, w1, b1, w2, b2 = weights
-    hidden = np.tanh(table[near].reshape(len(near), -1) @ w1 + b1)
-    logits = hidden @ w2 + b2
-    top = logits.max(1)
-    chosen = logits[np.arange(len(target)), target] - top
-    logits -= top[:, None]
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each logit (kept within +-60, so that nothing overflows or vanishes), in place, and the sum of each row."""
+    np.clip(logits, -60, 60, out=logits)
     np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(1))
-
-
-def gradient(weights: list[np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
-    table, w1, b1, w2, b2 = weights
-    x = table[near].reshape(len(near), -1)
-    hidden = np.tanh(x @ w1 + b1)
-    logits = hidden @ w2 + b2
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(target)), target] -= 1
-    p /= len(target)
-    back = (p @ w2.T) * (1 - hidden * hidden)
-    to_table = np.zeros_like(table)
-    np.add.at(to_table, near.ravel(), (back @ w1.T).reshape(-1, WIDTH))
-    return np.concatenate([g.ravel() for g in (to_table, x.T @ back, back.sum(0), hidden.T @ p, p.sum(0))])
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+class Pass:
+    """The network over tokens a to b of a padded sequence."""
+
+    def __init__(self, w: dict[str, np.ndarray], seq: np.ndarray, a: int, b: int):
+        self.w, self.seq, self.a, self.b = w, seq, a, b
+        vectors = w["table"].take(seq[a - SIDE : b + SIDE], axis=0)
+        self.x = np.concatenate([vectors[SIDE + d : SIDE + d + b - a] for d in SHIFTS], axis=1)
+        self.hidden = np.tanh(self.x @ w["w1"] + w["b1"])
+        target = seq[a:b]
+        self.order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # members are scored class by class
+        target = target[self.order]
+        self.real = target < PAD
+        self.class_ = np.minimum(target // MEMBERS, CLASSES - 1)
+        self.member = np.where(self.real, target % MEMBERS, 0)
+        self.sorted = self.hidden.take(self.order, axis=0)
+        cuts = np.searchsorted(self.class_, np.arange(CLASSES + 1)).tolist()
+        self.runs = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+        self.classes, self.class_sums = _exponentials(self.sorted @ w["wc"] + w["bc"])
+        members = np.empty((b - a, MEMBERS), self.hidden.dtype)
+        for c, i, j in self.runs:
+            np.matmul(self.sorted[i:j], w["wm"][c], out=members[i:j])
+            members[i:j] += w["bm"][c]
+        self.members, self.member_sums = _exponentials(members)
+
+    def log_probabilities(self) -> np.ndarray:
+        """log p(token | neighbours) for each token, 0 for pads, in their order."""
+        row = np.arange(len(self.order))
+        share = self.classes[row, self.class_].astype(np.float64) * self.members[row, self.member]
+        out = np.empty(len(self.order))
+        out[self.order] = np.where(self.real, np.log(share / (self.class_sums.astype(np.float64) * self.member_sums)), 0.0)
+        return out
+
+    def gradient(self, into: dict[str, np.ndarray]) -> None:
+        """Add the gradient of the summed loss; the exponentials are used up."""
+        w, row = self.w, np.arange(len(self.order))
+        back_c, back_m = self.classes, self.members
+        back_c /= self.class_sums[:, None]
+        back_m /= self.member_sums[:, None]
+        back_c[row, self.class_] -= 1
+        back_m[row, self.member] -= 1
+        back_c[~self.real] = 0
+        back_m[~self.real] = 0
+        into["wc"] += self.sorted.T @ back_c
+        into["bc"] += back_c.sum(0)
+        back = back_c @ w["wc"].T
+        for c, i, j in self.runs:
+            into["wm"][c] += self.sorted[i:j].T @ back_m[i:j]
+            into["bm"][c] += back_m[i:j].sum(0)
+            back[i:j] += back_m[i:j] @ w["wm"][c].T
+        inner = np.empty_like(back)
+        inner[self.order] = back
+        inner *= 1 - self.hidden * self.hidden
+        into["w1"] += self.x.T @ inner
+        into["b1"] += inner.sum(0)
+        # Token j is neighbour d of token j - d: one vector for each token gathers what all its roles send back.
+        n = self.b - self.a
+        to_token = np.zeros((n + 2 * SIDE, WIDTH), back.dtype)
+        for k, d in enumerate(SHIFTS):
+            to_token[SIDE + d : SIDE + d + n] += inner @ w["w1"][k * WIDTH : (k + 1) * WIDTH].T
+        near = self.seq[self.a - SIDE : self.b + SIDE]
+        for i in range(WIDTH):
+            into["table"][:, i] += np.bincount(near, to_token[:, i], PAD + 1)
+
+
+def batches_of(seq: np.ndarray) -> Iterator[tuple[int, int]]:
+    for a in range(SIDE, len(seq) - SIDE, BATCH):
+        yield a, min(a + BATCH, len(seq) - SIDE)
+
+
+def summed_gradient(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, into: np.ndarray) -> None:
+    """Add the gradient over rows of tokens to the flat vector ``into``."""
+    seq, _ = padded(ids, at)
+    parts = views(into)
+    for a, b in batches_of(seq):
+        Pass(w, seq, a, b).gradient(parts)
 
 
 class Adam:
     def __init__(self, rate: float):
         self.rate, self.t = rate, 0
-        self.m = self.v = np.zeros(SIZE, np.float32)
+        self.m = self.v = np.zeros(SIZE)
 
-    def step(self, flat: np.ndarray, g: np.ndarray) -> None:
+    def step(self, flat: np.ndarray, g: np.ndarray, rate: float) -> np.ndarray:
         self.t += 1
         self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.99 * self.v + 0.01 * g * g
-        flat -= (self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+        self.v = 0.98 * self.v + 0.02 * g * g
+        move = (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.98**self.t)) + 1e-7)
+        return (flat - self.rate * rate * move).astype(np.float32)
+
 
+def token_batches(docs: DataFrame, known: Vocabulary, steps: int, slots: int) -> DataFrame:
+    """(step, slot, ids): tokens of each document, its mini-batch, and a slot within it in turn."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # KNOWN words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, turn = shared.value.table(), 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, _, _, at = tokens(*text_bytes(part.column("text")), table)
+                flat = ids.astype("<u2").tobytes()
+                slot = (turn + np.arange(part.num_rows)) % slots
+                turn += part.num_rows
+                lists = pa.array([flat[2 * a : 2 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("step"), pa.array(slot.astype(np.int32)), lists], ["step", "slot", "ids"])
 
-def positions(at: np.ndarray, i: int, rounds: int) -> np.ndarray:
-    """The tokens that round ``i`` trains on, by their place in their document."""
-    within = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
-    return np.flatnonzero(within % rounds == i)
+    dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).cast("int").alias("step"))
+    return dealt.mapInArrow(run, "step int, slot int, ids binary").where("length(ids) > 0")
 
 
-def _trained(docs: DataFrame, vocabulary: np.ndarray, flat: np.ndarray, turn: int, rounds: int, rate: float) -> DataFrame:
-    """(n, weights): each task's weights after its positions, and how many those were."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
+def _gradients(part: DataFrame, flat: np.ndarray) -> DataFrame:
+    """(n, g): the number of tokens and the summed gradient of each task."""
+    shared = part.sparkSession.sparkContext.broadcast(flat)  # SIZE numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = shared.value
-        table, own, adam, seen = IntTable(words, np.arange(len(words), dtype=np.int32)), start.copy(), Adam(rate), 0
+        w, total, n = views(shared.value), np.zeros(SIZE, np.float32), 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, at = tokens(*text_bytes(part.column("text")), table)
-                if not len(ids):
-                    continue
-                near = contexts(ids, at)
-                pick = positions(at, turn, rounds)
-                for i in range(0, len(pick), 512):
-                    at_ = pick[i : i + 512]
-                    adam.step(own, gradient(views(own), near[at_], ids[at_]))
-                seen += len(pick)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(own * np.float64(seen)).tolist()], pa.list_(pa.float64()))], ["n", "weights"])
+            for rows in slices(batch, "ids"):
+                data, offsets = text_bytes(rows.column("ids"))
+                summed_gradient(w, data.view("<u2").astype(np.int64), offsets // 2, total)
+                n += len(data) // 2
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "g"])
+
+    return part.select("ids").mapInArrow(run, "n long, g binary")
 
-    return docs.select("text").mapInArrow(run, "n long, weights array<double>")
+
+def _sum_of(parts: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
+    n, total = 0, np.zeros(SIZE)
+    for k, g in parts:
+        n, total = n + k, total + np.frombuffer(g, np.float32)
+    return n, total
 
 
 def _summed(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(SIZE)
-        for batch in batches:
-            for k, w in zip(batch.column("n").to_pylist(), batch.column("weights")):
-                n, total = n + k, total + w.values.to_numpy()
+        n, total = _sum_of((k, g) for batch in batches for k, g in zip(batch.column("n").to_pylist(), batch.column("g").to_pylist()))
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "weights"])
-
-    return parts.mapInArrow(run, "n long, weights array<double>")
-
-
-def train(docs: DataFrame, vocabulary: np.ndarray, scratch: Scratch, rounds: int = 2) -> np.ndarray:
-    """Weights averaged over all tasks, by tree: 64 results at a time meet in one task."""
-    flat = start_weights()
-    for i in range(rounds):
-        parts = scratch.save(_trained(docs, vocabulary, flat, i, rounds, 0.01 / (i + 1)), "weights")
-        left = parts.count()
-        while left > 64:
-            left = -(-left // 64)
-            parts = scratch.save(_summed(parts.repartition(left)), "weights")
-        found = _summed(parts.coalesce(1)).collect()
-        if found:
-            flat = (np.array(found[0]["weights"]) / found[0]["n"]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "g"])
+
+    return parts.mapInArrow(run, "n long, g binary")
+
+
+def train(docs: DataFrame, known: Vocabulary, scratch: Scratch, steps: int, rate: float) -> np.ndarray:
+    """One Adam step for each of ``steps`` mini-batches of (doc_id, text); each reads its own part of a written table."""
+    total = int(known.output_counts().sum())
+    slots = max(1, math.ceil(total / (steps * TASK_TOKENS)))
+    dealt = token_batches(docs, known, steps, slots).repartition(steps * slots, "step", "slot")
+    dealt = scratch.save(dealt, "tokens", partition_by="step")
+    flat, adam = start_weights(known.output_counts()), Adam(rate)
+    for i in range(steps):
+        parts, left = _gradients(dealt.where(F.col("step") == i).select("ids"), flat), slots
+        while left > FAN:
+            left = math.ceil(left / FAN)
+            parts = _summed(parts.repartition(left))
+        n, g = _sum_of((r["n"], r["g"]) for r in parts.coalesce(FAN).collect())  # about FAN sums of SIZE numbers
+        if n:
+            flat = adam.step(flat, g / n, 1 - 0.9 * i / steps)
+    scratch.drop(dealt)
     return flat
 
 
-def score_documents(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, steps: int = 32, rate: float = 0.06) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of (doc_id, text).
 
-    log_likelihood sums the natural log-probabilities of all words given their
-    neighbours.  Null, empty and wordless texts have 0 tokens, 0.0 and null.
-    Other columns are ignored; an empty table gives no rows.
+    log_likelihood sums the natural log-probabilities of all words (lower case)
+    given their neighbours.  Null, empty and wordless texts have 0 tokens, 0.0 and
+    null.  Repeated rows and null ids get a row each.  Other columns are ignored;
+    an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "masked_lm")
     docs = docs.select("doc_id", "text")
-    top = word_counts(docs).orderBy(F.desc("n"), "w").limit(FREQUENT).collect()  # FREQUENT rows
-    vocabulary = np.array([r["w"] for r in top], np.int64)
-    flat = train(docs, vocabulary, scratch, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))  # SIZE numbers
+    counts = scratch.save(word_counts(docs), "counts")
+    known = vocabulary(counts)
+    flat = train(docs, known, scratch, steps, rate)
+    shared = docs.sparkSession.sparkContext.broadcast((known, flat))  # KNOWN words and SIZE numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        table, weights = IntTable(words, np.arange(len(words), dtype=np.int32)), views(flat)
+        known, flat = shared.value
+        table, w = known.table(), views(flat)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, at = tokens(*text_bytes(part.column("text")), table)
-                near = contexts(ids, at)
+                ids, place_known, hashes, at = tokens(*text_bytes(part.column("text")), table)
                 logs = np.zeros(len(ids) + 1)
-                for i in range(0, len(ids), BATCH):
-                    logs[i + 1 : i + 1 + BATCH] = log_probabilities(weights, near[i : i + BATCH], ids[i : i + BATCH])
-                n = np.diff(at)
+                seq, place = padded(ids, at)
+                every = np.zeros(len(seq))
+                for a, b in batches_of(seq):
+                    every[a:b] = Pass(w, seq, a, b).log_probabilities()
+                logs[1:] = every[place]
+                rare = np.flatnonzero(ids >= FREQUENT)
+                logs[1 + rare] -= known.rare_logs[ids[rare] - FREQUENT]
+                local = rare[place_known[rare] >= 0]
+                logs[1 + local] += known.logs[place_known[local]]
+                rest = rare[place_known[rare] < 0]
                 upto = np.cumsum(logs)
-                total = upto[at[1:]] - upto[at[:-1]]
-                mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.where(n > 0, total, 0.0)), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                words = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, at), pa.int32()), pa.array(signed(hashes[rest]), pa.int64()))
+                columns = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(upto[at[1:]] - upto[at[:-1]]), words]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "known", "words"])
+
+    scored = docs.mapInArrow(run, "doc_id long, n long, known double, words array<long>").withColumn("row", F.monotonically_increasing_id())
+    scored = scratch.save(scored, "scored")
+    # The counts of all other words are joined; none of them is frequent, so no key is hot.
+    rest = scored.select("row", F.explode("words").alias("w")).join(counts.select("w", F.log("n").alias("log_n")), "w")
+    rest = rest.groupBy("row").agg(F.sum("log_n").alias("rest"))
+    total = F.when(F.col("n") > 0, F.col("known") + F.coalesce("rest", F.lit(0.0))).otherwise(0.0)
+    out = scored.select("row", "doc_id", "n", "known").join(rest, "row", "left").select("doc_id", F.col("n").alias("n_tokens"), total.alias("log_likelihood"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.withColumn("mean_log_likelihood", mean)

@@ -42,14 +42,14 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table."""
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """Write ``df`` as Parquet, in a folder for each value of ``partition_by`` if given, and return the written table."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, partitionBy=partition_by)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)

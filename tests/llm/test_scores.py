@@ -9,7 +9,7 @@ import pytest
 from helpers import documents, empty, labels, odd_rows
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, masked_lm, quality, queries, toxicity
+from tallyloom.llm import langid, quality, queries, toxicity
 from tallyloom.llm.arrays import text_bytes
 
 SF = "/root/testdata/sf0.01"
@@ -106,39 +106,3 @@ def test_language_of_odd_rows(spark):
 def test_codewords_are_apart(languages):
     code = langid.codewords(languages, 15)
     assert len({tuple(c) for c in code}) == languages and all(abs(c.sum()) < languages for c in code.T)
-
-
-def test_masked_words_gradient():
-    rng = np.random.default_rng(0)
-    flat = masked_lm.start_weights().astype(np.float64)
-    near, target = rng.integers(0, masked_lm.PAD + 1, (5, 2 * masked_lm.SIDE)), rng.integers(0, masked_lm.VOCABULARY, 5)
-    loss = lambda f: -masked_lm.log_probabilities(masked_lm.views(f), near, target).mean()
-    g = masked_lm.gradient(masked_lm.views(flat), near, target)
-    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-6), 30):
-        up, down = flat.copy(), flat.copy()
-        up[i] += 1e-5
-        down[i] -= 1e-5
-        assert math.isclose((loss(up) - loss(down)) / 2e-5, g[i], rel_tol=1e-3, abs_tol=1e-6)
-
-
-def test_masked_words_learn_more_than_frequencies(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    got = masked_lm.score_documents(docs).agg(F.sum("log_likelihood"), F.sum("n_tokens"), F.count("*")).first()
-    assert got[2] == 1000 and got[0] / got[1] > -0.8 * math.log(masked_lm.VOCABULARY)
-
-
-def test_masked_words_train_on_every_position_once(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100)
-    flat, words = masked_lm.start_weights(), np.zeros(0, np.int64)
-    seen = [masked_lm._trained(docs, words, flat, i, 2, 0.01).agg(F.sum("n")).first()[0] for i in range(2)]
-    assert sum(seen) == masked_lm.score_documents(docs).agg(F.sum("n_tokens")).first()[0]
-    at = np.array([0, 3, 3, 4, 9])
-    picks = [masked_lm.positions(at, i, 2).tolist() for i in range(2)]
-    assert sorted(picks[0] + picks[1]) == list(range(9)) and picks[0] == [0, 2, 3, 4, 6, 8]
-
-
-def test_masked_words_of_odd_rows(spark):
-    rows = {r.doc_id: r for r in masked_lm.score_documents(documents(spark, odd_rows())).collect()}
-    assert all(rows[i].n_tokens == 0 and rows[i].log_likelihood == 0 and rows[i].mean_log_likelihood is None for i in (0, 1, 2))
-    assert rows[7].n_tokens == 60_000 and rows[7].log_likelihood < 0
-    assert masked_lm.score_documents(empty(spark)).count() == 0
