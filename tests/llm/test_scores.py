@@ -4,13 +4,10 @@ import math
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from helpers import documents, empty, labels, odd_rows
-from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, quality, queries, toxicity
-from tallyloom.llm.arrays import text_bytes
+from tallyloom.llm import langid, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,45 +46,6 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxic_passages(empty(spark).drop("score"), toxicity.fit_toxicity(empty(spark), labels(spark))).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    text = spark.createDataFrame([("the cat sat on the mat the the the end",), ("a cat and a rat",)], "text string")
-    code = quality.alphabet(text)
-    p = np.exp(quality.kneser_ney(quality.trigram_counts(text, code)))
-    assert np.allclose(p.sum(-1), 1, atol=1e-4)
-    syms, upto = quality.symbols(*text_bytes(pa.array(["the cat"])), code)
-    keys, at = quality.trigrams(syms, upto)
-    counts = {(r.a, r.b, r.c): r.n for r in quality.trigram_counts(text, code).collect()}
-    a, b, c = (int(code[ord(x)]) for x in "the")
-    assert counts[a, b, c] == 3 and at.tolist() == [0, len(syms) - 2]
-
-
-def test_quality_on_labelled_rows(spark):
-    got = queries.op10_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
-    bad, good = got.where("quality = 0"), got.where("quality = 1")
-    assert bad.where("rejected").count() / bad.count() > 0.9
-    assert good.where("rejected").count() / good.count() < 0.02
-
-
-def test_quality_threshold_of_a_rare_language(spark):
-    """Forty trusted documents of a rare language set a threshold of their own."""
-    rng = random.Random(4)
-    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(40))
-    rows = [(i, text("abcde"), "common") for i in range(6000)] + [(i, text("fghijklmnopqrstuvwxyz"), "rare") for i in range(6000, 6050)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
-    got = quality.score_quality(docs, labels(spark, [(i, 1, 0) for i in range(6040)]))
-    assert got.where("lang = 'rare' and rejected").count() == 0
-    limits = {r.lang: r.threshold for r in got.select("lang", "threshold").distinct().collect()}
-    assert limits["rare"] > 1.5 * limits["common"]
-
-
-def test_quality_of_odd_rows(spark):
-    docs = documents(spark, odd_rows()).select("doc_id", "text", "lang", "source")
-    out = quality.score_quality(docs, labels(spark, [(3, 1, 0), (4, 1, 1), (8, 0, 0)]))
-    assert {r.doc_id for r in out.where("rejected").collect()} >= {0, 1, 2} and out.count() == docs.count()
-    assert quality.score_quality(docs, labels(spark)).where("rejected").count() == 3
-    assert quality.score_quality(empty(spark).select("doc_id", "text", "lang"), labels(spark)).count() == 0
-
-
 def test_language_on_held_out_rows(spark):
     got = queries.op7_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out")
