@@ -1,16 +1,19 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Tokens are lower-case runs of letters.  From labelled documents each token gets
-the log-odds of toxic against other text under Dirichlet priors: the prior of a
-token is centred on the odds of its stem (its first four characters), so an
-inflection never seen before takes its stem's evidence.  Neutral tokens have a
-small negative score.  A linear scan finds all maximal-scoring segments of a
-document (those that no longer or shorter segment beats).  Their scores are put
-on a scale of chance by extreme-value theory: with the background's scale
-lambda, the best segment of n tokens exceeds S with probability
-1 - exp(-K n exp(-lambda S)), and several segments count together by the sum
-statistic.  A logistic curve, fitted on labelled documents that gave no counts,
-turns the surprise into a score.
+Tokens are lower-case runs of letters.  From labelled documents every token gets
+the log-odds of toxic against other text under a mixture of two Dirichlet priors,
+one tight about the share of toxic documents (most tokens say nothing) and one of
+tokens that toxic documents own.  How likely the second is a priori for a token is
+what the counts of its stem (its first four characters) make it, so an inflection
+never seen before takes its stem's evidence, and a token seen once says little.  A
+constant is taken off each score, so that other text drifts downwards.  A
+linear scan finds all maximal-scoring segments of a document (those that no longer
+or shorter segment beats).  Their scores are put on a scale of chance by
+extreme-value theory: with the background's scale lambda, at which the mean of
+exp(lambda * score) over other text is 1, the best segment of n tokens exceeds S
+with probability 1 - exp(-K n exp(-lambda S)), and several segments count together
+by the sum statistic.  A logistic curve, fitted on labelled documents that gave no
+counts, turns the surprise into a score.
 """
 
 from __future__ import annotations
@@ -24,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, IntTable, hash_runs, runs, signed, slices, text_bytes
+from .columns import set_aside
 from .samples import bounded_sample, part_of
+from .scratch import Scratch
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 STEM = 4
-#: Largest models: tokens and stems with evidence of toxicity (bounds the broadcast).
-MOST_TOKENS = 20_000
+#: The two priors: documents that the tight one counts for, and (toxic, other) documents of the second; and how likely the second is.
+TIGHT, OWNED, RARE = 50.0, (1.5, 0.5), 0.01
+#: What is taken off each token's log-odds, at least.
+DRIFT = 0.5
 RIDGE = 0.01
 
 
@@ -40,7 +47,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends, at = runs(LETTERS[data], offsets)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     fifth = np.searchsorted(lead, starts) + STEM
-    stem_end = np.where(fifth < len(lead), lead[np.minimum(fifth, max(len(lead) - 1, 0))] if len(lead) else ends, len(data))
+    limits = np.append(lead, len(data))  # where each character begins, and the end
+    stem_end = limits[np.minimum(fifth, len(lead))]
     return hash_runs(data, starts, ends), hash_runs(data, starts, np.minimum(stem_end, ends)), at
 
 
@@ -61,51 +69,54 @@ def _counts(texts: DataFrame) -> DataFrame:
                 distinct, first = np.unique(token, return_index=True)
                 sums = np.add.reduceat(label, first) if len(first) else label[:0]
                 n = np.diff(np.append(first, len(token)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(distinct)), pa.array(signed(stem[first])), pa.array(sums, pa.int64()), pa.array(n - sums, pa.int64())], ["token", "stem", "toxic", "clean"])
+                columns = [pa.array(signed(distinct)), pa.array(signed(stem[first])), pa.array(sums, pa.int64()), pa.array(n - sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "stem", "toxic", "clean"])
 
     partial = texts.mapInArrow(run, "token long, stem long, toxic long, clean long")
     return partial.groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 class Model:
-    """Scores by token and stem hash, the neutral score, the extreme-value scale, and the calibration."""
-
-    def __init__(self, tokens_: dict[int, float], stems: dict[int, float], neutral: float, rate: float):
-        self.token_keys, self.token_scores = self._sorted(tokens_)
-        self.stem_keys, self.stem_scores = self._sorted(stems)
-        self.neutral = neutral
-        positive = float(np.mean(self.token_scores)) if len(self.token_scores) else 1.0
-        self.rate = max(rate, 1e-9)
-        self.scale = self._scale(positive)
+    """Scores by token and stem hash (sorted keys), the drift, the extreme-value scale and rate, and the calibration.
+
+    ``background``: how often each token stands in other text.
+    """
+
+    def __init__(self, tokens_: tuple[np.ndarray, np.ndarray], stems: tuple[np.ndarray, np.ndarray], background: np.ndarray):
+        self.token_keys, self.token_scores = tokens_
+        self.stem_keys, self.stem_scores = stems
+        total = background.sum()
+        mean = float(self.token_scores @ background / total) if total else 0.0
+        self.drift = max(DRIFT, mean + DRIFT)
+        share = background / total if total else background
+        self.rate = max(float(share[self.token_scores > self.drift].sum()), 1 / (total + 1))
+        self.scale = self._scale(self.token_scores - self.drift, share)
         self.slope, self.shift = 1.0, -3.0
         self._tables = None
 
     @staticmethod
-    def _sorted(scores: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array(sorted(scores), np.int64)
-        return keys, np.array([scores[k] for k in keys.tolist()], np.float64)
-
-    def _scale(self, positive: float) -> float:
-        """lambda > 0 with rate * exp(lambda * positive) + (1 - rate) * exp(lambda * neutral) = 1."""
-        lo, hi = 1e-6, 50.0 / positive
-        f = lambda x: self.rate * math.exp(x * positive) + (1 - self.rate) * math.exp(x * self.neutral) - 1
-        for _ in range(80):
+    def _scale(scores: np.ndarray, share: np.ndarray) -> float:
+        """lambda > 0 at which the mean of exp(lambda * score) is 1 (its largest value, 8, if no score is positive)."""
+        lo, hi = 1e-6, 8.0
+        for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+            lo, hi = (mid, hi) if float(np.exp(np.minimum(mid * scores, 700)) @ share) < 1 else (lo, mid)
         return lo
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tables": None}
 
-    def positives(self, token: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the tokens with evidence: the token's own, or else its stem's."""
+    def scores(self, token: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """Each token's score: its own log-odds, or else its stem's, or else 0, less the drift."""
         if self._tables is None:
-            self._tables = IntTable(self.token_keys, np.arange(len(self.token_keys), dtype=np.int32)), IntTable(self.stem_keys, np.arange(len(self.stem_keys), dtype=np.int32))
-        own, of_stem = self._tables[0].get(signed(token)), self._tables[1].get(signed(stem))
-        place = np.flatnonzero((own >= 0) | (of_stem >= 0))
-        own, of_stem = own[place], of_stem[place]
-        padded = lambda x: np.append(x, 0.0)  # noqa: E731  entry -1: none
-        return place, np.where(own >= 0, padded(self.token_scores)[own], padded(self.stem_scores)[of_stem])
+            number = lambda keys: IntTable(keys, np.arange(len(keys), dtype=np.int32))
+            self._tables = number(self.token_keys), number(self.stem_keys)
+            self._padded = np.append(self.token_scores, 0.0), np.append(self.stem_scores, 0.0)  # entry -1: none
+        own = self._tables[0].get(signed(token))
+        out = self._padded[0][own]
+        new = np.flatnonzero(own < 0)
+        out[new] = self._padded[1][self._tables[1].get(signed(stem[new]))]
+        return out - self.drift
 
     def surprise(self, scores: list[float], n: int) -> float:
         """-log of the chance of segments like these among n tokens, the best number of them counted together."""
@@ -123,19 +134,17 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * np.log1p(surprise) + self.shift)))
 
 
-def maximal_segments(places: list[int], scores: list[float], neutral: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, last, score) of a sequence whose other items score ``neutral`` < 0.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first, last, score) of a sequence of scores.
 
     Linear time: a list of candidate segments with the cumulative scores at
     their ends is merged from the right as each positive item arrives.
     """
+    upto = np.concatenate([[0.0], np.cumsum(scores)])
+    places = np.flatnonzero(scores > 0)
     kept: list[tuple[int, int, float, float]] = []  # first, last, cumulative before, cumulative after
-    total, at = 0.0, 0
-    for place, score in zip(places, scores):
-        total += neutral * (place - at)
-        at = place + 1
-        first, last, before, after = place, place, total, total + score
-        total = after
+    for place, before, after in zip(places.tolist(), upto[places].tolist(), upto[places + 1].tolist()):
+        first, last = place, place
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= before:
@@ -148,77 +157,114 @@ def maximal_segments(places: list[int], scores: list[float], neutral: float) ->
     return [(a, b, y - x) for a, b, x, y in kept]
 
 
-def _train_counts(texts: DataFrame, prior: float) -> Model:
-    counts = _counts(texts).where("toxic + clean > 0")
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    distinct, which = np.unique(np.asarray(x, np.float64), return_inverse=True)
+    return np.array([math.lgamma(v) for v in distinct])[which]
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float, owned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of toxic documents with a token less those of all documents, and how likely the token is owned by toxic ones.
+
+    ``toxic`` and ``clean`` count documents with the token, ``share`` is the toxic
+    share of all documents, ``owned`` how likely the second prior is a priori.
+    """
+    priors = np.array([[TIGHT * share, TIGHT * (1 - share)], OWNED])
+    evidence = [_log_beta(toxic + a, clean + b) - _log_beta(np.array([a]), np.array([b]))[0] for a, b in priors]
+    weight = 1 / (1 + (1 - owned) / owned * np.exp(np.clip(evidence[0] - evidence[1], -700, 700)))
+    tight, own = ((toxic + a) / (toxic + clean + a + b) for a, b in priors)
+    rate = weight * own + (1 - weight) * tight
+    return np.log(rate / (1 - rate)) - math.log(share / (1 - share)), weight
+
+
+def _train_counts(texts: DataFrame) -> Model:
+    # Bounded by the sample: the tokens of at most ``most`` labelled texts.
+    counts = _counts(texts).toArrow()
+    token, stem, toxic, clean = (counts[c].to_numpy() for c in ("token", "stem", "toxic", "clean"))
     sizes = texts.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    n_toxic, n_clean = max(sizes["t"] or 0, 1), max((sizes["n"] or 0) - (sizes["t"] or 0), 1)
-    share = n_toxic / (n_toxic + n_clean)
-    stems = counts.groupBy("stem").agg(F.sum("toxic").alias("st"), F.sum("clean").alias("sc"))
-    odds = lambda t, c, pt, pc: F.log((t + pt) / (n_toxic + prior)) - F.log((c + pc) / (n_clean + prior))
-    # A stem's prior is the classes' own share; a token's is its stem's.
-    stems = stems.withColumn("ss", odds(F.col("st"), F.col("sc"), F.lit(prior * share), F.lit(prior * (1 - share))))
-    of_stem = (F.col("st") + prior * share) / (F.col("st") + F.col("sc") + prior)
-    scored = counts.join(stems, "stem").withColumn("score", odds(F.col("toxic"), F.col("clean"), prior * of_stem, prior * (1 - of_stem)))
-    strong = scored.where((F.col("toxic") >= 5) & (F.col("score") >= 1.5)).orderBy(F.desc("toxic"), "token").limit(MOST_TOKENS).select("token", "score", "toxic", "clean").collect()
-    strong_stems = stems.where((F.col("st") >= 10) & (F.col("ss") >= 1.5)).orderBy(F.desc("st"), "stem").limit(MOST_TOKENS).select("stem", "ss").collect()
-    total = counts.agg(F.sum("clean").alias("c")).first()["c"] or 1
-    rate = (sum(r["clean"] for r in strong) + 1) / (total + 1)
-    in_toxic = sum(r["toxic"] for r in strong)
-    toxic_total = counts.agg(F.sum("toxic").alias("t")).first()["t"] or 1
-    neutral = math.log(max(1 - in_toxic / max(toxic_total, 1), 0.5)) - 0.01
-    return Model({r["token"]: min(r["score"], 8.0) for r in strong}, {r["stem"]: min(r["ss"], 8.0) for r in strong_stems}, neutral, rate)
+    share = ((sizes["t"] or 0) + 1) / ((sizes["n"] or 0) + 2)
+    stems, which = np.unique(stem, return_inverse=True)
+    of_stem = [np.bincount(which, n, len(stems)) for n in (toxic, clean)]
+    stem_scores, owned = log_odds(*of_stem, share, np.full(len(stems), RARE))
+    scores, _ = log_odds(toxic, clean, share, np.clip(owned, RARE / 10, 1 - RARE)[which])
+    order = np.argsort(token)
+    return Model((token[order], scores[order]), (stems, stem_scores), clean[order].astype(np.float64))
 
 
 def toxic_passages(docs: DataFrame, model: Model, passages: bool = True) -> DataFrame:
     """``docs`` with surprise double, score double and (on request) passages: (first, last, score) of significant segments in tokens.
 
-    Null, empty and letterless texts have no passages and the score of no surprise.
+    ``docs`` needs a text.  Null, empty and letterless texts have no passages and
+    the score of no surprise.  Repeated rows get a row each, an empty table gives
+    none; a column with the name of a new one gives way to it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * MOST_TOKENS scores
-    names = docs.columns
+    own, back = set_aside(docs, ["text"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
+    names = own.columns
+    extra = ["surprise", "score"] + ["passages"] * passages
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 token, stem, at = tokens(*text_bytes(part.column("text")))
-                place, score = model.positives(token, stem)
-                upto = np.searchsorted(place, at)
+                score = model.scores(token, stem)
+                upto = np.searchsorted(np.flatnonzero(score > 0), at)
                 surprise = np.zeros(part.num_rows)
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for i in np.flatnonzero(np.diff(upto)).tolist():
-                    a, b, n = upto[i], upto[i + 1], int(at[i + 1] - at[i])
-                    segments = maximal_segments((place[a:b] - at[i]).tolist(), score[a:b].tolist(), model.neutral)
+                    n = int(at[i + 1] - at[i])
+                    segments = maximal_segments(score[at[i] : at[i + 1]])
                     surprise[i] = model.surprise([s for _, _, s in segments], n)
                     if passages:
                         found[i] = [{"first": x, "last": y, "score": s} for x, y, s in segments if model.surprise([s], n) > 3]
                 columns = [*part.columns, pa.array(surprise), pa.array(model.probability(surprise))]
-                extra = ["surprise", "score"]
                 if passages:
-                    columns.append(pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))))
-                    extra.append("passages")
+                    columns.append(pa.array(found, kind))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *extra])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, surprise double, score double" + ", passages array<struct<first:int,last:int,score:double>>" * passages)
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 2.0) -> Model:
-    """A model from documents labelled toxic 0 or 1: a bounded sample of ``most``, a fifth of it for calibration."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    more = ", passages array<struct<first:int,last:int,score:double>>" * passages
+    return back(own.mapInArrow(run, f"{schema}, surprise double, score double{more}"), *extra)
+
+
+def calibrated(surprise: np.ndarray, toxic: np.ndarray) -> tuple[float, float] | None:
+    """Slope and shift of the logistic curve over log1p(surprise) by Newton steps with a small ridge; None with one class."""
+    x, y = np.log1p(surprise), toxic.astype(float)
+    if not 0 < y.sum() < len(y):
+        return None
+    spread = max(float(x.std()), 1e-3)
+    z, a, b = x / spread, 0.0, math.log(y.mean() / (1 - y.mean()))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        w = p * (1 - p)
+        h = np.array([[(w * z * z).sum() + RIDGE, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(h, [((y - p) * z).sum() - RIDGE * a, (y - p).sum()])
+        a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
+    return max(a, 0.0) / spread, b
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
+    """A model from documents labelled toxic 0 or 1: a bounded sample of ``most`` labels, a fifth of it for calibration.
+
+    Repeated labels count once, the larger one; null labels and ids are left out;
+    repeated documents count each.  Without labels nothing is toxic; with labels of
+    one class the curve keeps its defaults.  Other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     sample = bounded_sample(labels, "doc_id", "toxic", most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("toxic", F.col("toxic").cast("long"))
     held = F.pmod(F.floor(part_of(F.col("doc_id")) / 7), F.lit(5)) == 0
-    model = _train_counts(texts.where(~held).select("text", "toxic"), prior)
-    seen = toxic_passages(texts.where(held).select("text", "toxic"), model, passages=False).select("surprise", "toxic").collect()  # bounded by `most`
-    x, y = np.log1p([r["surprise"] for r in seen]), np.array([r["toxic"] for r in seen], float)
-    if len(x) and 0 < y.sum() < len(y):
-        spread = max(float(x.std()), 1e-3)
-        a, b = 0.0, math.log(y.mean() / (1 - y.mean()))
-        for _ in range(50):  # Newton steps on the log-likelihood with a small ridge
-            p = 1 / (1 + np.exp(-np.clip(a * x / spread + b, -30, 30)))
-            w, z = p * (1 - p), x / spread
-            h = np.array([[(w * z * z).sum() + RIDGE, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-            step = np.linalg.solve(h, [((y - p) * z).sum() - RIDGE * a, (y - p).sum()])
-            a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
-        model.slope, model.shift = max(a, 0.0) / spread, b
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about ``most`` rows
+    texts = scratch.save(texts.select("text", F.col("toxic").cast("long").alias("toxic"), held.alias("held")), "labelled")
+    model = _train_counts(texts.where("not held").select("text", "toxic"))
+    seen = toxic_passages(texts.where("held").select("text", "toxic"), model, passages=False)
+    seen = seen.select("surprise", "toxic").toArrow()  # bounded by `most`
+    curve = calibrated(seen["surprise"].to_numpy(), seen["toxic"].to_numpy())
+    if curve:
+        model.slope, model.shift = curve
+    scratch.drop(texts)
     return model
