@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, slices, text_bytes
 from .bpe import LETTER, classes
-from .samples import part_of, share
+from .columns import set_aside
+from .samples import PARTS, part_of
+from .scratch import Scratch
 
 BITS = 14
 FEATURES = 1 << BITS
@@ -55,33 +57,36 @@ def row_sums(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def code_bits(languages: int) -> int:
+    return max(7, 4 * math.ceil(math.log2(max(languages, 2))) + 3) if languages > 1 else 1
+
+
 def codewords(languages: int, bits: int) -> np.ndarray:
-    """A code of +1 and -1 with distinct rows far apart; every bit splits the languages."""
-    best, found = -1, None
-    for seed in range(200):
+    """A code of +1 and -1 with distinct rows far apart; every bit splits the languages.
+
+    The best of some random codes, fewer of them for very many languages.
+    """
+    if languages < 2:
+        return np.ones((languages, bits), int)
+    best, found = 0, None
+    for seed in range(10_000):
+        if found is not None and seed * languages**2 > 200 * 1000**2 or seed >= 200 and found is not None:
+            break
         rng = np.random.default_rng(seed)
         code = rng.choice([-1, 1], size=(languages, bits))
         for j in np.flatnonzero(np.abs(code.sum(0)) == languages):
             code[rng.integers(languages), j] *= -1
-        apart = (code[:, None, :] != code[None, :, :]).sum(-1)
-        np.fill_diagonal(apart, bits + 1)
-        if apart.min() > best:
-            best, found = apart.min(), code
+        apart = min(int((bits - code[i + 1 :] @ code[i]).min()) // 2 for i in range(languages - 1))
+        if apart > best:
+            best, found = apart, code
     return found
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        """counts: n-grams of each language (rows) by feature, one block for each order."""
-        self.languages = languages
-        m = len(languages)
-        self.code = codewords(m, max(7, 4 * math.ceil(math.log2(max(m, 2))) + 3)) if m > 1 else np.ones((m, 1), int)
-        rates = (counts + 0.5) / (counts + 0.5).sum(-1, keepdims=True)  # languages x orders x features
-        self.weights = np.zeros((len(ORDERS), self.code.shape[1], FEATURES), np.float32)
-        for j in range(self.code.shape[1]):
-            plus, minus = rates[self.code[:, j] > 0], rates[self.code[:, j] < 0]
-            if len(plus) and len(minus):
-                self.weights[:, j] = np.clip(np.log(plus.mean(0)) - np.log(minus.mean(0)), -4, 4)
+    """Languages, their codewords, and for each order of n-gram and each bit the weight of each feature."""
+
+    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray):
+        self.languages, self.code, self.weights = languages, code, weights
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row's margins per bit, and whether it has a letter."""
@@ -104,64 +109,104 @@ class LanguageModel:
         return best, 1 / weight.sum(1), second - loss.min(1) < 1.0
 
 
-def fit_languages(docs: DataFrame, per_language: int = 3000, most_languages: int = 200) -> LanguageModel:
-    """From texts with a non-null lang: about ``per_language`` of each of the ``most_languages`` most frequent.
+def _gram_counts(sample: DataFrame) -> DataFrame:
+    """(l, f, n): how often each feature occurs in the sampled texts of each language (l, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 22):
+                langs = part.column("l").to_numpy()
+                for lang in np.unique(langs).tolist():
+                    count = np.zeros(len(ORDERS) * FEATURES, np.int64)
+                    for i in np.flatnonzero(langs == lang).tolist():
+                        data, _ = text_bytes(part.column("text").slice(i, 1))
+                        for k, grams in enumerate(features(data, classes(data) == LETTER) if len(data) else []):
+                            count[k * FEATURES : (k + 1) * FEATURES] += np.bincount(grams, minlength=FEATURES)
+                    at = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at, pa.int32()), pa.array(count[at])], ["l", "f", "n"])
+
+    return sample.mapInArrow(run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
+
 
-    Both numbers bound the sample, whatever the table holds.
+def _weights(counts: DataFrame, code: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Each bit's log-ratio of the mean feature rates of its two sides.
+
+    The sums over languages are formed in Spark, so the driver gets one row for each
+    feature whatever the number of languages.
     """
+    spark, (m, bits) = counts.sparkSession, code.shape
+    order = F.floor(F.col("f") / FEATURES).cast("int").alias("o")
+    totals = scratch.save(counts.groupBy("l", order).agg(F.sum("n").alias("total")), "totals")
+    by_order = np.zeros((m, len(ORDERS)))
+    for r in totals.collect():  # a row for each language and order
+        by_order[r["l"], r["o"]] = r["total"]
+    smooth = by_order + 0.5 * FEATURES
+    words = spark.createDataFrame([(i, [int(v) for v in code[i]]) for i in range(m)], "l int, code array<int>")
+    share = counts.withColumn("o", order).join(totals, ["l", "o"]).join(words, "l")
+    share = share.withColumn("x", F.col("n") / (F.col("total") + 0.5 * FEATURES))
+    sides = [F.sum(F.when(F.col("code")[j] > 0, F.col("x")).otherwise(0.0)).alias(f"plus{j}") for j in range(bits)]
+    found = share.groupBy("f").agg(F.sum("x").alias("all"), *sides).toArrow()  # at most len(ORDERS) * FEATURES rows
+    at = found["f"].to_numpy()
+    every, out = found["all"].to_numpy(), np.zeros((len(ORDERS) * FEATURES, bits), np.float32)
+    for j in range(bits):
+        plus = code[:, j] > 0
+        if plus.all() or not plus.any():
+            continue
+        base = [np.repeat((0.5 / smooth[side]).mean(0), FEATURES) for side in (plus, ~plus)]
+        sums = found[f"plus{j}"].to_numpy()
+        base[0][at] += sums / plus.sum()
+        base[1][at] += np.maximum(every - sums, 0) / (~plus).sum()
+        out[:, j] = np.clip(np.log(base[0]) - np.log(base[1]), -4, 4)
+    return np.ascontiguousarray(out.reshape(len(ORDERS), FEATURES, bits).transpose(0, 2, 1))
+
+
+def fit_languages(docs: DataFrame, per_language: int = 3000) -> LanguageModel:
+    """From texts with a non-null lang: about ``per_language`` rows of each, chosen by a hash of the row.
+
+    Every value of lang is learned; the driver holds a name and a codeword for each.
+    Null texts count for nothing; repeated rows count each; other columns are
+    ignored.  Without any language the model knows none.
+    """
+    scratch = Scratch(docs.sparkSession, "languages")
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    shares = {r["lang"]: share(r["n"], per_language) for r in sizes}
-    number = {lang: i for i, lang in enumerate(languages)}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
+    code = codewords(len(languages), code_bits(len(languages)))
     if not languages:
-        return LanguageModel([], np.zeros((0, len(ORDERS), FEATURES)))
-    wanted = F.create_map(*(F.lit(x) for lang in languages for x in (lang, shares[lang])))
-    sample = labelled.where(part_of(F.col("doc_id")) < wanted[F.col("lang")]).select("lang", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, lang in enumerate(batch.column("lang").to_pylist()):
-                data, _ = text_bytes(batch.column("text").slice(i, 1))
-                if not len(data):
-                    continue
-                count = seen.setdefault(number[lang], np.zeros((len(ORDERS), FEATURES), np.int64))
-                for k, grams in enumerate(features(data, classes(data) == LETTER)):
-                    count[k] += np.bincount(grams, minlength=FEATURES)
-        for i, count in seen.items():
-            at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(count.ravel()[at])], ["l", "f", "n"])
-
-    counts = np.zeros((len(languages), len(ORDERS) * FEATURES))
-    summed = sample.mapInArrow(run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
-    for r in summed.toLocalIterator():  # at most languages x orders x FEATURES rows
-        counts[r["l"], r["f"]] = r["n"]
-    return LanguageModel(languages, counts.reshape(len(languages), len(ORDERS), FEATURES))
+        return LanguageModel([], code, np.zeros((len(ORDERS), 1, FEATURES), np.float32))
+    rows = [(lang, i, min(PARTS, max(1, math.ceil(PARTS * per_language / sizes[lang])))) for i, lang in enumerate(languages)]
+    wanted = docs.sparkSession.createDataFrame(rows, "lang string, l int, share int")
+    sample = labelled.join(F.broadcast(wanted), "lang")  # the driver's own list of languages
+    sample = sample.where(part_of(F.xxhash64("doc_id", "text")) < F.col("share")).select("l", "text")
+    counts = scratch.save(_gram_counts(sample), "grams")
+    weights = _weights(counts, code, scratch)
+    return LanguageModel(languages, code, weights)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and ambiguous; a text that is null or has no letter is ``und`` with score 0.
+    """``docs`` with lang_pred, score (0 to 1) and ambiguous.
 
-    A column of ``docs`` must not have one of the new names.
+    A text that is null or has no letter, and any text under a model without
+    languages, is ``und`` with score 0.  ``docs`` needs a text; a column with the
+    name of a new one gives way to it.  Repeated rows get a row each; an empty table
+    gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and FEATURES
-    names = docs.columns
+    own, back = set_aside(docs, ["text"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # len(ORDERS) * FEATURES numbers for each bit
+    names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         labels = np.array([*model.languages, "und"], object)
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
-                data, offsets = text_bytes(part.column("text"))
-                if len(model.languages):
-                    margins, has = model.margins(data, offsets)
+                best, score, close, has = np.zeros(part.num_rows, int), np.zeros(part.num_rows), *(np.zeros(part.num_rows, bool) for _ in "ab")
+                if model.languages:
+                    margins, has = model.margins(*text_bytes(part.column("text")))
                     best, score, close = model.decode(margins)
-                else:
-                    has = np.zeros(part.num_rows, bool)
-                    best, score, close = np.zeros(part.num_rows, int), np.zeros(part.num_rows), has
                 best, score = np.where(has, best, len(model.languages)), np.where(has, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[best].tolist(), pa.string()), pa.array(score), pa.array(close & has)], [*names, "lang_pred", "score", "ambiguous"])
+                columns = [*part.columns, pa.array(labels[best].tolist(), pa.string()), pa.array(score), pa.array(close & has)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return back(own.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean"), "lang_pred", "score", "ambiguous")
