@@ -1,14 +1,18 @@
 """Near-duplicate vectors through an inverted multi-index.
 
 The halves of the unit vectors get codebooks of their own; a vector lies in one
-cell of the product grid.  From a query, cells are visited in order of a lower
-bound of the distance to their members (multi-sequence traversal: both halves'
-sorted lists are walked together).  The bound is the distance to the plane
-between two centroids, which no member of the farther cell crosses; traversal
-ends where the bound exceeds the distance that the cosine threshold allows, so
-no link is missed: target recall 1.  Pairs met in a visited cell are verified in
-double precision, block by block; a block returns only counts and a spanning
-forest of its links, never pairs.  Equal vectors of a label are one class.
+cell of the product grid.  From a vector, cells are visited in order of how much
+farther their two centroids are than the nearest ones (multi-sequence traversal:
+both halves' sorted lists are walked together).  How far to go is fitted: pairs made
+from sampled vectors at exactly the threshold cosine tell how deep the partner's
+cell lies, and traversal ends where the share ``target`` of them is reached; closer
+pairs lie less deep.  Of two vectors in different cells, the one in the cell with
+the smaller number looks for the other, so a pair meets once.  Pairs met in a
+visited cell are verified in double precision, block by block; a block returns
+counts and a spanning forest of its links, never pairs.
+
+Equal vectors of a label are one class, a numbered node; a repeated row (same id,
+label and vector) counts once.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,10 @@ from .samples import part_of, share
 from .scratch import Scratch
 from .vectors import matrix, usable
 
-#: Vectors in one block of a comparison, members aimed at in a cell, largest codebook, and vectors that codebooks are fitted on.
-BLOCK, CELL, MOST_CODES, SAMPLE = 2000, 1000, 64, 10_000
+#: Vectors in one block of a comparison, vectors that codebooks are fitted on, pairs that the depth is fitted on.
+BLOCK, SAMPLE, PAIRS = 2000, 10_000, 10_000
+#: Codes of a half for n vectors: GROWTH times the fourth root of n, so cells grow as the root; at most MOST_CODES.
+GROWTH, MOST_CODES = 2.5, 1024
 
 
 def fit_codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -42,13 +49,16 @@ def fit_codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
-def plane_bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centroid of each row, and a lower bound of its distance to the members of each centroid's cell."""
-    d = ((x[:, None, :] - centres[None]) ** 2).sum(-1)
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids."""
+    return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]
+
+
+def gaps(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each row, and how much farther each centroid is."""
+    d = distances(x, centres)
     own = d.argmin(1)
-    apart = np.sqrt(((centres[:, None, :] - centres[None]) ** 2).sum(-1))
-    gap = np.where(apart[own] > 0, (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[own], 1e-300), 0.0)
-    return own, np.maximum(gap, 0.0)
+    return own, d - d[np.arange(len(x)), own][:, None]
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
@@ -72,43 +82,77 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codebooks(classes: DataFrame, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+class Grid:
+    """Codebooks of the two halves of vectors of one length, and how deep to search."""
+
+    def __init__(self, x: np.ndarray, k: int, threshold: float, target: float):
+        self.half = x.shape[1] // 2
+        self.first, self.second = fit_codebook(x[:, : self.half], k), fit_codebook(x[:, self.half :], k)
+        self.limit = self._depth(x, threshold, target)
+
+    def _depth(self, x: np.ndarray, threshold: float, target: float) -> float:
+        """The ``target`` quantile of the partner's depth over pairs at the threshold; half the partners lie in
+        a random direction, half in that of the difference of two sampled vectors."""
+        rng = np.random.default_rng(5)
+        z = x[rng.integers(len(x), size=PAIRS)]
+        away = rng.standard_normal(z.shape)
+        apart = x[rng.integers(len(x), size=PAIRS)] - x[rng.integers(len(x), size=PAIRS)]
+        apart[np.abs(apart).max(1) < 1e-6] = 1.0
+        away[::2] = apart[::2] / np.sqrt((apart[::2] ** 2).sum(1, keepdims=True))
+        away -= (away * z).sum(1, keepdims=True) * z
+        size = np.sqrt((away * away).sum(1))
+        z, away = z[size > 1e-6], away[size > 1e-6] / size[size > 1e-6][:, None]
+        if not len(z):
+            return 0.0
+        partner = threshold * z + math.sqrt(max(1 - threshold * threshold, 0)) * away
+        row, depth = np.arange(len(z)), 0.0
+        for half, centres in ((slice(0, self.half), self.first), (slice(self.half, None), self.second)):
+            depth = depth + gaps(z[:, half], centres)[1][row, distances(partner[:, half], centres).argmin(1)]
+        return float(np.quantile(depth, target))
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """Own cell of each unit vector, and the cells from its own number on that it visits."""
+        width = len(self.second)
+        a, gap_a = gaps(x[:, : self.half], self.first)
+        b, gap_b = gaps(x[:, self.half :], self.second)
+        own = a * width + b
+        visits = []
+        for i in range(len(x)):
+            found = (p * width + q for p, q in multi_sequence(gap_a[i], gap_b[i], self.limit))
+            visits.append([c for c in found if c >= own[i]])
+        return own, visits
+
+
+def fit_grids(classes: DataFrame, threshold: float, target: float) -> dict[int, Grid]:
+    """A grid for each length of vector in a sample of about SAMPLE classes; lengths it lacks, and 1, are one cell."""
     n = classes.count()
-    rows = classes.where(part_of(F.col("rep")) < share(n, SAMPLE)).select("dim", "embedding").collect()  # about SAMPLE at most
+    rows = classes.where(part_of(F.col("node")) < share(n, SAMPLE)).select("dim", "embedding").collect()  # about SAMPLE at most
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(r["dim"], []).append(r["embedding"])
-    out = {}
-    for dim, vectors in by_dim.items():
-        x = _unit(np.array(vectors, np.float64))
-        out[dim] = fit_codebook(x[:, : dim // 2], k), fit_codebook(x[:, dim // 2 :], k)
-    return out
+    k = max(1, min(MOST_CODES, math.ceil(GROWTH * n**0.25)))
+    return {d: Grid(_unit(np.array(v, np.float64)), k, threshold, target) for d, v in by_dim.items() if d > 1}
 
 
-def cells(classes: DataFrame, books: dict, threshold: float) -> DataFrame:
-    """rep, label, dim, n, embedding, cell (its own), visits (cells to search)."""
-    shared = classes.sparkSession.sparkContext.broadcast(books)  # at most 2 * MOST_CODES half vectors for each length
-    limit = 2 * (1 - threshold) + 1e-9
+def placed_vectors(classes: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    """(label, dim, node, n, embedding, cell, visits)."""
+    shared = classes.sparkSession.sparkContext.broadcast(grids)  # at most 2 * MOST_CODES half vectors for each length
+    names = ["label", "dim", "node", "n", "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, visits = [], []
-            dims = batch.column("dim").to_pylist()
-            for i, dim in enumerate(dims):
-                if dim not in shared.value or dim < 2:
-                    own.append(0)
-                    visits.append([0])
-                    continue
-                first, second = shared.value[dim]
-                x = _unit(matrix(batch.column("embedding").slice(i, 1)))
-                a, gap_a = plane_bounds(x[:, : dim // 2], first)
-                b, gap_b = plane_bounds(x[:, dim // 2 :], second)
-                own.append(int(a[0]) * len(second) + int(b[0]))
-                visits.append([p * len(second) + q for p, q in multi_sequence(gap_a[0] ** 2, gap_b[0] ** 2, limit)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "visits"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema.fields)
-    return classes.mapInArrow(run, f"{schema}, cell int, visits array<int>")
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                own, visits = np.zeros(part.num_rows, np.int64), [[0]] * part.num_rows
+                if dim in shared.value:
+                    own, visits = shared.value[dim].cells(_unit(matrix(part.column("embedding"))))
+                columns = [*(part.column(c) for c in names), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "cell", "visits"])
+
+    schema = "label string, dim int, node long, n long, embedding array<float>, cell int, visits array<int>"
+    schema = schema.replace("array<float>", classes.schema["embedding"].dataType.simpleString())
+    return classes.select(*names).mapInArrow(run, schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -122,66 +166,109 @@ def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
         np.minimum.at(label, b, low)
 
 
-def _compare(threshold: float):
-    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
-        a = b = np.zeros(0, np.int64)
-        n = np.zeros(0, np.int64)
-        if queries.num_rows and members.num_rows:
-            q_id, m_id = queries["rep"].to_numpy(), members["rep"].to_numpy()
-            q, m = _unit(matrix(queries["embedding"])), _unit(matrix(members["embedding"]))
-            cosine = q @ m.T
-            unsure = np.argwhere(np.abs(cosine - threshold) < 1e-9)
-            for i, j in unsure:  # the sum's order mustn't decide
-                cosine[i, j] = math.fsum(q[i] * m[j])
-            linked = cosine >= threshold - 1e-15
-            linked &= q_id[:, None] != m_id[None, :]
-            counts = linked @ members["n"].to_numpy()
-            i, j = np.nonzero(linked)
-            ids, where = np.unique(np.concatenate([q_id, m_id]), return_inverse=True)
-            x, y = where[: len(q_id)][i], where[len(q_id) :][j]
-            label = _forest(x, y, ids)
-            star = np.flatnonzero(label != ids)
-            some = np.flatnonzero(counts)
-            a = np.concatenate([ids[star], q_id[some]])
-            b = np.concatenate([label[star], np.full(len(some), -1)])
-            n = np.concatenate([np.zeros(len(star), np.int64), counts[some]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "link": pa.array(n == 0, pa.bool_())})
-
-    return run
-
-
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+def compare(q: pa.Table, m: pa.Table, threshold: float) -> list[np.ndarray]:
+    """Links between visitors (node, n, embedding, home) and members of a cell: rows (a, b, n) with the links
+    (a, b, 0) of a spanning forest and the counts (a, -1, n) of linked vectors.
+
+    A visitor at home meets every member, itself left out, and each of these pairs
+    comes from both sides; a visitor from elsewhere counts for both.
+    """
+    q_id, m_id = q["node"].to_numpy(), m["node"].to_numpy()
+    x, y = _unit(matrix(q["embedding"])), _unit(matrix(m["embedding"]))
+    cosine = x @ y.T
+    for i, j in np.argwhere(np.abs(cosine - threshold) < 1e-9):  # the sum's order mustn't decide
+        cosine[i, j] = math.fsum(x[i] * y[j])
+    linked = (cosine >= threshold) & (q_id[:, None] != m_id[None, :])
+    away = ~q["home"].to_numpy(zero_copy_only=False)
+    n_q, n_m = linked @ m["n"].to_numpy(), linked[away].T @ q["n"].to_numpy()[away]
+    i, j = np.nonzero(linked)
+    ids, where = np.unique(np.concatenate([q_id, m_id]), return_inverse=True)
+    label = _forest(where[: len(q_id)][i], where[len(q_id) :][j], ids)
+    star, some_q, some_m = np.flatnonzero(label != ids), np.flatnonzero(n_q), np.flatnonzero(n_m)
+    none = np.full(len(some_q) + len(some_m), -1)
+    return [
+        np.concatenate([ids[star], q_id[some_q], m_id[some_m]]),
+        np.concatenate([label[star], none]),
+        np.concatenate([np.zeros(len(star), np.int64), n_q[some_q], n_m[some_m]]),
+    ]
+
+
+def compared(both: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b, n) of all blocks; ``both``: visitors and members by block, each block's rows together."""
+
+    def results(rows: pa.Table) -> pa.RecordBatch | None:
+        visitor = rows["visitor"]
+        out = compare(rows.filter(visitor), rows.filter(pc.invert(visitor)), threshold)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the block at hand: at most about two BLOCKs
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            change = np.zeros(batch.num_rows - 1, bool)
+            for c in keys:
+                column = batch.column(c)
+                change |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in keys):
+                yield results(pa.Table.from_batches(held))
+                held = []
+            for i, j in zip(cuts, cuts[1:]):
+                if i:
+                    yield results(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield results(pa.Table.from_batches(held))
+
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, target: float = 0.998) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
-    Vectors of one label and one length with cosine >= threshold are linked.
-    Rows with a null id or label, and vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing: n_links 0, component_id
-    their own id.  Other columns are ignored; an empty table gives no rows.
+    Vectors of one label and one length with cosine >= threshold are linked; of
+    links right at the threshold about the share ``target`` is found, of closer ones
+    more, and none below it.  Rows with a null id or label, and vectors that are
+    null, empty, zero or hold null or non-finite components link with nothing:
+    n_links 0, component_id their own id.  Repeated rows are each returned, with the
+    same result; rows that share an id but not the vector are judged each by its own.
+    Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows = vectors.select("vec_id", "label", "embedding", (usable("embedding") & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).alias("usable"))
-    good = rows.where("usable").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = scratch.save(classes.withColumn("dim", F.size("embedding")), "classes")
-    members = scratch.save(good.join(classes.select("label", "embedding", "rep", "n"), ["label", "embedding"]).select("vec_id", "rep", "n"), "members")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k = max(1, min(MOST_CODES, math.ceil(math.sqrt(largest / CELL))))
-    placed = scratch.save(cells(classes, _codebooks(classes, k), threshold), "cells")
-
-    asked = placed.select("label", "dim", F.explode("visits").alias("cell"), "rep", "embedding")
-    cell = ["label", "dim", "cell"]
+    fine = usable("embedding") & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", fine.alias("usable"))
+    good = rows.where("usable").select("vec_id", "label", "embedding")
+    same = good.distinct().groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    same = scratch.save(same, "same")
+    # Nodes are numbered in the order of their smallest vec_id, so a smallest node leads to a smallest vec_id.
+    numbered = same.repartitionByRange("rep").sortWithinPartitions("rep").withColumn("node", F.monotonically_increasing_id())
+    classes = scratch.save(numbered.withColumn("dim", F.size("embedding")), "classes")
+    members = good.join(classes.select("label", "embedding", "rep", "node", "n"), ["label", "embedding"])
+    members = scratch.save(members.select("vec_id", "rep", "node", "n"), "members")
+    placed = scratch.save(placed_vectors(classes, fit_grids(classes, threshold, target)), "cells")
+
+    cell, up_to = ["label", "dim", "cell"], lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = placed.select("label", "dim", F.col("cell").alias("own"), F.explode("visits").alias("cell"), "node", "n", "embedding")
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("m_blocks"))
     loads = asked.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
     grid = scratch.save(sizes.join(loads, cell), "grid")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keys = [*cell, "q", "m"]
-    queries = asked.join(grid, cell).withColumn("q", F.pmod(F.xxhash64("rep"), "q_blocks")).withColumn("m", up_to("m_blocks")).select(*keys, "rep", "embedding")
-    stored = placed.select(*cell, "rep", "n", "embedding").join(grid, cell).withColumn("m", F.pmod(F.xxhash64("rep"), "m_blocks")).withColumn("q", up_to("q_blocks")).select(*(F.col(c).alias(c) for c in (*keys, "rep", "n", "embedding")))
-    found = queries.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_compare(threshold), "a long, b long, n long, link boolean")
-    found = scratch.save(found, "found")
-    labels = components(found.where("link").select("a", "b"), scratch).select(F.col("node").alias("rep"), "component")
-    others = found.where("not link").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    out = members.join(others, "rep", "left").join(labels, "rep", "left")
-    out = out.select("vec_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # The blocks of a hot cell meet each other, each pair of blocks in a task of its own.
+    blocks = [*cell, "q", "m"]
+    visitors = asked.join(grid, cell).withColumn("q", F.pmod(F.xxhash64("node"), "q_blocks")).withColumn("m", up_to("m_blocks"))
+    visitors = visitors.select(*blocks, "node", "n", "embedding", F.lit(True).alias("visitor"), (F.col("own") == F.col("cell")).alias("home"))
+    stored = placed.select(*cell, "node", "n", "embedding").join(grid, cell)
+    stored = stored.withColumn("m", F.pmod(F.xxhash64("node"), "m_blocks")).withColumn("q", up_to("q_blocks"))
+    stored = stored.select(*blocks, "node", "n", "embedding", F.lit(False).alias("visitor"), F.lit(True).alias("home"))
+    found = scratch.save(compared(visitors.unionByName(stored), blocks, threshold), "found")
+    labels = components(found.where("n = 0").select("a", "b"), scratch)
+    low = classes.select(F.col("node").alias("component"), F.col("rep").alias("low"))
+    lows = labels.join(low, "component").select("node", "low")
+    others = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    known = scratch.save(others.join(lows, "node", "full"), "known")
+    scratch.drop(same, classes, placed, grid, found, labels)
+    out = members.join(known, "node", "left")
+    out = out.select("vec_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 
 from tallyloom.llm import ann, vecdedup
 
@@ -32,10 +34,13 @@ def fine(v):
     return bool(v) and None not in v and np.isfinite(v).all() and np.any(v)
 
 
-def test_links_and_components(spark, monkeypatch):
-    monkeypatch.setattr(vecdedup, "CELL", 20)
+@pytest.mark.parametrize("block", [2000, 9])
+def test_links_and_components(spark, monkeypatch, block):
+    monkeypatch.setattr(vecdedup, "BLOCK", block)
     rows = planted()
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vecdedup.near_duplicate_vectors(table(spark, rows)).collect()}
+    rows += rows[:20]  # repeated rows
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vecdedup.near_duplicate_vectors(table(spark, rows), target=1.0).collect()}
+    rows = list({r[0]: r for r in rows}.values())
     good = [(i, np.array(v, float), lab) for i, v, lab in rows if fine(v) and lab is not None]
     near = {i: set() for i, *_ in rows}
     for i, v, a in good:
@@ -61,13 +66,28 @@ def test_multi_sequence_visits_by_sum():
     assert sums == sorted(sums) and len(sums) == (a[:, None] + b[None] <= 1.2).sum()
 
 
-def test_plane_bound_is_a_bound():
-    rng = np.random.default_rng(1)
-    x, y = rng.standard_normal((200, 4)), rng.standard_normal((200, 4))
-    centres = vecdedup.fit_codebook(x, 8)
-    _, gap = vecdedup.plane_bounds(x, centres)
-    cell = vecdedup.plane_bounds(y, centres)[0]
-    assert (gap[:, cell] <= np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)) + 1e-9).all()
+def test_recall_and_share_of_pairs_compared(spark):
+    """Clusters whose links spread down to the threshold: recall, no link below it, and how many pairs met."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((1500, 32))
+    near = base[:500] + rng.standard_normal((500, 32)) * (rng.random((500, 1)) * 0.45)
+    x = np.concatenate([base, near]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = sum(r.n_links for r in vecdedup.near_duplicate_vectors(table(spark, rows)).collect()) / 2
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
+    want = (np.triu(u @ u.T, 1) >= 0.93).sum()
+    assert 0.98 * want <= got <= want and want > 150
+    grid = vecdedup.Grid(u, math.ceil(vecdedup.GROWTH * len(u) ** 0.25), 0.93, 0.998)
+    own, visits = grid.cells(u)
+    size = np.bincount(own, minlength=own.max() + 1)
+    met = sum(size[c] for v in visits for c in v if c <= own.max())
+    assert met / (len(u) * (len(u) + 1) / 2) < 0.3
+
+
+def test_rows_that_share_an_id_are_judged_by_their_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (2, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (4, [0.0, 1.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vecdedup.near_duplicate_vectors(table(spark, rows)).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (2, 1, 2, True), (4, 1, 2, False)]
 
 
 def test_nearest_by_inner_product(spark, monkeypatch):
