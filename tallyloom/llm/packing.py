@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrays import slices, text_bytes
 from .bpe import SLICE, load
+from .columns import set_aside
 from .scratch import Scratch
 
 
@@ -125,10 +126,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
                 length = np.where(piece == 0, head[row], capacity)
                 view, begin = memoryview(flat).cast("B"), at[row] + start
                 crc = [zlib.crc32(view[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                columns = [part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32())]
+                columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -136,13 +136,16 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 def pack(pieces: DataFrame, capacity: int, block_rows: int = 20_000) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` from 1 to ``capacity``.
 
-    ``pieces`` must be a written table (it is read twice).  Any columns may
-    accompany; rows that repeat are packed each.  An empty table stays empty.
-    ``block_rows``: about how many rows have their ranks counted together.
+    Any columns may accompany; those named sequence_id or offset give way.  Rows
+    that repeat are packed each.  An empty table stays empty.  Rows are numbered as
+    they are written, so equal ones differ; ``block_rows``: about how many have their
+    ranks counted together.
     """
+    scratch = Scratch(pieces.sparkSession, "packing")
+    own, back = set_aside(pieces, ["length"])
+    pieces = scratch.save(own.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     blocks = max(1, -(-pieces.count() // block_rows))
-    keys = [c for c in ("doc_id", "piece") if c in pieces.columns]
-    blocked = pieces.withColumn("__block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
+    blocked = pieces.withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)))
     sizes = blocked.groupBy("length", "__block").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -165,18 +168,18 @@ def pack(pieces: DataFrame, capacity: int, block_rows: int = 20_000) -> DataFram
             columns = [batch.column(c) for c in names] + [pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    within = Window.partitionBy("length", "__block").orderBy(*keys)
+    within = Window.partitionBy("length", "__block").orderBy("__row")
     ranked = blocked.withColumn("__in", F.row_number().over(within)).join(starts, ["length", "__block"])
     ranked = ranked.select(*names, (F.col("__before") + F.col("__in") - 1).alias("__rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return back(ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long"), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenise, cut and pack all documents: one row for each piece.
 
-    doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Rows with the
-    same doc_id are separate documents; an empty table gives no rows.
+    doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null or empty
+    text is ``end_id`` alone.  Rows with the same doc_id, or with none, are separate
+    documents; other columns are ignored; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.save(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    return pack(token_pieces(docs, path, capacity, end_id), capacity)

@@ -6,7 +6,7 @@ import public_tokenizers
 from helpers import documents, empty, odd_rows
 from tokenizers import Tokenizer
 
-from tallyloom.llm.packing import pack_documents, plan
+from tallyloom.llm.packing import pack, pack_documents, plan
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -68,3 +68,12 @@ def test_every_token_once(spark):
 def test_repeated_rows_and_empty_table(spark):
     assert pack_documents(documents(spark, [(1, "a b c", "en", "s", 5)] * 3), PATH).count() == 3
     assert pack_documents(empty(spark), PATH).count() == 0
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    """Rows without any id, all equal, go into several blocks and still fill the fewest sequences."""
+    rows = spark.createDataFrame([(None, 3, "x", 7, 1)] * 1000, "doc_id long, length int, `a.b` string, offset int, __row int")
+    out = pack(rows, 10, block_rows=100)
+    assert out.columns == ["doc_id", "length", "a.b", "__row", "sequence_id", "offset"]
+    found = sorted((r.sequence_id, r.offset) for r in out.collect())
+    assert len(set(found)) == 1000 and len({s for s, _ in found}) == 334
