@@ -1,149 +1,316 @@
-"""Nearest neighbours through randomly rotated one-bit codes.
-
-A vector's unit direction is rotated by a fixed random orthogonal matrix and kept
-as its sign bits, with its norm and the inner product between the direction and
-its code's direction as correction scalars.  A query's rotated direction is
-quantised to a few bits per component; AND and population count over bit planes
-give its inner product with every code, and dividing by the correction scalar an
-unbiased estimate of the true one, with a known error bound.  Vectors whose upper
-bound reaches the k-th best exact score so far are reranked on the original
-vectors.  Queries and candidates meet block by block, each block returning its k
-best, so no task holds more than one block of either.
+"""Nearest neighbours through randomly rotated one-bit codes in coarse cells.
+
+A vector's unit direction, padded with zeros to ``code_length`` components, is
+rotated by a fixed random orthogonal matrix and kept as its sign bits, with its norm
+and the inner product between the direction and its code's direction as correction
+scalars.  A query's rotated direction is quantised to a few bits per component; AND
+and population count over bit planes give its inner product with every code, and
+dividing by the correction scalar an unbiased estimate of the true one, with a known
+error bound.  Only vectors whose upper bound reaches the query's floor are scored on
+the original vectors.
+
+Candidates lie in cells by direction (k-means on a sample) and level of norm.  A
+query first meets the best of a few cells, which gives its floor: the k-th best exact
+score so far.  It then visits the cells in which more than a share ``miss`` of the k
+neighbours may lie above the floor, by the spread of directions about each centroid;
+so it meets only a part of the table, and each candidate travels to its cell alone.
+
+Of equal vectors only the smallest ids can be among the k nearest, ties going to
+smaller ids, so no more of them go on, and equal query vectors are searched once.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import blocked, matrix, usable
+from .samples import part_of, share
+from .scratch import Scratch
+from .vectors import matrix, usable
 
-#: Queries and candidates in one block, about; bits of a query component; error bound in standard deviations.
-QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_BITS, SIGMAS = 1024, 16_384, 4, 3.0
+#: Queries and candidates in one block, about; bits of a query component; error bound in standard deviations; least code length.
+QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_BITS, SIGMAS, LEAST_BITS = 512, 8192, 4, 3.5, 256
+#: Vectors that centroids are fitted on, most centroids for a length, and members that a first visit meets for each neighbour.
+SAMPLE, MOST_CELLS, FIRST = 32_768, 2048, 30
 
 
+def code_length(dim: int) -> int:
+    return max(LEAST_BITS, -(-dim // 64) * 64)
+
+
+@functools.lru_cache(maxsize=16)
 def rotation(dim: int) -> np.ndarray:
-    """The same random orthogonal matrix for a length everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng(20_000 + dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The same random orthonormal rows, dim by code_length(dim), everywhere."""
+    q, r = np.linalg.qr(np.random.default_rng(20_000 + dim).standard_normal((code_length(dim), dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits as 64-bit words."""
-    pad = -bits.shape[1] % 64
-    bits = np.pad(bits.astype(np.uint8), ((0, 0), (0, pad)))
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    """Rows of bits, a multiple of 64, as 64-bit words."""
+    return np.packbits(bits.astype(np.uint8), axis=-1, bitorder="little").view(np.uint64)
 
 
 def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes as words, norms, and inner products between directions and their codes' directions."""
     norm = np.sqrt((x * x).sum(1))
     turned = (x / norm[:, None]) @ turn
-    return _pack(turned > 0), norm, np.abs(turned).sum(1) / np.sqrt(x.shape[1])
+    return _pack(turned > 0), norm, np.abs(turned).sum(1) / np.sqrt(turn.shape[1])
+
+
+def estimates(words: np.ndarray, norm: np.ndarray, align: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of all queries (rows) with all coded vectors, and the upper bounds."""
+    n = turn.shape[1]
+    size = np.sqrt((queries * queries).sum(1, keepdims=True))
+    turned = (queries / size) @ turn
+    low, top = turned.min(1, keepdims=True), (1 << QUERY_BITS) - 1
+    step = np.maximum((turned.max(1, keepdims=True) - low) / top, 1e-12)
+    noise = np.random.default_rng(1).random(turned.shape)
+    level = np.clip(np.floor((turned - low) / step + noise), 0, top).astype(np.int64)
+    total = np.zeros((len(queries), len(words)), np.float32)
+    for j in range(QUERY_BITS):
+        plane, count = _pack(level >> j & 1), np.zeros(total.shape, np.uint16)
+        for w in range(words.shape[1]):
+            count += np.bitwise_count(words[None, :, w] & plane[:, w, None])
+        total += count * np.float32(1 << j)
+    ones = sum(np.bitwise_count(words[:, w]).astype(np.float64) for w in range(words.shape[1]))
+    inner = 2 * step * total + 2 * low * ones - (step * level.sum(1, keepdims=True) + n * low)
+    scale = norm / align
+    error = SIGMAS * (norm * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(n - 1) + step / 2 * scale)
+    value = inner * scale * (size / np.sqrt(n))
+    return value, value + size * error
+
+
+def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact scores row by row, added component by component: the same sum on every machine, for equal vectors too."""
+    return np.add.accumulate(x * y, axis=1)[:, -1]
+
+
+def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """k-means centroids of directions; fewer if there are fewer distinct ones."""
+    distinct = np.unique(x, axis=0)
+    centres = distinct[np.random.default_rng(7).choice(len(distinct), min(k, len(distinct)), replace=False)]
+    for _ in range(rounds):
+        near = (2 * x @ centres.T - (centres * centres).sum(1)).argmax(1)
+        order = np.argsort(near, kind="stable")
+        cut = np.searchsorted(near[order], np.arange(len(centres)))
+        full = np.flatnonzero(np.bincount(near, minlength=len(centres)))
+        sums = np.add.reduceat(x[order], cut[full])
+        centres[full] = sums / np.bincount(near, minlength=len(centres))[full][:, None]
+    return centres
 
 
-def _codes(vectors: DataFrame) -> DataFrame:
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = np.abs(x).max(1, keepdims=True)
+    norm = np.sqrt(((x / top) ** 2).sum(1, keepdims=True))
+    return x / top / norm, (top * norm)[:, 0]
+
+
+def placed(candidates: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
+    """(dim, cell, level, vec_id, embedding, code, norm, align, off): candidates with their cell, code and squared distance from the centroid."""
+    shared = candidates.sparkSession.sparkContext.broadcast(books)  # at most MOST_CELLS directions for each length
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
-                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                part = batch.filter(pa.array(dims == dim))
+                x = matrix(part.column("embedding"))
                 turn = turns.setdefault(dim, rotation(dim))
-                code, norm, align = encode(matrix(part.column("embedding")), turn)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(align)], [*part.schema.names, "code", "norm", "align"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    return vectors.mapInArrow(run, f"{schema}, code binary, norm double, align double")
-
-
-class Codes:
-    """Coded vectors of a block, with what doesn't depend on the query worked out once."""
-
-    def __init__(self, words: np.ndarray, norm: np.ndarray, align: np.ndarray, dim: int):
-        self.dim, self.turn = dim, rotation(dim)
-        self.words = np.ascontiguousarray(words.T)
-        self.ones = sum(np.bitwise_count(w).astype(np.float64) for w in self.words)
-        self.scale = norm / align
-        self.spread = SIGMAS * norm * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(max(dim - 1, 1))
-
-    def estimates(self, query: np.ndarray, noise: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of one query with all vectors, and their upper bounds."""
-        size = np.sqrt((query * query).sum())
-        turned = (query / size) @ self.turn
-        low = turned.min()
-        step = max((turned.max() - low) / ((1 << QUERY_BITS) - 1), 1e-12)
-        level = np.clip(np.floor((turned - low) / step + noise.random(self.dim)), 0, (1 << QUERY_BITS) - 1).astype(np.int64)
-        planes = _pack(np.array([level >> j & 1 for j in range(QUERY_BITS)]))
-        total = np.zeros(len(self.scale), np.uint32)
-        for j in range(QUERY_BITS):
-            for words, plane in zip(self.words, planes[j]):
-                total += np.bitwise_count(words & plane).astype(np.uint32) << np.uint32(j)
-        inner = (2 * step) * total + (2 * low) * self.ones - (step * level.sum() + self.dim * low)
-        value = inner * self.scale * (size / np.sqrt(self.dim))
-        return value, value + size * self.spread + (SIGMAS * size * step / 2) * self.scale
-
-
-def inner_products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact scores, added component by component: the same sum on every machine, for equal vectors too."""
-    return np.add.accumulate(x * query, axis=1)[:, -1]
-
-
-def _search(k: int):
-    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if queries.num_rows and candidates.num_rows:
-            ids = candidates["vec_id"].to_numpy()
-            x = matrix(candidates["embedding"])
-            words = np.frombuffer(b"".join(candidates["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
-            codes, noise = Codes(words, candidates["norm"].to_numpy(), candidates["align"].to_numpy(), x.shape[1]), np.random.default_rng(1)
-            for query_id, query in zip(queries["vec_id"].to_pylist(), matrix(queries["embedding"])):
-                value, reach = codes.estimates(query, noise)
-                own = np.flatnonzero(ids == query_id)
-                value[own] = reach[own] = -np.inf
-                n = min(k, len(ids) - len(own))
-                if n <= 0:
+                unit, size = _directions(x)
+                centres = shared.value.get(dim, np.zeros((1, dim)))
+                near = (2 * unit @ centres.T - (centres * centres).sum(1)).argmax(1)
+                code, norm, align = encode(x, turn)
+                columns = [part.column("dim"), pa.array(near, pa.int32()), pa.array(np.floor(2 * np.log2(size) + 0.5), pa.int32()), part.column("vec_id"), part.column("embedding")]
+                columns += [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(align), pa.array(((unit - centres[near]) ** 2).sum(1))]
+                yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "level", "vec_id", "embedding", "code", "norm", "align", "off"])
+
+    kind = candidates.schema["embedding"].dataType.simpleString()
+    schema = f"dim int, cell int, level int, vec_id long, embedding {kind}, code binary, norm double, align double, off double"
+    return candidates.select("dim", "vec_id", "embedding").mapInArrow(run, schema)
+
+
+class Cells:
+    """The cells of one length: centroid, number and largest norm of members, and spread of directions along any one line."""
+
+    def __init__(self, rows: list, centres: np.ndarray):
+        self.key = [(r["cell"], r["level"]) for r in rows]
+        self.centres = centres[[r["cell"] for r in rows]]
+        self.n, self.norm = (np.array([r[c] for r in rows], np.float64) for c in ("n", "norm"))
+        self.spread = np.sqrt(np.array([r["off"] for r in rows]) / centres.shape[1]) + 1e-9
+
+    def first(self, query: np.ndarray, least: int) -> np.ndarray:
+        """The most promising cells that hold ``least`` members together."""
+        order = np.argsort(-(self.centres @ query + self.spread) * self.norm)
+        return order[: int(np.searchsorted(np.cumsum(self.n[order]), least)) + 1]
+
+    def to_visit(self, query: np.ndarray, floor: float, missed: float, least: int) -> np.ndarray:
+        """The first cells, and all others but those that together hold ``missed`` members above the floor, by expectation."""
+        if floor == -np.inf:
+            return np.arange(len(self.n))
+        direction, size = _directions(query[None])
+        far = (floor / (size[0] * self.norm) - self.centres @ direction[0]) / self.spread
+        hits = self.n * _tail(far)
+        order = np.argsort(hits)
+        return np.union1d(order[np.cumsum(hits[order]) > missed], self.first(query, least))
+
+
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Chance of a standard normal beyond z: an upper bound, within a tenth where it matters."""
+    near = np.maximum(z, 0)
+    return np.where(z < 0, 1.0, np.exp(-near * near / 2) * np.minimum(0.5, 0.4 / np.maximum(near, 0.1)))
+
+
+def visits(queries: DataFrame, cells: dict[int, Cells], k: int, missed: float) -> DataFrame:
+    """(dim, cell, level, node, embedding, floor): each query in each cell that it visits; without a floor, in the first ones."""
+    shared = queries.sparkSession.sparkContext.broadcast(cells)  # a row for each cell
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell, level = [], [], []
+            dims, floors = batch.column("dim").to_pylist(), batch.column("floor").to_pylist()
+            for i, (dim, floor) in enumerate(zip(dims, floors)):
+                if dim not in shared.value:
                     continue
-                # The best by estimate set a floor; whatever may reach it is scored on the original vector.
-                first = np.argpartition(-value, min(10 * n, len(ids)) - 1)[: 10 * n]
-                first = first[value[first] > -np.inf]
-                score = x[first] @ query
-                floor = np.partition(score, len(score) - n)[len(score) - n]
-                slack = 1e-9 * max(abs(floor), 1e-300)
-                again = np.flatnonzero(reach >= floor - slack)
-                again = np.union1d(again[x[again] @ query >= floor - slack], first[score >= floor - slack])
-                score = inner_products(x[again], query)
-                best = np.lexsort((ids[again], -score))[:k]
-                out[0] += [query_id] * len(best)
-                out[1] += ids[again][best].tolist()
-                out[2] += score[best].tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    return run
-
-
-def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
+                known, query = shared.value[dim], matrix(batch.column("embedding").slice(i, 1))[0]
+                found = known.first(query, FIRST * k) if floor is None else known.to_visit(query, floor, missed, FIRST * k)
+                row += [i] * len(found)
+                cell += [known.key[c][0] for c in found.tolist()]
+                level += [known.key[c][1] for c in found.tolist()]
+            at = pa.array(row, pa.int64())
+            columns = [batch.column("dim").take(at), pa.array(cell, pa.int32()), pa.array(level, pa.int32())]
+            columns += [batch.column(c).take(at) for c in ("node", "embedding", "floor")]
+            yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "level", "node", "embedding", "floor"])
+
+    kind = queries.schema["embedding"].dataType.simpleString()
+    names = ["dim", "node", "embedding", "floor"]
+    return queries.select(*names).mapInArrow(run, f"dim int, cell int, level int, node long, embedding {kind}, floor double")
+
+
+def best_of_block(q: pa.Table, c: pa.Table, k: int) -> pa.RecordBatch:
+    """(node, vec_id, score): the k best candidates of each query, among those whose bound reaches its floor."""
+    x, ids = matrix(c["embedding"]), c["vec_id"].to_numpy()
+    words = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    y, node = matrix(q["embedding"]), q["node"].to_numpy()
+    floor = q["floor"].fill_null(-np.inf).to_numpy() if q["floor"].null_count else q["floor"].to_numpy()
+    value, reach = estimates(words, c["norm"].to_numpy(), c["align"].to_numpy(), y, rotation(x.shape[1]))
+    slack = 1e-9 * np.maximum(np.abs(floor), 1e-300)
+    floor = np.where(np.isfinite(floor), floor - slack, -np.inf)
+    open_ = ~np.isfinite(floor)
+    wanted = reach >= floor[:, None]
+    if open_.any() and len(ids) > 4 * k:  # no floor yet: the best by estimate are scored
+        least = -np.partition(-value[open_], 4 * k - 1, axis=1)[:, 4 * k - 1 : 4 * k]
+        wanted[open_] = value[open_] >= least
+    i, j = np.nonzero(wanted)
+    out = []
+    for a in range(0, len(i), 1 << 16):
+        p, r = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        near = np.einsum("ij,ij->i", x[r], y[p]) >= floor[p]
+        p, r = p[near], r[near]
+        out.append((p, r, inner_products(x[r], y[p])))
+    p, r, score = (np.concatenate(part) for part in zip(*out)) if out else (i, j, np.zeros(0))
+    order = np.lexsort((ids[r], -score, p))
+    p, r, score = p[order], r[order], score[order]
+    first = np.searchsorted(p, p)
+    keep = np.arange(len(p)) - first < k
+    return pa.RecordBatch.from_arrays([pa.array(node[p[keep]]), pa.array(ids[r[keep]]), pa.array(score[keep])], ["node", "vec_id", "score"])
+
+
+def searched(asked: DataFrame, stored: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(node, vec_id, score): the best of each query in each cell that it visits, block by block."""
+    cell = ["dim", "cell", "level"]
+    sizes = stored.groupBy(*cell).agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).alias("c_blocks"))
+    loads = asked.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_blocks"))
+    grid = scratch.save(sizes.join(loads, cell), "grid")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys, block = [*cell, "q", "c"], lambda key, n: F.pmod(F.xxhash64(key), n)
+    left = asked.join(grid, cell).withColumn("q", block("node", "q_blocks")).withColumn("c", up_to("c_blocks"))
+    right = stored.join(grid, cell).withColumn("c", block("vec_id", "c_blocks")).withColumn("q", up_to("q_blocks"))
+    none = lambda *names: [F.lit(None).cast(kind).alias(name) for name, kind in names]
+    left = left.select(*keys, "embedding", "node", "floor", *none(("vec_id", "long"), ("code", "binary"), ("norm", "double"), ("align", "double")))
+    right = right.select(*keys, "embedding", *none(("node", "long"), ("floor", "double")), "vec_id", "code", "norm", "align")
+    names = left.columns
+
+    def results(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        query = pc.is_valid(table["node"])
+        return best_of_block(table.filter(query).combine_chunks(), table.filter(pc.invert(query)).combine_chunks(), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the block at hand: at most about QUERY_BLOCK and CANDIDATE_BLOCK
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((number[1:] != number[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            if held and (last != number[0]).any():
+                yield results(held)
+                held = []
+            for i, j in zip(cuts, cuts[1:]):
+                if i:
+                    yield results(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+            last = number[-1]
+        if held:
+            yield results(held)
+
+    both = left.unionByName(right).select(*names).repartition(*keys).sortWithinPartitions(*keys)
+    return both.mapInArrow(run, "node long, vec_id long, score double")
+
+
+def _top(found: DataFrame, k: int, by: str) -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, miss: float = 0.002) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where the SQL condition ``is_query`` holds, the k largest inner products.
 
-    Candidates are all rows of the query's length but those with its id; ties go
-    to the smaller vec_id.  Rows with a null id, and vectors that are null,
-    empty, zero or hold null or non-finite components take no part.  Queries
-    with fewer candidates get fewer rows; an empty table gives none.  A repeated
-    row (same id and vector) counts once.
+    Candidates are all rows of the query's length but those with its id; ties go to
+    the smaller vec_id.  Cells that by expectation hold ``miss`` * k neighbours of a
+    query together stay out.  Rows with a null id, and vectors that are null, empty,
+    zero or hold null or non-finite components take no part.  Queries with fewer
+    candidates get fewer rows; an empty table gives none.  A repeated row (same id
+    and vector) counts once.
     """
+    scratch = Scratch(vectors.sparkSession, "nearest")
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    good = good.distinct()  # repeats of a row would take places among the k best of a block
+    good = scratch.save(good.distinct(), "rows")
+    own = good.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    wide = k + own  # a query's own rows may be among the best
+    few = Window.partitionBy("dim", "embedding").orderBy("vec_id")
+    candidates = good.withColumn("i", F.row_number().over(few)).where(F.col("i") <= wide).drop("i")
+    candidates = scratch.save(candidates, "candidates")
+    sizes = {r["dim"]: r["n"] for r in candidates.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    sample: dict[int, list] = {}
+    for r in candidates.where(part_of(F.xxhash64("vec_id", "embedding")) < share(sum(sizes.values()), SAMPLE)).select("dim", "embedding").toLocalIterator():
+        sample.setdefault(r["dim"], []).append(r["embedding"])  # about SAMPLE rows
+    books = {d: fit_centroids(_directions(np.array(v, np.float64))[0], min(MOST_CELLS, int(np.ceil(np.sqrt(sizes[d]))))) for d, v in sample.items()}
+    stored = scratch.save(placed(candidates, books), "cells")
+    rows: dict[int, list] = {}
+    stats = stored.groupBy("dim", "cell", "level").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.avg("off").alias("off"))
+    for r in stats.collect():  # a row for each cell
+        rows.setdefault(r["dim"], []).append(r)
+    cells = {d: Cells(v, books.get(d, np.zeros((1, d)))) for d, v in rows.items()}
+
     asked = good.where(is_query)
-    n, n_asked = good.count(), asked.count()
-    c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    keys = ["dim", "q", "c"]
-    left = blocked(asked, "vec_id", q_blocks, "q").withColumn("c", every(c_blocks)).select(*keys, "vec_id", "embedding")
-    right = blocked(_codes(good), "vec_id", c_blocks, "c").withColumn("q", every(q_blocks)).select(*keys, "vec_id", "embedding", "code", "norm", "align")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = asked.groupBy("dim", "embedding").agg(F.min("vec_id").alias("some")).withColumn("node", F.monotonically_increasing_id())
+    queries = scratch.save(queries.drop("some"), "queries")
+    no_floor = queries.withColumn("floor", F.lit(None).cast("double"))
+    met = scratch.save(searched(scratch.save(visits(no_floor, cells, k, miss * k), "first"), stored, wide, scratch), "met")
+    floors = _top(met, wide, "node").where(F.col("rank") == wide).select("node", F.col("score").alias("floor"))
+    known = queries.join(floors, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = searched(scratch.save(visits(known, cells, k, miss * k), "visits"), stored, wide, scratch)
+    found = scratch.save(_top(found, wide, "node").select("node", "vec_id", "score"), "found")
+    scratch.drop(candidates, stored, met)
+    named = asked.select(F.col("vec_id").alias("query_id"), "dim", "embedding").join(queries, ["dim", "embedding"]).select("query_id", "node")
+    out = named.join(found, "node").where("vec_id <> query_id")
+    return _top(out, k, "query_id").select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm import ann, vecdedup
+from tallyloom.llm.scratch import Scratch
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, rep string"
 
@@ -117,6 +118,56 @@ def test_repeats_of_a_row_leave_places_for_others(spark):
     assert len(got) == 20 and sorted(r.rank for r in got) == list(range(1, 21)) and len({r.vec_id for r in got}) == 20
 
 
+def test_bounds_hold_and_estimates_are_unbiased():
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((4000, 40)) * rng.uniform(0.2, 5, (4000, 1)), rng.standard_normal((30, 40))
+    turn = ann.rotation(40)
+    value, reach = ann.estimates(*ann.encode(x, turn), y, turn)
+    exact = y @ x.T
+    scale = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))[:, None]
+    assert abs(((value - exact) / scale).mean()) < 2e-3
+    assert (reach < exact).mean() < 1e-3 and ((reach - exact) / scale).mean() < 0.3
+
+
+def test_more_equal_vectors_than_neighbours(spark):
+    """Sixty copies, some of them queries, and a near one: ties go to the smallest ids, the own row left out."""
+    rows = [(i, [1.0, 2.0, 2.0], 0) for i in range(60)] + [(60, [2.0, 4.0, 4.1], 0), (61, [-1.0, 0.0, 0.0], 0)]
+    got = {}
+    for r in ann.nearest(table(spark, rows), "vec_id % 20 = 0", k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [60, 1, 2, 3, 4], 20: [60, 0, 1, 2, 3], 40: [60, 0, 1, 2, 3], 60: [0, 1, 2, 3, 4]}
+
+
+def test_neighbours_in_clusters_leave_cells_out(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 24)) * 3
+    x = (centres[rng.integers(40, size=4000)] + rng.standard_normal((4000, 24))).astype(np.float32)
+    rows, met, save = [(i, v.tolist(), 0) for i, v in enumerate(x)], {}, Scratch.save
+
+    def counted(self, df, name, **more):
+        out = save(self, df, name, **more)
+        if name == "visits":
+            met["visits"] = out.count()
+        if name == "cells":
+            met["cells"] = out.select("cell", "level").distinct().count()
+        return out
+
+    Scratch.save = counted
+    try:
+        got = ann.nearest(table(spark, rows), "vec_id % 100 = 0", k=20).collect()
+    finally:
+        Scratch.save = save
+    wide = x.astype(np.float64)
+    hits = 0
+    for q in range(0, 4000, 100):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        best = set(np.argsort(-score)[:20].tolist())
+        hits += len(best & {r.vec_id for r in got if r.query_id == q})
+    assert hits / (40 * 20) > 0.99
+    assert met["visits"] < 0.5 * 40 * met["cells"]
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert vecdedup.near_duplicate_vectors(empty).count() == 0
