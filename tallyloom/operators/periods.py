@@ -21,7 +21,8 @@ def change(totals: DataFrame, group: str, months: int, value: str = "total") ->
     """Each period beside the one ``months`` earlier: value before, difference, relative change."""
     before = totals.select(F.col(group), F.add_months("month", months).alias("month"), F.col(value).alias("before"))
     joined = totals.join(before, [group, "month"], "left")
-    return joined.select(group, "month", F.col(value), "before", (F.col(value) - F.col("before")).alias("difference"), F.try_divide(F.col(value) - F.col("before"), F.col("before")).alias("relative"))
+    difference = F.col(value) - F.col("before")
+    return joined.select(group, "month", F.col(value), "before", difference.alias("difference"), F.try_divide(difference, F.col("before")).alias("relative"))
 
 
 def trailing_mean(totals: DataFrame, group: str, months: int, value: str = "total") -> DataFrame:
@@ -46,14 +47,44 @@ def rollup_totals(df: DataFrame, levels: list[str], value: str) -> DataFrame:
     return df.rollup(*levels).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def percentiles(df: DataFrame, group: str, value: str, at: list[float], exact: bool = True) -> DataFrame:
-    """Percentiles per group; the exact form keeps a group's distinct values in memory, the other a sketch."""
-    form = (lambda p: F.percentile(value, p)) if exact else (lambda p: F.percentile_approx(value, p, 100_000))
-    return df.groupBy(group).agg(*(form(p).alias(f"p{round(100 * p)}") for p in at))
+def percentiles(df: DataFrame, group: str, value: str, at: list[float], pieces: int = 200) -> DataFrame:
+    """Exact percentiles per group, linear between the two nearest values; nulls of ``value`` are left out.
+
+    A sketch cuts each group's values into about ``pieces`` stretches; the rows of
+    each are counted, and only the stretches that hold a wanted rank are ordered, each
+    on its own.  So no task holds a group, however many rows or values it has.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    steps = [i / pieces for i in range(1, pieces)]
+    cuts = rows.groupBy("g").agg(F.percentile_approx("v", steps, 10 * pieces).alias("cuts"))
+    same = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("g", *more)]
+    in_order = F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece")
+    counted = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
+    placed = counted.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.g", "v", "n", in_order)
+    sizes = placed.groupBy("g", "piece").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("g", "piece", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("g")).alias("total"))
+    # Ranks from 0: each percentile lies between the two about its place.
+    places = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("place")) for i, p in enumerate(at)))
+    wanted = sizes.withColumn("p", F.explode(places)).select("*", F.explode(F.array_distinct(F.array(F.floor("p.place"), F.ceil("p.place")))).alias("rank"))
+    wanted = wanted.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    wanted = wanted.select("g", "piece", "first", "p.i", "p.place", "rank")
+    held = placed.alias("a").join(wanted.select("g", "piece", "first").distinct().alias("b"), same("a", "b", "piece")).select("a.g", "a.piece", "v", "n", "first")
+    upto = F.col("first") + F.sum("n").over(Window.partitionBy("g", "piece").orderBy("v"))
+    held = held.select("g", "piece", "v", (upto - F.col("n")).alias("start"), upto.alias("end"))
+    hit = [F.col("rank") >= F.col("start"), F.col("rank") < F.col("end")]
+    found = wanted.alias("a").join(held.alias("b"), [*same("a", "b", "piece"), *hit]).select("a.g", "i", "place", "rank", "v")
+    part = F.when(F.col("rank") == F.col("place"), 1.0).otherwise(1 - F.abs(F.col("rank") - F.col("place")))
+    sums = [F.sum(F.when(F.col("i") == i, F.col("v") * part)).alias(f"p{round(100 * p)}") for i, p in enumerate(at)]
+    return found.groupBy(F.col("g").alias(group)).agg(*sums)
 
 
 def flows(df: DataFrame, who: str, status: str, order: list[str]) -> DataFrame:
-    """Counts of moves between consecutive statuses of one person."""
+    """Counts of moves between consecutive statuses of one person.
+
+    A person's records are ordered together, so one very long history is one task
+    (sorted on disk if need be, and read row by row).
+    """
     w = Window.partitionBy(who).orderBy(*order)
     moved = df.select(F.col(status).alias("from_status"), F.lead(status).over(w).alias("to_status")).where("to_status is not null")
     return moved.groupBy("from_status", "to_status").agg(F.count("*").alias("n"))

@@ -56,10 +56,22 @@ def test_top_groups_break_ties(spark):
     assert [r.g for r in periods.top_groups(df, "g", 2).orderBy("rank").collect()] == ["a", "b"]
 
 
+def test_percentiles_are_exact(spark):
+    """Ties, nulls, a null group, one row, and more values than a stretch, against the built-in exact form."""
+    rows = [("a", float(i % 700) if i % 7 else 3.0) for i in range(3000)] + [("b", 5.0)] + [(None, float(i)) for i in range(50)] + [("c", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    at = [0.0, 0.1, 0.5, 0.9, 1.0]
+    want = df.where("v is not null").groupBy("g").agg(*(F.percentile("v", p).alias(f"p{round(100 * p)}") for p in at)).collect()
+    got = periods.percentiles(df, "g", "v", at, pieces=20).collect()
+    close = lambda rows: sorted((repr(r.g), *(round(r[f"p{round(100 * p)}"], 6) for p in at)) for r in rows)
+    assert close(got) == close(want) and len(got) == 3
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g string, ts timestamp, v double")
     assert periods.period_totals(df, "g", "ts", "v").count() == 0
     assert periods.flows(df, "g", "g", ["ts"]).count() == 0
+    assert periods.percentiles(df, "g", "v", [0.5]).count() == 0
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
