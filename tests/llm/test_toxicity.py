@@ -58,7 +58,7 @@ def test_odds_are_those_of_the_mixture():
 
 def plain_tokens(text):
     out, word = [], b""
-    for byte in (text or "").lower().encode() + b" ":
+    for byte in (text or "").encode().lower() + b" ":
         if chr(byte).isascii() and not chr(byte).isalpha():
             if word:
                 out.append(word)
