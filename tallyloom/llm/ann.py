@@ -127,7 +127,8 @@ def placed(candidates: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
                 centres = shared.value.get(dim, np.zeros((1, dim)))
                 near = (2 * unit @ centres.T - (centres * centres).sum(1)).argmax(1)
                 code, norm, align = encode(x, turn)
-                columns = [part.column("dim"), pa.array(near, pa.int32()), pa.array(np.floor(2 * np.log2(size) + 0.5), pa.int32()), part.column("vec_id"), part.column("embedding")]
+                level = pa.array(np.floor(2 * np.log2(size) + 0.5), pa.int32())
+                columns = [part.column("dim"), pa.array(near, pa.int32()), level, part.column("vec_id"), part.column("embedding")]
                 columns += [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(align), pa.array(((unit - centres[near]) ** 2).sum(1))]
                 yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "level", "vec_id", "embedding", "code", "norm", "align", "off"])
 

@@ -123,7 +123,8 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
                         for k, grams in enumerate(features(data, classes(data) == LETTER) if len(data) else []):
                             count[k * FEATURES : (k + 1) * FEATURES] += np.bincount(grams, minlength=FEATURES)
                     at = np.flatnonzero(count)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at, pa.int32()), pa.array(count[at])], ["l", "f", "n"])
+                    columns = [pa.array(np.full(len(at), lang, np.int32)), pa.array(at, pa.int32()), pa.array(count[at])]
+                    yield pa.RecordBatch.from_arrays(columns, ["l", "f", "n"])
 
     return sample.mapInArrow(run, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
 

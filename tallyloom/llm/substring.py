@@ -167,7 +167,8 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 found, rows = w.anchor_hash[change], w.row[change]
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 lists = [np.unique(signed(found[a:b])) for a, b in zip(at[:-1], at[1:])]
-                columns = [part.column("doc_id"), part.column("name"), pa.array(np.diff(w.at), pa.int64()), pa.array(shas), pa.array(lists, pa.list_(pa.int64()))]
+                columns = [part.column("doc_id"), part.column("name"), pa.array(np.diff(w.at), pa.int64())]
+                columns += [pa.array(shas), pa.array(lists, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n_words", "sha", "anchors"])
 
     return docs.select("doc_id", "name", "text").mapInArrow(run, "doc_id long, name long, n_words long, sha string, anchors array<long>")
@@ -187,7 +188,8 @@ def candidate_windows(candidates: DataFrame, length: int, gram: int) -> DataFram
                     keep[a:b] = np.isin(signed(w.anchor_hash[a:b]), lists[i].values.to_numpy())
                 row = w.row[keep]
                 start = (w.first - w.at[w.row])[keep]
-                columns = [pa.array(signed(w.window_hash[keep])), *(pa.array(part.column(c).to_numpy()[row]) for c in ("doc_id", "row")), pa.array(start.astype(np.int32))]
+                of_row = [pa.array(part.column(c).to_numpy()[row]) for c in ("doc_id", "row")]
+                columns = [pa.array(signed(w.window_hash[keep])), *of_row, pa.array(start.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "row", "s"])
 
     return candidates.select("doc_id", "row", "text", "anchors").mapInArrow(run, "h long, doc_id long, row long, s int")
@@ -226,9 +228,11 @@ def passages(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                             for values, value in zip(out, row):
                                 values.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["owner", "chunk", "reference", "doc_id", "row", "start", "n", "words"])
+                names = ["owner", "chunk", "reference", "doc_id", "row", "start", "n", "words"]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
-    return candidates.mapInArrow(run, "owner long, chunk int, reference boolean, doc_id long, row long, start int, n int, words binary")
+    schema = "owner long, chunk int, reference boolean, doc_id long, row long, start int, n int, words binary"
+    return candidates.mapInArrow(run, schema)
 
 
 def matched_windows(regions: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -300,9 +304,10 @@ def repeated_words(docs: DataFrame, scratch: Scratch, length: int, gram: int) ->
     base = scratch.save(anchors(docs, length, gram), "anchors")
     long_ = base.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
     # Written first, so that Spark can split the join of a large group of copies.
-    same = scratch.save(long_.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first"), "same")
-    rows = base.join(same, "sha", "left").select("doc_id", "name", "n_words", "sha", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"), "anchors")
-    rows = scratch.save(rows, "rows")
+    same = long_.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    same = scratch.save(same.select("sha", "first"), "same")
+    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")
+    rows = scratch.save(base.join(same, "sha", "left").select("doc_id", "name", "n_words", "sha", copy, "anchors"), "rows")
     scratch.drop(base, same)
     by_anchor = rows.where((F.col("n_words") >= length) & F.col("doc_id").isNotNull() & ~F.col("copy"))
     by_anchor = by_anchor.select("doc_id", "name", F.explode("anchors").alias("anchor"))
