@@ -34,7 +34,8 @@ def main() -> None:
         start = time.perf_counter()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "total seconds of all registered queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    total, sf = round(sum(took.values()), 3), os.path.basename(sf_dir.rstrip("/"))
+    print(json.dumps({"metric": "total seconds of all registered queries", "value": total, "unit": "sec", "queries": took, "sf": sf}))
     spark.stop()
 
 

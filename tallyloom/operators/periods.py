@@ -39,7 +39,8 @@ def top_groups(totals: DataFrame, group: str, k: int, value: str = "n") -> DataF
 
 def share(df: DataFrame, group: str, part: Column, value: str) -> DataFrame:
     """Value of the rows where ``part`` holds, over all value, per group; null where that is zero."""
-    return df.groupBy(group).agg(F.sum(F.when(part, F.col(value)).otherwise(F.lit(0))).alias("part"), F.sum(value).alias("whole")).withColumn("share", F.try_divide("part", "whole"))
+    sums = df.groupBy(group).agg(F.sum(F.when(part, F.col(value)).otherwise(F.lit(0))).alias("part"), F.sum(value).alias("whole"))
+    return sums.withColumn("share", F.try_divide("part", "whole"))
 
 
 def rollup_totals(df: DataFrame, levels: list[str], value: str) -> DataFrame:
@@ -63,13 +64,16 @@ def percentiles(df: DataFrame, group: str, value: str, at: list[float], pieces:
     placed = counted.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.g", "v", "n", in_order)
     sizes = placed.groupBy("g", "piece").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("g", "piece", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("g")).alias("total"))
+    first, total = F.coalesce(F.sum("n").over(before), F.lit(0)), F.sum("n").over(Window.partitionBy("g"))
+    sizes = sizes.select("g", "piece", "n", first.alias("first"), total.alias("total"))
     # Ranks from 0: each percentile lies between the two about its place.
     places = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("place")) for i, p in enumerate(at)))
-    wanted = sizes.withColumn("p", F.explode(places)).select("*", F.explode(F.array_distinct(F.array(F.floor("p.place"), F.ceil("p.place")))).alias("rank"))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("p.place"), F.ceil("p.place")))).alias("rank")
+    wanted = sizes.withColumn("p", F.explode(places)).select("*", ranks)
     wanted = wanted.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     wanted = wanted.select("g", "piece", "first", "p.i", "p.place", "rank")
-    held = placed.alias("a").join(wanted.select("g", "piece", "first").distinct().alias("b"), same("a", "b", "piece")).select("a.g", "a.piece", "v", "n", "first")
+    stretches = wanted.select("g", "piece", "first").distinct()
+    held = placed.alias("a").join(stretches.alias("b"), same("a", "b", "piece")).select("a.g", "a.piece", "v", "n", "first")
     upto = F.col("first") + F.sum("n").over(Window.partitionBy("g", "piece").orderBy("v"))
     held = held.select("g", "piece", "v", (upto - F.col("n")).alias("start"), upto.alias("end"))
     hit = [F.col("rank") >= F.col("start"), F.col("rank") < F.col("end")]
