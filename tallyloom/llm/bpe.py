@@ -35,7 +35,7 @@ WIDE_SPACES = frozenset([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2
 #: Endings that the pattern splits off after an apostrophe (fixed values).
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Bytes of text handled at once; bounds a Python worker's memory.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Slots of a worker's table of pieces already encoded, and the most bytes and tokens in one.
 CACHE_BITS, CACHE_BYTES, CACHE_TOKENS = 18, 16, 6
 
