@@ -63,27 +63,35 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return _pack(turned > 0), norm, np.abs(turned).sum(1) / np.sqrt(turn.shape[1])
 
 
-def estimates(words: np.ndarray, norm: np.ndarray, align: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of all queries (rows) with all coded vectors, and the upper bounds."""
-    n = turn.shape[1]
+def quantise(queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated directions of queries in QUERY_BITS bits a component: bit planes as words, least value, step."""
     size = np.sqrt((queries * queries).sum(1, keepdims=True))
     turned = (queries / size) @ turn
     low, top = turned.min(1, keepdims=True), (1 << QUERY_BITS) - 1
     step = np.maximum((turned.max(1, keepdims=True) - low) / top, 1e-12)
-    noise = np.random.default_rng(1).random(turned.shape)
+    noise = np.random.default_rng(1).random(turned.shape[1])
     level = np.clip(np.floor((turned - low) / step + noise), 0, top).astype(np.int64)
-    total = np.zeros((len(queries), len(words)), np.float32)
+    planes = np.stack([_pack(level >> j & 1) for j in range(QUERY_BITS)], axis=1)
+    return planes, low[:, 0], step[:, 0]
+
+
+def estimates(words: np.ndarray, norm: np.ndarray, align: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of all quantised queries (rows; ``size``: their norms) with all coded vectors, and the upper bounds."""
+    n = 64 * words.shape[1]
+    total = np.zeros((len(planes), len(words)), np.float32)
     for j in range(QUERY_BITS):
-        plane, count = _pack(level >> j & 1), np.zeros(total.shape, np.uint16)
+        count = np.zeros(total.shape, np.uint16)
         for w in range(words.shape[1]):
-            count += np.bitwise_count(words[None, :, w] & plane[:, w, None])
+            count += np.bitwise_count(words[None, :, w] & planes[:, j, w, None])
         total += count * np.float32(1 << j)
-    ones = sum(np.bitwise_count(words[:, w]).astype(np.float64) for w in range(words.shape[1]))
-    inner = 2 * step * total + 2 * low * ones - (step * level.sum(1, keepdims=True) + n * low)
+    ones = np.bitwise_count(words).sum(1, dtype=np.float64)
+    levels = np.bitwise_count(planes).sum(2, dtype=np.float64) @ (2.0 ** np.arange(QUERY_BITS))
+    low, step, size = low[:, None], step[:, None], size[:, None]
+    inner = 2 * step * total + 2 * low * ones - (step * levels[:, None] + n * low)
     scale = norm / align
-    error = SIGMAS * (norm * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(n - 1) + step / 2 * scale)
+    spread = SIGMAS * norm * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(n - 1)
     value = inner * scale * (size / np.sqrt(n))
-    return value, value + size * error
+    return value, value + size * (spread + (SIGMAS / 2) * step * scale)
 
 
 def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -141,7 +149,7 @@ class Cells:
     """The cells of one length: centroid, number and largest norm of members, and spread of directions along any one line."""
 
     def __init__(self, rows: list, centres: np.ndarray):
-        self.key = [(r["cell"], r["level"]) for r in rows]
+        self.key = np.array([(r["cell"], r["level"]) for r in rows])
         self.centres = centres[[r["cell"] for r in rows]]
         self.n, self.norm = (np.array([r[c] for r in rows], np.float64) for c in ("n", "norm"))
         self.spread = np.sqrt(np.array([r["off"] for r in rows]) / centres.shape[1]) + 1e-9
@@ -169,29 +177,31 @@ def _tail(z: np.ndarray) -> np.ndarray:
 
 
 def visits(queries: DataFrame, cells: dict[int, Cells], k: int, missed: float) -> DataFrame:
-    """(dim, cell, level, node, embedding, floor): each query in each cell that it visits; without a floor, in the first ones."""
+    """(dim, cell, level, node, embedding, floor, code, norm, align): each query, quantised, in each cell that it visits
+    (without a floor: in the first ones); code, norm and align hold its bit planes, least value and step."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)  # a row for each cell
+    names = ["dim", "cell", "level", "node", "embedding", "floor", "code", "norm", "align"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, cell, level = [], [], []
-            dims, floors = batch.column("dim").to_pylist(), batch.column("floor").to_pylist()
-            for i, (dim, floor) in enumerate(zip(dims, floors)):
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
                 if dim not in shared.value:
                     continue
-                known, query = shared.value[dim], matrix(batch.column("embedding").slice(i, 1))[0]
-                found = known.first(query, FIRST * k) if floor is None else known.to_visit(query, floor, missed, FIRST * k)
-                row += [i] * len(found)
-                cell += [known.key[c][0] for c in found.tolist()]
-                level += [known.key[c][1] for c in found.tolist()]
-            at = pa.array(row, pa.int64())
-            columns = [batch.column("dim").take(at), pa.array(cell, pa.int32()), pa.array(level, pa.int32())]
-            columns += [batch.column(c).take(at) for c in ("node", "embedding", "floor")]
-            yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "level", "node", "embedding", "floor"])
+                part, known = batch.filter(pa.array(dims == dim)), shared.value[dim]
+                x, floors = matrix(part.column("embedding")), part.column("floor").to_pylist()
+                planes, low, step = quantise(x, rotation(dim))
+                found = [known.first(q, FIRST * k) if f is None else known.to_visit(q, f, missed, FIRST * k) for q, f in zip(x, floors)]
+                at = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
+                cell, level = known.key[np.concatenate(found)].T
+                extra = pa.array([p.tobytes() for p in planes], pa.binary()), pa.array(low), pa.array(step)
+                columns = [part.column("dim").take(at), pa.array(cell, pa.int32()), pa.array(level, pa.int32())]
+                columns += [c.take(at) for c in (*(part.column(c) for c in ("node", "embedding", "floor")), *extra)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = queries.schema["embedding"].dataType.simpleString()
-    names = ["dim", "node", "embedding", "floor"]
-    return queries.select(*names).mapInArrow(run, f"dim int, cell int, level int, node long, embedding {kind}, floor double")
+    schema = f"dim int, cell int, level int, node long, embedding {kind}, floor double, code binary, norm double, align double"
+    return queries.select("dim", "node", "embedding", "floor").mapInArrow(run, schema)
 
 
 def best_of_block(q: pa.Table, c: pa.Table, k: int) -> pa.RecordBatch:
@@ -199,8 +209,10 @@ def best_of_block(q: pa.Table, c: pa.Table, k: int) -> pa.RecordBatch:
     x, ids = matrix(c["embedding"]), c["vec_id"].to_numpy()
     words = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
     y, node = matrix(q["embedding"]), q["node"].to_numpy()
+    planes = np.frombuffer(b"".join(q["code"].to_pylist()), np.uint64).reshape(len(node), QUERY_BITS, -1)
     floor = q["floor"].fill_null(-np.inf).to_numpy() if q["floor"].null_count else q["floor"].to_numpy()
-    value, reach = estimates(words, c["norm"].to_numpy(), c["align"].to_numpy(), y, rotation(x.shape[1]))
+    quantised = planes, q["norm"].to_numpy(), q["align"].to_numpy(), np.sqrt((y * y).sum(1))
+    value, reach = estimates(words, c["norm"].to_numpy(), c["align"].to_numpy(), *quantised)
     slack = 1e-9 * np.maximum(np.abs(floor), 1e-300)
     floor = np.where(np.isfinite(floor), floor - slack, -np.inf)
     open_ = ~np.isfinite(floor)
@@ -234,7 +246,7 @@ def searched(asked: DataFrame, stored: DataFrame, k: int, scratch: Scratch) -> D
     left = asked.join(grid, cell).withColumn("q", block("node", "q_blocks")).withColumn("c", up_to("c_blocks"))
     right = stored.join(grid, cell).withColumn("c", block("vec_id", "c_blocks")).withColumn("q", up_to("q_blocks"))
     none = lambda *names: [F.lit(None).cast(kind).alias(name) for name, kind in names]
-    left = left.select(*keys, "embedding", "node", "floor", *none(("vec_id", "long"), ("code", "binary"), ("norm", "double"), ("align", "double")))
+    left = left.select(*keys, "embedding", "node", "floor", *none(("vec_id", "long")), "code", "norm", "align")
     right = right.select(*keys, "embedding", *none(("node", "long"), ("floor", "double")), "vec_id", "code", "norm", "align")
     names = left.columns
 

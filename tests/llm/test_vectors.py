@@ -122,7 +122,7 @@ def test_bounds_hold_and_estimates_are_unbiased():
     rng = np.random.default_rng(6)
     x, y = rng.standard_normal((4000, 40)) * rng.uniform(0.2, 5, (4000, 1)), rng.standard_normal((30, 40))
     turn = ann.rotation(40)
-    value, reach = ann.estimates(*ann.encode(x, turn), y, turn)
+    value, reach = ann.estimates(*ann.encode(x, turn), *ann.quantise(y, turn), np.sqrt((y * y).sum(1)))
     exact = y @ x.T
     scale = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))[:, None]
     assert abs(((value - exact) / scale).mean()) < 2e-3
