@@ -34,6 +34,8 @@ LETTER, NUMBER, WHITE, OTHER, BEFORE = 0, 1, 2, 3, 9
 WIDE_SPACES = frozenset([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 #: Endings that the pattern splits off after an apostrophe (fixed values).
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: The byte, never part of UTF-8, that ends a word where the vocabulary has tokens for word ends.
+WORD_END = b"\xff"
 #: Bytes of text handled at once; bounds a Python worker's memory.
 SLICE = 1 << 20
 #: Slots of a worker's table of pieces already encoded, and the most bytes and tokens in one.
@@ -135,19 +137,36 @@ def _same_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lead
 
 
 class Bpe:
-    """Tables of one vocabulary file.  Inside, a token is its rank: bytes 0-255, then merges in order."""
+    """Tables of one vocabulary file.  Inside, a token is its rank: bytes 0-255, then merges in order.
+
+    A vocabulary with a suffix for word ends is one in which WORD_END follows each word
+    (:meth:`encode_pieces` gets it with the word) and merges with the word's last byte first.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        raw = {t: bytes(letters[c] for c in t) for t in vocab if all(c in letters for c in t)}
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+
+        def spelled(token: str) -> bytes | None:
+            ends = bool(suffix) and token.endswith(suffix)
+            body = token.removesuffix(suffix) if ends else token
+            return bytes(letters[c] for c in body) + WORD_END * ends if all(c in letters for c in body) else None
+
+        raw = {t: b for t in vocab if (b := spelled(t)) is not None}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         by_byte = {raw[t]: t for t in raw if len(raw[t]) == 1}
         names = [by_byte[bytes([b])] for b in range(256)]
         rank = {t: i for i, t in enumerate(names)}
         left, right = list(range(256)), list(range(256))
         pairs: dict[tuple[int, int], int] = {}
+        if suffix:  # a letter and the end of its word merge before all else
+            for b in range(256):
+                pairs[b, WORD_END[0]] = rank[names[b] + suffix] = len(names)
+                names.append(names[b] + suffix)
+                left.append(b)
+                right.append(WORD_END[0])
         for a, b in merges:
             r = rank.setdefault(a + b, len(names))
             if r == len(names):
@@ -309,7 +328,7 @@ class Bpe:
         upto = np.concatenate([[0], np.cumsum(on_path)])
         return chosen[on_path], upto[ends] - upto[begins]
 
-    def _piece_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def piece_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and how many each has; a piece seen before is looked up.
 
         Hashes only bring pieces together: whether two are the same is decided by their lengths and bytes.
@@ -372,7 +391,7 @@ class Bpe:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        ids, n = self._piece_ids(data, starts, ends)
+        ids, n = self.piece_ids(data, starts, ends)
         upto = np.concatenate([[0], np.cumsum(n)])
         if len(special_at):  # each stands alone as a piece: its ordinary ids give way to its own
             piece = np.searchsorted(starts, special_at)

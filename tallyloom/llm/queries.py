@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """The public byte-level vocabulary, at the same place on every executor."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary, at the same place on every executor."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def remainder_is(modulus: int, remainder: int) -> Column:
@@ -101,6 +101,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "perplexity", "adjusted", "threshold", "rejected")
 
 
+def op13_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .balance import pack_balanced
+
+    out = pack_balanced(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -112,4 +119,5 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op13_balanced_packing": op13_balanced_packing,
 }
