@@ -47,9 +47,29 @@ from each e left join hits h on h.doc_id = e.doc_id and h.i = e.i),
 kept as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept from marked group by doc_id)
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join kept k on k.doc_id = d.doc_id"""
 
+OP12 = rf"""with rows as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+t as (select row, lang, source, unnest(terms) as term from rows),
+kept as (select lang, term from t group by lang, term having count(distinct row) >= 30),
+c as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by lang, source, term),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select lang, source, coalesce(sum(n), 0) as total, coalesce(any_value(v), 0) as v
+from (select distinct lang, source from rows) left join c using (lang, source) left join v using (lang) group by lang, source),
+p as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n, 1 + (cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) as p
+from g join kept using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+l as (select lang, sum(total) as total, any_value(v) as v from g group by lang),
+q as (select p.lang, p.term, 1 + (cast(1000000000 as hugeint) * (sum(p.n) + 5)) // (any_value(l.total) + 5 * any_value(l.v)) as q from p join l using (lang) group by p.lang, p.term),
+gaps as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+parts as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+left join gaps on gaps.lang = a.lang and gaps.source = a.source and gaps.item = b.source
+union all select p.lang, p.source, 'term', p.term, p.p - q.q from p join q using (lang, term) where p.n > 0 and p.p > q.q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 50"""
+
 ORACLE_SQL = {
     "op1_minhash_near_dedup": OP1,
     "op5_embedding_near_dedup": OP5,
     "op8_nearest_neighbours": OP8,
     "op9_substring_dedup": OP9,
+    "op12_source_divergence": OP12,
 }

@@ -101,6 +101,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "perplexity", "adjusted", "threshold", "rejected")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"), least=30, smoothing=5, top=50)
+
+
 def op13_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .balance import pack_balanced
 
@@ -119,5 +125,6 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op12_source_divergence": op12_source_divergence,
     "op13_balanced_packing": op13_balanced_packing,
 }
