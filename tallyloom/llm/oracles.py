@@ -47,6 +47,26 @@ from each e left join hits h on h.doc_id = e.doc_id and h.i = e.i),
 kept as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept from marked group by doc_id)
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join kept k on k.doc_id = d.doc_id"""
 
+#: crc32, bit by bit, of a column with the digits of a number.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda x : cast(ascii(x) as bigint))),
+lambda c, d : list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y : case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"""
+
+OP11 = f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as words, {_CRC32.format("cast(doc_id as varchar)")} as h from documents),
+x as (select doc_id, words, len(words) as n, h % 10 = 0 and len(words) > 0 as planted, h // 10 as g, (h // 10) % greatest(len(words), 1) as a from w),
+y as (select *, 1 + (n - a) // (3 + g % 8) as p from x),
+d as (select doc_id, n, case when planted then list_transform(range(n), lambda i : words[1 + case when i < a then i else a + (i - a) % p end]) else words end as words from y),
+grams as (select doc_id, unnest(range(greatest(n - 5, 0))) as i, unnest(list_transform(range(greatest(n - 5, 0)), lambda i : hash(words[i + 1:i + 6]))) as h from d),
+same as (select a.doc_id, a.i, b.i - a.i as q from grams a join grams b on a.doc_id = b.doc_id and a.h = b.h and a.i < b.i),
+stretches as (select doc_id, q, min(i) as start, count(*) + 5 as shared from (select *, i - row_number() over (partition by doc_id, q order by i) as island from same) group by doc_id, q, island),
+runs as (select doc_id, start, shared + q as length, min(q) as period from stretches where q <= shared and shared + q >= 12 group by doc_id, start, shared + q),
+best as (select doc_id, start, length, period from runs qualify row_number() over (partition by doc_id order by length desc, start, period) = 1),
+listed as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+each as (select doc_id, unnest(words) as word, unnest(range(n)) as i from d),
+kept as (select doc_id, string_agg(word, ' ' order by i) as kept from each anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, cast(floor(1000 * length / period) as bigint) as exponent_milli,
+sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from d left join listed using (doc_id) left join best using (doc_id) left join kept using (doc_id)"""
+
 OP12 = rf"""with rows as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
 regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
 t as (select row, lang, source, unnest(terms) as term from rows),
@@ -71,5 +91,6 @@ ORACLE_SQL = {
     "op5_embedding_near_dedup": OP5,
     "op8_nearest_neighbours": OP8,
     "op9_substring_dedup": OP9,
+    "op11_periodic_runs": OP11,
     "op12_source_divergence": OP12,
 }

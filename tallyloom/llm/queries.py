@@ -101,6 +101,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "perplexity", "adjusted", "threshold", "rejected")
 
 
+def periodic_tail(docs: DataFrame) -> DataFrame:
+    """One text in ten, by crc32 of its doc_id, with words that repeat from some place on; all others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, words = F.floor(h / 10), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    chosen = docs.withColumn("__words", F.when(h % 10 == 0, words)).withColumn("__n", F.size("__words").cast("long"))
+    a = F.when(F.col("__n") > 0, g % F.col("__n"))  # a null array has size -1 or null
+    chosen = chosen.withColumn("__a", a).withColumn("__p", 1 + F.floor((F.col("__n") - F.col("__a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)
+    repeated = F.concat_ws(" ", F.transform(every, lambda i: F.get("__words", place(i).cast("int"))))
+    return chosen.withColumn("text", F.when(F.col("__a").isNotNull(), repeated).otherwise(F.col("text"))).drop("__words", "__n", "__a", "__p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    docs = periodic_tail(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs(docs, least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    figures = (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli")
+    return out.select("doc_id", "n_runs", *figures, "runs_sha256", "collapsed_sha256")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence
 
@@ -125,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
     "op13_balanced_packing": op13_balanced_packing,
 }
