@@ -6,14 +6,17 @@ and the inner product between the direction and its code's direction as correcti
 scalars.  A query's rotated direction is quantised to a few bits per component; AND
 and population count over bit planes give its inner product with every code, and
 dividing by the correction scalar an unbiased estimate of the true one, with a known
-error bound.  Only vectors whose upper bound reaches the query's floor are scored on
-the original vectors.
-
-Candidates lie in cells by direction (k-means on a sample) and level of norm.  A
-query first meets the best of a few cells, which gives its floor: the k-th best exact
-score so far.  It then visits the cells in which more than a share ``miss`` of the k
-neighbours may lie above the floor, by the spread of directions about each centroid;
-so it meets only a part of the table, and each candidate travels to its cell alone.
+error bound.  Vectors whose upper bound reaches the query's floor are estimated again
+from a second code, one byte a component, whose error has a certain bound.
+
+Candidates lie in cells by direction (k-means on a sample) and level of norm, and
+cells in groups of about a block's size.  A query first meets the best of a few cells,
+which gives its floor: the k-th best lower bound so far.  It then visits the cells in
+which more than a share ``miss`` of the k neighbours may lie above the floor, by the
+spread of directions about each centroid.  Only codes and scalars of candidates
+travel to the groups' blocks, and a query travels once to a group, with the list of
+its cells there.  Original vectors are joined by row number, for the candidates
+whose bound reaches the k-th best lower bound of all, and decide.
 
 Of equal vectors only the smallest ids can be among the k nearest, ties going to
 smaller ids, so no more of them go on, and equal query vectors are searched once.
@@ -119,8 +122,20 @@ def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / top / norm, (top * norm)[:, 0]
 
 
+def byte_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors in one signed byte a component, the step of each, and the norm of what is left."""
+    step = np.abs(x).max(1) / 127
+    fine = np.rint(x / step[:, None]).astype(np.int8)
+    left = x - fine * step[:, None]
+    return fine, step, np.sqrt((left * left).sum(1))
+
+
+#: A candidate's codes as they travel.
+CODES = ["code", "norm", "align", "fine", "step", "left"]
+
+
 def placed(candidates: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
-    """(dim, cell, level, vec_id, embedding, code, norm, align, off): candidates with their cell, code and squared distance from the centroid."""
+    """(dim, cell, level, row, CODES, off): candidates with their cell, codes and squared distance from the centroid."""
     shared = candidates.sparkSession.sparkContext.broadcast(books)  # at most MOST_CELLS directions for each length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,24 +150,37 @@ def placed(candidates: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
                 centres = shared.value.get(dim, np.zeros((1, dim)))
                 near = (2 * unit @ centres.T - (centres * centres).sum(1)).argmax(1)
                 code, norm, align = encode(x, turn)
+                fine, step, left = byte_codes(x)
                 level = pa.array(np.floor(2 * np.log2(size) + 0.5), pa.int32())
-                columns = [part.column("dim"), pa.array(near, pa.int32()), level, part.column("vec_id"), part.column("embedding")]
-                columns += [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(align), pa.array(((unit - centres[near]) ** 2).sum(1))]
-                yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "level", "vec_id", "embedding", "code", "norm", "align", "off"])
+                columns = [part.column("dim"), pa.array(near, pa.int32()), level, part.column("row")]
+                columns += [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(align)]
+                columns += [pa.array([c.tobytes() for c in fine], pa.binary()), pa.array(step), pa.array(left), pa.array(((unit - centres[near]) ** 2).sum(1))]
+                yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "level", "row", *CODES, "off"])
 
-    kind = candidates.schema["embedding"].dataType.simpleString()
-    schema = f"dim int, cell int, level int, vec_id long, embedding {kind}, code binary, norm double, align double, off double"
-    return candidates.select("dim", "vec_id", "embedding").mapInArrow(run, schema)
+    schema = "dim int, cell int, level int, row long, code binary, norm double, align double, fine binary, step double, left double, off double"
+    return candidates.select("dim", "row", "embedding").mapInArrow(run, schema)
 
 
 class Cells:
-    """The cells of one length: centroid, number and largest norm of members, and spread of directions along any one line."""
+    """The cells of one length: centroid, number and largest norm of members, spread of directions along any one line.
+
+    Cells lie one after another in groups of about CANDIDATE_BLOCK members; a larger cell has several groups of its own.
+    """
 
     def __init__(self, rows: list, centres: np.ndarray):
         self.key = np.array([(r["cell"], r["level"]) for r in rows])
         self.centres = centres[[r["cell"] for r in rows]]
         self.n, self.norm = (np.array([r[c] for r in rows], np.float64) for c in ("n", "norm"))
         self.spread = np.sqrt(np.array([r["off"] for r in rows]) / centres.shape[1]) + 1e-9
+        self.parts = np.ceil(self.n / CANDIDATE_BLOCK).astype(np.int64)
+        self.group = np.zeros(len(rows), np.int64)
+        at, held = 0, 0.0
+        for i, (n, parts) in enumerate(zip(self.n.tolist(), self.parts.tolist())):
+            if held and held + n > CANDIDATE_BLOCK:
+                at, held = at + 1, 0.0
+            self.group[i], held = at, held + n
+            if parts > 1:
+                at, held = at + parts, 0.0
 
     def first(self, query: np.ndarray, least: int) -> np.ndarray:
         """The most promising cells that hold ``least`` members together."""
@@ -176,11 +204,12 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.where(z < 0, 1.0, np.exp(-near * near / 2) * np.minimum(0.5, 0.4 / np.maximum(near, 0.1)))
 
 
+ASKED = ["node", "embedding", "floor", "wide", "planes", "low", "width", "cells"]
+
+
 def visits(queries: DataFrame, cells: dict[int, Cells], k: int, missed: float) -> DataFrame:
-    """(dim, cell, level, node, embedding, floor, code, norm, align): each query, quantised, in each cell that it visits
-    (without a floor: in the first ones); code, norm and align hold its bit planes, least value and step."""
+    """(dim, group, ASKED): each query, quantised, in each group with cells that it visits (without a floor: the first ones)."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)  # a row for each cell
-    names = ["dim", "cell", "level", "node", "embedding", "floor", "code", "norm", "align"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,71 +218,87 @@ def visits(queries: DataFrame, cells: dict[int, Cells], k: int, missed: float) -
                 if dim not in shared.value:
                     continue
                 part, known = batch.filter(pa.array(dims == dim)), shared.value[dim]
-                x, floors = matrix(part.column("embedding")), part.column("floor").to_pylist()
-                planes, low, step = quantise(x, rotation(dim))
-                found = [known.first(q, FIRST * k) if f is None else known.to_visit(q, f, missed, FIRST * k) for q, f in zip(x, floors)]
-                at = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
-                cell, level = known.key[np.concatenate(found)].T
-                extra = pa.array([p.tobytes() for p in planes], pa.binary()), pa.array(low), pa.array(step)
-                columns = [part.column("dim").take(at), pa.array(cell, pa.int32()), pa.array(level, pa.int32())]
-                columns += [c.take(at) for c in (*(part.column(c) for c in ("node", "embedding", "floor")), *extra)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                x, floors, wide = matrix(part.column("embedding")), part.column("floor").to_pylist(), part.column("wide").to_pylist()
+                planes, low, width = quantise(x, rotation(dim))
+                query, group, lists = [], [], []
+                for i, (q, floor, w) in enumerate(zip(x, floors, wide)):
+                    found = known.first(q, FIRST * w) if floor is None else known.to_visit(q, floor, missed, FIRST * k)
+                    every = np.repeat(found, known.parts[found])
+                    at = known.group[every] + np.arange(len(every)) - np.repeat(np.cumsum(known.parts[found]) - known.parts[found], known.parts[found])
+                    order = np.argsort(at, kind="stable")
+                    distinct, begin = np.unique(at[order], return_index=True)
+                    query += [i] * len(distinct)
+                    group += distinct.tolist()
+                    lists += [c.tolist() for c in np.split(every[order], begin[1:])]
+                at = pa.array(query, pa.int64())
+                columns = [part.column("dim").take(at), pa.array(group, pa.int32()), *(part.column(c).take(at) for c in ("node", "embedding", "floor", "wide"))]
+                columns += [c.take(at) for c in (pa.array([p.tobytes() for p in planes], pa.binary()), pa.array(low), pa.array(width))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.int32()))], ["dim", "group", *ASKED])
 
     kind = queries.schema["embedding"].dataType.simpleString()
-    schema = f"dim int, cell int, level int, node long, embedding {kind}, floor double, code binary, norm double, align double"
-    return queries.select("dim", "node", "embedding", "floor").mapInArrow(run, schema)
-
-
-def best_of_block(q: pa.Table, c: pa.Table, k: int) -> pa.RecordBatch:
-    """(node, vec_id, score): the k best candidates of each query, among those whose bound reaches its floor."""
-    x, ids = matrix(c["embedding"]), c["vec_id"].to_numpy()
-    words = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    y, node = matrix(q["embedding"]), q["node"].to_numpy()
-    planes = np.frombuffer(b"".join(q["code"].to_pylist()), np.uint64).reshape(len(node), QUERY_BITS, -1)
-    floor = q["floor"].fill_null(-np.inf).to_numpy() if q["floor"].null_count else q["floor"].to_numpy()
-    quantised = planes, q["norm"].to_numpy(), q["align"].to_numpy(), np.sqrt((y * y).sum(1))
-    value, reach = estimates(words, c["norm"].to_numpy(), c["align"].to_numpy(), *quantised)
-    slack = 1e-9 * np.maximum(np.abs(floor), 1e-300)
-    floor = np.where(np.isfinite(floor), floor - slack, -np.inf)
-    open_ = ~np.isfinite(floor)
-    wanted = reach >= floor[:, None]
-    if open_.any() and len(ids) > 4 * k:  # no floor yet: the best by estimate are scored
-        least = -np.partition(-value[open_], 4 * k - 1, axis=1)[:, 4 * k - 1 : 4 * k]
-        wanted[open_] = value[open_] >= least
-    i, j = np.nonzero(wanted)
+    schema = f"dim int, group int, node long, embedding {kind}, floor double, wide long, planes binary, low double, width double, cells array<int>"
+    return queries.select("dim", "node", "embedding", "floor", "wide").mapInArrow(run, schema)
+
+
+def within_bounds(q: pa.Table, c: pa.Table) -> pa.RecordBatch:
+    """(node, row, least, most): bounds of candidates that can be among the best ``wide`` of a query, by what this block holds.
+
+    A query without a floor meets the best by estimate, and only the ``wide`` best lower bounds are returned.
+    """
+    rows, number = c["row"].to_numpy(), c["number"].to_numpy()
+    bits = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint64).reshape(len(rows), -1)
+    norm, align, step, left = (c[x].to_numpy() for x in ("norm", "align", "step", "left"))
+    fine = np.frombuffer(b"".join(c["fine"].to_pylist()), np.int8).reshape(len(rows), -1).astype(np.float32)
+    y, node, wide = matrix(q["embedding"]), q["node"].to_numpy(), q["wide"].to_numpy()
+    planes = np.frombuffer(b"".join(q["planes"].to_pylist()), np.uint64).reshape(len(node), QUERY_BITS, -1)
+    low, width, size = q["low"].to_numpy(), q["width"].to_numpy(), np.sqrt((y * y).sum(1))
+    floor = q["floor"].fill_null(-np.inf).to_numpy().copy()
+    asked = q["cells"].combine_chunks()
+    who, cell = pc.list_parent_indices(asked).to_numpy(), asked.flatten().to_numpy()
+    order = np.argsort(cell, kind="stable")
+    who, cell = who[order], cell[order]
+    by_cell = np.argsort(number, kind="stable")
+    cuts = np.flatnonzero(np.diff(number[by_cell])) + 1
     out = []
-    for a in range(0, len(i), 1 << 16):
-        p, r = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        near = np.einsum("ij,ij->i", x[r], y[p]) >= floor[p]
-        p, r = p[near], r[near]
-        out.append((p, r, inner_products(x[r], y[p])))
-    p, r, score = (np.concatenate(part) for part in zip(*out)) if out else (i, j, np.zeros(0))
-    order = np.lexsort((ids[r], -score, p))
-    p, r, score = p[order], r[order], score[order]
-    first = np.searchsorted(p, p)
-    keep = np.arange(len(p)) - first < k
-    return pa.RecordBatch.from_arrays([pa.array(node[p[keep]]), pa.array(ids[r[keep]]), pa.array(score[keep])], ["node", "vec_id", "score"])
-
-
-def searched(asked: DataFrame, stored: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(node, vec_id, score): the best of each query in each cell that it visits, block by block."""
-    cell = ["dim", "cell", "level"]
-    sizes = stored.groupBy(*cell).agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).alias("c_blocks"))
-    loads = asked.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_blocks"))
-    grid = scratch.save(sizes.join(loads, cell), "grid")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keys, block = [*cell, "q", "c"], lambda key, n: F.pmod(F.xxhash64(key), n)
-    left = asked.join(grid, cell).withColumn("q", block("node", "q_blocks")).withColumn("c", up_to("c_blocks"))
-    right = stored.join(grid, cell).withColumn("c", block("vec_id", "c_blocks")).withColumn("q", up_to("q_blocks"))
-    none = lambda *names: [F.lit(None).cast(kind).alias(name) for name, kind in names]
-    left = left.select(*keys, "embedding", "node", "floor", *none(("vec_id", "long")), "code", "norm", "align")
-    right = right.select(*keys, "embedding", *none(("node", "long"), ("floor", "double")), "vec_id", "code", "norm", "align")
-    names = left.columns
+    for j in np.split(by_cell, cuts):
+        i = who[np.searchsorted(cell, number[j[0]]) : np.searchsorted(cell, number[j[0]], "right")]
+        if not len(i):
+            continue
+        value, reach = estimates(bits[j], norm[j], align[j], planes[i], low[i], width[i], size[i])
+        wanted, open_ = reach >= floor[i][:, None], floor[i] == -np.inf
+        best = 4 * int(wide[i].max())
+        if open_.any() and len(j) > best:  # no floor yet: the best by estimate go on
+            wanted[open_] = value[open_] >= -np.partition(-value[open_], best - 1, axis=1)[:, best - 1 : best]
+        a, b = np.nonzero(wanted)
+        for at in range(0, len(a), 1 << 16):
+            p, r = i[a[at : at + (1 << 16)]], j[b[at : at + (1 << 16)]]
+            about = np.einsum("ij,ij->i", fine[r], y[p]) * step[r]
+            error = (left[r] + 1e-12 * norm[r]) * size[p]
+            near = about + error >= floor[p]
+            out.append((p[near], r[near], (about - error)[near], (about + error)[near]))
+    p, r, least, most = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
+    order = np.lexsort((-least, p))
+    p, r, least, most = p[order], r[order], least[order], most[order]
+    rank = np.arange(len(p)) - np.searchsorted(p, p)
+    reached = rank == wide[p] - 1
+    floor[p[reached]] = np.maximum(floor[p[reached]], least[reached])
+    keep = (most >= floor[p]) & ((rank < wide[p]) | q["floor"].is_valid().to_numpy()[p])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node[p], rows[r], least, most)], ["node", "row", "least", "most"])
+
+
+def searched(asked: DataFrame, stored: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, row, least, most) of each query's visits, block by block: a block is a group of candidates and about QUERY_BLOCK queries."""
+    group = ["dim", "group"]
+    loads = scratch.save(asked.groupBy(*group).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks")), "loads")
+    keys = [*group, "q"]
+    left = asked.join(loads, group).withColumn("q", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(*keys, *ASKED)
+    right = stored.join(loads, group).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = left.unionByName(right.select(*keys, "row", "number", *CODES), allowMissingColumns=True)
 
     def results(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         query = pc.is_valid(table["node"])
-        return best_of_block(table.filter(query).combine_chunks(), table.filter(pc.invert(query)).combine_chunks(), k)
+        return within_bounds(table.filter(query).combine_chunks(), table.filter(pc.invert(query)).combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of the block at hand: at most about QUERY_BLOCK and CANDIDATE_BLOCK
@@ -275,13 +320,29 @@ def searched(asked: DataFrame, stored: DataFrame, k: int, scratch: Scratch) -> D
         if held:
             yield results(held)
 
-    both = left.unionByName(right).select(*names).repartition(*keys).sortWithinPartitions(*keys)
-    return both.mapInArrow(run, "node long, vec_id long, score double")
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, row long, least double, most double")
+
+
+def scored(pairs: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """(node, vec_id, score) of pairs (node, row), on the original vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                score = inner_products(matrix(part.column("embedding")), matrix(part.column("asked")))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("vec_id"), pa.array(score)], ["node", "vec_id", "score"])
+
+    pairs = pairs.join(candidates.select("row", "dim", "vec_id", "embedding"), "row").join(queries.select("node", F.col("embedding").alias("asked")), "node")
+    return pairs.select("node", "vec_id", "dim", "embedding", "asked").mapInArrow(run, "node long, vec_id long, score double")
 
 
-def _top(found: DataFrame, k: int, by: str) -> DataFrame:
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _floors(bounds: DataFrame) -> DataFrame:
+    """(node, reached): each query's ``wide``-th best lower bound, where it has so many."""
+    order = Window.partitionBy("node").orderBy(F.desc("least"))
+    ranked = bounds.select("node", "wide", "least").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") == F.col("wide")).select("node", F.col("least").alias("reached"))
 
 
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, miss: float = 0.002) -> DataFrame:
@@ -294,14 +355,13 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, miss: float = 0.002)
     candidates get fewer rows; an empty table gives none.  A repeated row (same id
     and vector) counts once.
     """
-    scratch = Scratch(vectors.sparkSession, "nearest")
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "nearest")
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("dim"))
     good = scratch.save(good.distinct(), "rows")
-    own = good.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    wide = k + own  # a query's own rows may be among the best
+    # A query leaves out one row at most of those with equal vectors: its own.
     few = Window.partitionBy("dim", "embedding").orderBy("vec_id")
-    candidates = good.withColumn("i", F.row_number().over(few)).where(F.col("i") <= wide).drop("i")
-    candidates = scratch.save(candidates, "candidates")
+    candidates = good.withColumn("i", F.row_number().over(few)).where(F.col("i") <= k + 1).drop("i")
+    candidates = scratch.save(candidates.withColumn("row", F.monotonically_increasing_id()), "candidates")
     sizes = {r["dim"]: r["n"] for r in candidates.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length
     sample: dict[int, list] = {}
     for r in candidates.where(part_of(F.xxhash64("vec_id", "embedding")) < share(sum(sizes.values()), SAMPLE)).select("dim", "embedding").toLocalIterator():
@@ -310,20 +370,29 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, miss: float = 0.002)
     stored = scratch.save(placed(candidates, books), "cells")
     rows: dict[int, list] = {}
     stats = stored.groupBy("dim", "cell", "level").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.avg("off").alias("off"))
-    for r in stats.collect():  # a row for each cell
+    for r in stats.orderBy("dim", "cell", "level").collect():  # a row for each cell
         rows.setdefault(r["dim"], []).append(r)
     cells = {d: Cells(v, books.get(d, np.zeros((1, d)))) for d, v in rows.items()}
+    where = [(d, *map(int, x.key[i]), i, int(x.group[i]), int(x.parts[i])) for d, x in cells.items() for i in range(len(x.n))]
+    where = spark.createDataFrame(where, "dim int, cell int, level int, number int, group int, parts long")
+    stored = stored.join(F.broadcast(where), ["dim", "cell", "level"])  # a row for each cell: MOST_CELLS for a length and level of norm
+    stored = stored.withColumn("group", F.col("group") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
 
     asked = good.where(is_query)
-    queries = asked.groupBy("dim", "embedding").agg(F.min("vec_id").alias("some")).withColumn("node", F.monotonically_increasing_id())
-    queries = scratch.save(queries.drop("some"), "queries")
+    # A query's own rows may be among the best: it looks for that many more.
+    own = good.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    queries = asked.join(own, "vec_id").groupBy("dim", "embedding").agg((F.max("own") + k).alias("wide")).withColumn("node", F.monotonically_increasing_id())
+    queries = scratch.save(queries, "queries")
+    width = queries.select("node", "wide")
     no_floor = queries.withColumn("floor", F.lit(None).cast("double"))
-    met = scratch.save(searched(scratch.save(visits(no_floor, cells, k, miss * k), "first"), stored, wide, scratch), "met")
-    floors = _top(met, wide, "node").where(F.col("rank") == wide).select("node", F.col("score").alias("floor"))
-    known = queries.join(floors, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = searched(scratch.save(visits(known, cells, k, miss * k), "visits"), stored, wide, scratch)
-    found = scratch.save(_top(found, wide, "node").select("node", "vec_id", "score"), "found")
-    scratch.drop(candidates, stored, met)
+    met = scratch.save(searched(scratch.save(visits(no_floor, cells, k, miss * k), "first"), stored, scratch).join(width, "node"), "met")
+    known = queries.join(_floors(met), "node", "left").withColumn("floor", F.coalesce("reached", F.lit(float("-inf")))).drop("reached")
+    bounds = searched(scratch.save(visits(known, cells, k, miss * k), "visits"), stored, scratch)
+    bounds = scratch.save(bounds.join(width, "node"), "bounds")
+    pairs = bounds.join(_floors(bounds), "node", "left").where("reached is null or most >= reached").select("node", "row")
+    found = scratch.save(scored(scratch.save(pairs, "pairs"), candidates, queries), "found")
+    scratch.drop(candidates, met, bounds)
     named = asked.select(F.col("vec_id").alias("query_id"), "dim", "embedding").join(queries, ["dim", "embedding"]).select("query_id", "node")
-    out = named.join(found, "node").where("vec_id <> query_id")
-    return _top(out, k, "query_id").select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = named.join(found, "node").where("vec_id <> query_id").withColumn("rank", F.row_number().over(best))
+    return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
