@@ -9,11 +9,15 @@ candidate is rejected from 64 bytes; the rest are confirmed on the full sets.
 
 Rows with equal shingle sets form one class, a numbered node; only one signature
 and one text of each goes on, however often its rows repeat.  Buckets aren't expanded into pairs: each member is first compared with
-its bucket's smallest member; components of the confirmed links are found; and
-only members of buckets that still hold several components are compared across
-those components, first each with its best-estimated partner in each other
-component, then with all that remain above the sketch threshold.  A pair inside
-one component can't change the result, so no link between components is lost.
+its bucket's smallest member, and components of the confirmed links are found.
+Members of buckets that still hold several components meet through an exact
+set-similarity join: their shingles are put in order from rare to frequent, only a
+short prefix of each set is joined, and positions and sizes bound how much two sets can
+have in common, so that members which can't reach the threshold don't meet, however many
+share a bucket.  A pair inside one component can't change the result and isn't formed.
+
+A pair is confirmed with one end as its centre: the centre's text stands once for a
+block of its partners.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, gram_hashes, hash_runs, mix, row_grams, signed, slices, text_bytes, words_of
@@ -33,7 +37,7 @@ from .scratch import Scratch
 
 #: Bits of the odd sketch of MinHash samples, and of that of the full set.
 SKETCH_BITS, SET_BITS = 512, 1024
-#: Members of a bucket that one group of the join takes at most, about.
+#: Partners that meet their centre in one block, about.
 BLOCK = 512
 
 
@@ -133,27 +137,83 @@ def differing_bits(a: str, b: str, size: int):
     return total
 
 
+def centred(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, block, b, text): each pair as its partner b with b's text, and for each block of a centre's partners one row with b null and a's text."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    centres = sizes.join(texts, F.col("a") == F.col("node")).select("a", every, F.lit(None).cast("long").alias("b"), "text")
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")
+    partners = pairs.join(sizes, "a").join(texts, F.col("b") == F.col("node")).select("a", block, "b", "text")
+    return centres.union(partners)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    """The distinct pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray | None] = (None, None)
+        centre = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in slices(batch, "text_b", 1 << 19):
-                right = shingle_sets(*text_bytes(part.column("text_b")), k)
-                a_ids, a_text = part.column("a").to_pylist(), part.column("text_a")
+            for part in slices(batch, "text", 1 << 19):
                 keep = []
-                for i, set_b in enumerate(right):
-                    if held[0] != a_ids[i]:
-                        held = a_ids[i], shingle_sets(*text_bytes(a_text.slice(i, 1)), k)[0]
-                    both = len(np.intersect1d(held[1], set_b, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(held[1]) + len(set_b) - both))
+                for b, own in zip(part.column("b").to_pylist(), shingle_sets(*text_bytes(part.column("text")), k)):
+                    if b is None:  # the first of its block
+                        centre = own
+                        keep.append(False)
+                        continue
+                    both = len(np.intersect1d(centre, own, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= percent * (len(centre) + len(own) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    # Candidates are of like size, so the text of ``a`` adds at most a quarter more than that of ``b``.
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    block = centred(pairs, texts).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    return block.mapInArrow(run, "a long, b long")
+
+
+def set_tokens(members: DataFrame, k: int) -> DataFrame:
+    """(node, component, n, h): each shingle of each member's text (node, component, text), n in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 18):
+                sets = shingle_sets(*text_bytes(part.column("text")), k)
+                sizes = np.array([len(s) for s in sets])
+                row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                columns = [part.column("node").take(row), part.column("component").take(row), pa.array(np.repeat(sizes, sizes)), pa.array(signed(np.concatenate(sets)))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "component", "n", "h"])
+
+    return members.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, h long")
+
+
+def within_reach(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes in different components that may reach the threshold, by prefixes, positions and sizes.
+
+    ``tokens``: a written table as :func:`set_tokens` makes it.  Shingles that a single
+    component has come first in the order, and the rest from rare to frequent.  The first
+    shingle that two sets share lies in a prefix of each: of the larger as long as a set of
+    the least possible size allows, of the smaller only as long as one of its own size does.
+    A shingle's postings in its main component meet only those outside it.
+    """
+    spread = tokens.groupBy("h", "component").agg(F.count("*").alias("held"))
+    main = F.max(F.struct("held", "component"))["component"].alias("main")
+    spread = spread.groupBy("h").agg(F.sum("held").alias("held"), main, F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    useful = tokens.join(spread, "h")
+    node = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("held", "h"))
+    useful = useful.withColumn("i", place)
+    as_index = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
+    as_probe = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    in_main = F.col("component") == F.col("main")
+    side = F.when(in_main, F.lit(1)).otherwise(F.lit(0)).alias("side")
+    sides = F.explode(F.when(in_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")
+    index = useful.where(F.col("i") <= as_index).select("h", side, F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.col("i").alias("i_x"))
+    probe = useful.where(F.col("i") <= as_probe).select("h", sides, F.col("node").alias("y"), F.col("component").alias("c_y"), F.col("n").alias("n_y"), F.col("i").alias("i_y"))
+    needed = percent * (F.col("n_x") + F.col("n_y"))
+    at_most = lambda before: before + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    met = index.join(probe, ["h", "side"]).where("c_x <> c_y and (n_x < n_y or n_x = n_y and x < y)").where(100 * F.col("n_x") >= percent * F.col("n_y"))
+    met = met.where((100 + percent) * at_most(F.least("i_x", "i_y")) >= needed)
+    # All that a pair shares up to the last shared shingle of its prefixes has been met.
+    met = met.groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("shared"), F.max("i_x").alias("i_x"), F.max("i_y").alias("i_y"))
+    met = met.where((100 + percent) * at_most(F.col("shared")) >= needed)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, slack: float = 0.2) -> DataFrame:
@@ -202,15 +262,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     by_samples = differing_bits("s_a", "s_b", SKETCH_BITS) <= limit
     by_sets = differing_bits("p_a", "p_b", SET_BITS) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
 
-    def side(rows_: DataFrame, x: str, *more: str) -> DataFrame:
+    def side(x: str) -> DataFrame:
         """Columns of one end of a pair, named for it."""
-        short = {"component": "c", "main": "m", "n_shingles": "n", "sketch": "s", "parity": "p"}
-        renamed = (F.col(c).alias(f"{short[c]}_{x}") for c in (*more, "n_shingles", "sketch", "parity"))
-        return rows_.select(*(c for c in ("key", "block") if more), F.col("id").alias(x), *renamed)
+        return sketches.select(F.col("id").alias(x), *(F.col(c).alias(f"{c[0]}_{x}") for c in ("n_shingles", "sketch", "parity")))
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that may reach the threshold, by set sizes and sketches."""
-        return pairs.join(side(sketches, "b"), "b").join(side(sketches, "a"), "a").where(by_size & by_samples & by_sets).select("a", "b")
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(by_size & by_samples & by_sets).select("a", "b")
 
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     tried = scratch.save(plausible(stars), "stars")
@@ -220,35 +278,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = scratch.save(confirm(tried, texts, k, percent), "links")
     labels = components(links, scratch)
 
-    for last in (False, True):
-        labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
-        by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = F.max(F.struct("n", "component"))["component"].alias("main")
-        mixed = by_component.groupBy("key").agg(main, F.count("*").alias("parts"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-        mixed = mixed.where("parts > 1").select("key", "main", "blocks")
-        open_ = scratch.save(labelled.join(mixed, "key").join(sketches, "id"), "open")
-        if open_.isEmpty():
-            break
-        # Of two members in different components, one at least is outside the bucket's main component.
-        # A large bucket is cut into blocks; its members outside the main component meet each of them.
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        left = side(open_.where("component <> main").withColumn("block", every), "a", "component", "main")
-        right = side(open_.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "b", "component", "main")
-        across = left.join(right, ["key", "block"]).where("c_a <> c_b and (c_b = m_b or a < b)").where(by_size & by_samples & by_sets)
-        if last:
-            pairs = across.select("a", "b")
-        else:
-            best = F.min(F.struct(differing_bits("p_a", "p_b", SET_BITS).alias("d"), F.col("b"))).alias("best")
-            pairs = across.groupBy("a", "c_b").agg(best).select("a", F.col("best.b").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = scratch.save(confirm(pairs, texts, k, percent), "links")
+    labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    labelled = labelled.select("key", F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ = scratch.save(labelled.join(mixed, "key").select("node", "component").distinct(), "open")
+    if not open_.isEmpty():
+        tokens = scratch.save(set_tokens(open_.join(texts, "node"), k), "tokens")
+        pairs = plausible(within_reach(tokens, percent)).join(tried, ["a", "b"], "left_anti")
+        found = scratch.save(confirm(scratch.save(pairs, "pairs"), texts, k, percent), "links")
+        scratch.drop(tokens)
         if not found.isEmpty():
-            links = scratch.save(links.union(found), "links")
-            labels = components(links, scratch)
-        tried = tried.union(pairs)
-        scratch.drop(open_)
+            labels = components(scratch.save(links.union(found), "links"), scratch)
 
     low = sets.select(F.col("node").alias("component"), F.col("rep").alias("low"))
     lows = scratch.save(labels.join(low, "component").select("node", "low"), "lows")

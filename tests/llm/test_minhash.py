@@ -1,9 +1,11 @@
 import random
+import string
 
+import pytest
 from helpers import BASE, documents, empty, odd_rows
 
 from tallyloom.llm.components import components
-from tallyloom.llm.minhash import drop_near_duplicates, near_duplicates
+from tallyloom.llm.minhash import centred, drop_near_duplicates, near_duplicates, within_reach
 from tallyloom.llm.scratch import Scratch
 
 
@@ -108,3 +110,54 @@ def test_one_row_of_each_group_stays(spark):
     assert out.columns == docs.columns
     want = [(1, BASE), (2, other), (3, "q r s t u v"), (4, None), (None, BASE), (None, BASE)]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def templated(n, shared, own, seed):
+    """Texts of ``shared`` common words with ``own`` words of their own in the middle: no two are near copies at these numbers."""
+    rng = random.Random(seed)
+    head, tail = ([rng.choice(string.ascii_letters) + str(rng.random()) for _ in range(shared // 2)] for _ in range(2))
+    return [(i, " ".join([*head, *(f"own{i}x{j}" for j in range(own)), *tail]), "en", "s", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "shared", "own"), [(100, 400, 52), (400, 400, 52), (80, 5000, 1250)])
+def test_templated_texts_that_do_not_link_are_not_all_confirmed(spark, monkeypatch, n, shared, own):
+    confirmed, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        confirmed[name] = out.count() if name in ("stars", "pairs") else 0
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = near_duplicates(documents(spark, templated(n, shared, own, n)), k=4).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == n
+    assert confirmed["stars"] <= 8 * n and confirmed.get("pairs", 0) <= n, confirmed
+
+
+def test_prefixes_keep_every_pair_that_reaches_the_threshold(spark):
+    rng = random.Random(8)
+    sets, n = {}, 0
+    for size in (1, 2, 5, 20, 60, 61, 90):
+        for _ in range(6):
+            base = rng.sample(range(400), size)
+            for _ in range(5):
+                sets[n] = {x if rng.random() > rng.choice([0.0, 0.05, 0.1, 0.3]) else rng.randrange(400, 3000) for x in base} | set(rng.sample(range(5), rng.randint(0, 2)))
+                n += 1
+    part = {i: rng.randrange(60) for i in sets}
+    tokens = [(i, part[i], len(s), h) for i, s in sets.items() for h in s]
+    for percent in (80, 60):
+        got = {tuple(r) for r in within_reach(spark.createDataFrame(tokens, "node long, component long, n long, h long"), percent).collect()}
+        far = [(a, b) for a in sets for b in sets if a < b and part[a] != part[b]]
+        want = {(a, b) for a, b in far if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert len(want) > 100 and want <= got and len(got) < len(far) / 10
+
+
+def test_a_centre_stands_once_for_a_block_of_partners(spark, monkeypatch):
+    monkeypatch.setattr("tallyloom.llm.minhash.BLOCK", 16)
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "node long, text string")
+    pairs = spark.createDataFrame([(7, i) for i in range(8, 88)] + [(1, 2)], "a long, b long")
+    rows = centred(pairs, texts).collect()
+    partners = [r for r in rows if r.b is not None]
+    assert sorted((r.a, r.b) for r in partners) == sorted(map(tuple, pairs.collect())) and all(r.text == f"text {r.b}" for r in partners)
+    centres = sorted((r.a, r.block) for r in rows if r.b is None)
+    assert centres == [(1, 0)] + [(7, i) for i in range(5)] and {(r.a, r.block) for r in partners} <= set(centres)
