@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, slices, text_bytes
 from .bpe import LETTER, classes
 from .columns import set_aside
-from .samples import PARTS, part_of
+from .samples import reservoir
 from .scratch import Scratch
 
 BITS = 14
@@ -162,23 +162,21 @@ def _weights(counts: DataFrame, code: np.ndarray, scratch: Scratch) -> np.ndarra
 
 
 def fit_languages(docs: DataFrame, per_language: int = 3000) -> LanguageModel:
-    """From texts with a non-null lang: about ``per_language`` rows of each, chosen by a hash of the row.
+    """From texts with a non-null lang: at most ``per_language`` distinct rows of each, chosen by a hash of the row.
 
     Every value of lang is learned; the driver holds a name and a codeword for each.
-    Null texts count for nothing; repeated rows count each; other columns are
+    Null texts count for nothing; repeated rows count once; other columns are
     ignored.  Without any language the model knows none.
     """
     scratch = Scratch(docs.sparkSession, "languages")
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    sample = scratch.save(reservoir(labelled, "lang", ["lang", "doc_id", "text"], per_language, scratch), "sample")
+    languages = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]
     code = codewords(len(languages), code_bits(len(languages)))
     if not languages:
         return LanguageModel([], code, np.zeros((len(ORDERS), 1, FEATURES), np.float32))
-    rows = [(lang, i, min(PARTS, max(1, math.ceil(PARTS * per_language / sizes[lang])))) for i, lang in enumerate(languages)]
-    wanted = docs.sparkSession.createDataFrame(rows, "lang string, l int, share int")
-    sample = labelled.join(F.broadcast(wanted), "lang")  # the driver's own list of languages
-    sample = sample.where(part_of(F.xxhash64("doc_id", "text")) < F.col("share")).select("l", "text")
+    numbered = docs.sparkSession.createDataFrame(list(zip(languages, range(len(languages)))), "lang string, l int")
+    sample = sample.join(F.broadcast(numbered), "lang").select("l", "text")  # the driver's own list of languages
     counts = scratch.save(_gram_counts(sample), "grams")
     weights = _weights(counts, code, scratch)
     return LanguageModel(languages, code, weights)
@@ -188,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and ambiguous.
 
     A text that is null or has no letter, and any text under a model without
-    languages, is ``und`` with score 0.  ``docs`` needs a text; a column with the
+    languages, is ``und`` with score 0; of codewords equally near the first language's wins.  ``docs`` needs a text; a column with the
     name of a new one gives way to it.  Repeated rows get a row each; an empty table
     gives none.
     """

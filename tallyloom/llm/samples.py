@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Parts into which a hash of the id is cut.
 PARTS = 1 << 20
 
@@ -28,3 +30,25 @@ def part_of(key: Column) -> Column:
 def share(rows: int, most: int) -> int:
     """How many of PARTS to take for ``most`` of ``rows``."""
     return PARTS if rows <= most else int(PARTS * most / rows)
+
+
+def reservoir(rows: DataFrame, key: str, columns: list[str], most: int, scratch: Scratch) -> DataFrame:
+    """At most ``most`` distinct rows of each value of ``key`` (one of ``columns``), those with the smallest hashes.
+
+    A row that repeats counts once, so no repeats can fill the sample or keep others
+    out, and a key with at most ``most`` distinct rows keeps them all.  Two passes: an
+    estimate of each key's distinct rows says which hashes can be among the smallest;
+    the rows with those, few more than ``most`` for a key, are written once, repeats gone,
+    and the ``most``-th smallest hash cuts them off.  No more than that is ever sorted or
+    held, and the result doesn't depend on partitions.
+    """
+    place = F.pmod(F.xxhash64(F.xxhash64(*columns)), F.lit(1 << 62)).alias("__at")
+    own = rows.select(*columns, place)
+    spread = own.groupBy(key).agg(F.approx_count_distinct("__at", 0.02).alias("__distinct"))
+    reach = F.lit(float(1 << 62)) * F.least(F.lit(1.0), 1.25 * most / F.col("__distinct"))
+    few = own.join(spread, key).where(F.col("__at") <= reach).select(*columns, "__at")
+    few = scratch.save(few.dropDuplicates([*columns, "__at"]), "few")
+    order = Window.partitionBy(key).orderBy("__at")
+    ranked = few.select(key, "__at").distinct().withColumn("__rank", F.row_number().over(order))
+    cut = ranked.where(F.col("__rank") <= most).groupBy(key).agg(F.max("__at").alias("__cut"))
+    return few.join(cut, key).where(F.col("__at") <= F.col("__cut")).select(*columns)

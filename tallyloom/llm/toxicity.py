@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, IntTable, hash_runs, runs, signed, slices, text_bytes
 from .columns import set_aside
-from .samples import bounded_sample, part_of
+from .samples import bounded_sample, part_of, reservoir
 from .scratch import Scratch
 
 LETTERS = np.zeros(256, bool)
@@ -249,16 +249,18 @@ def calibrated(surprise: np.ndarray, toxic: np.ndarray) -> tuple[float, float] |
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
-    """A model from documents labelled toxic 0 or 1: a bounded sample of ``most`` labels, a fifth of it for calibration.
+    """A model from documents labelled toxic 0 or 1: at most ``most`` of them, a fifth for calibration.
 
-    Repeated labels count once, the larger one; null labels and ids are left out;
-    repeated documents count each.  Without labels nothing is toxic; with labels of
+    Repeated labels count once, the larger one; null labels and ids are left out; a
+    repeated document counts once, and documents that share a labelled id are bounded
+    like any others.  Without labels nothing is toxic; with labels of
     one class the curve keeps its defaults.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = bounded_sample(labels, "doc_id", "toxic", most)
     held = F.pmod(F.floor(part_of(F.col("doc_id")) / 7), F.lit(5)) == 0
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about ``most`` rows
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about ``most`` ids, and any number of rows
+    texts = reservoir(labelled.withColumn("all", F.lit(0)), "all", ["all", "doc_id", "text", "toxic"], most, scratch)
     texts = scratch.save(texts.select("text", F.col("toxic").cast("long").alias("toxic"), held.alias("held")), "labelled")
     model = _train_counts(texts.where("not held").select("text", "toxic"))
     seen = toxic_passages(texts.where("held").select("text", "toxic"), model, passages=False)

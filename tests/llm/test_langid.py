@@ -9,6 +9,8 @@ from helpers import documents, empty, odd_rows
 
 from tallyloom.llm import langid, queries
 from tallyloom.llm.arrays import text_bytes
+from tallyloom.llm.samples import reservoir
+from tallyloom.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +91,22 @@ def test_every_language_is_learned(spark):
 def test_codewords_are_apart(languages):
     code = langid.codewords(languages, 15)
     assert len({tuple(c) for c in code}) == languages and all(abs(c.sum()) < languages for c in code.T)
+
+
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    same = spark.range(20_000).selectExpr("1L as doc_id", "'zwölf größere Vögel über den Dächern' as text", "'de' as lang")
+    other = spark.range(200).selectExpr("id as doc_id", "concat('twelve of the bigger birds over the roofs ', id) as text", "'en' as lang")
+    model = langid.fit_languages(same.union(other), per_language=50)
+    asked = spark.createDataFrame([(1, "größere Vögel über"), (2, "the bigger birds over")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, model).collect()} == {1: "de", 2: "en"}
+
+
+def test_reservoir_is_bounded_exact_and_the_same_in_any_partitions(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2900, 'a', 'b') as k", "if(id < 1000, 0, id) as v")
+    got = []
+    for parts in (1, 7):
+        taken = [tuple(r) for r in reservoir(rows.repartition(parts), "k", ["k", "v"], 150, Scratch(spark, "t")).collect()]
+        assert len(taken) == len(set(taken)) == 250 and sum(k == "b" for k, _ in taken) == 100
+        got.append(set(taken))
+    assert got[0] == got[1]
+    assert reservoir(rows.where("false"), "k", ["k", "v"], 5, Scratch(spark, "t")).count() == 0

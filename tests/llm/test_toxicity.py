@@ -10,6 +10,8 @@ from helpers import documents, empty, labels, odd_rows
 
 from tallyloom.llm import queries, toxicity
 from tallyloom.llm.arrays import hash_runs, signed
+from tallyloom.llm.scratch import Scratch
+from tallyloom.llm.toxicity import fit_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -158,3 +160,22 @@ def test_odd_rows(spark):
         assert len(set(out.columns)) == len(out.columns) == len(docs.columns) + 2
         assert out.where("score between 0 and 1").count() == docs.count()
     assert toxicity.toxic_passages(empty(spark), toxicity.fit_toxicity(empty(spark), labels(spark))).count() == 0
+
+
+def test_one_labelled_id_on_many_documents_stays_within_the_sample(spark, monkeypatch):
+    written, save = {}, Scratch.save
+
+    def counted(self, df, name, **more):
+        written[name] = (out := save(self, df, name, **more)).count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    many = spark.range(20_000).selectExpr("7L as doc_id", "concat('some words ', id) as text")
+    same = spark.range(20_000).selectExpr("8L as doc_id", "'always the same text' as text")
+    others = spark.range(100, 160).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'vile slur ', 'kind note '), id) as text")
+    marks = [(7, 1, 0), (8, 1, 0), *((i, 1, 1 - i % 2) for i in range(100, 160))]
+    fit_toxicity(many.union(same).union(others), labels(spark, marks), most=100)
+    assert 0 < written["labelled"] <= 100
+    # Repeats alone don't fill it: with the 20,000 equal rows every other document is used.
+    fit_toxicity(same.union(others), labels(spark, marks), most=100)
+    assert written["labelled"] == 61
