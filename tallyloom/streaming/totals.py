@@ -11,6 +11,7 @@ def windowed_totals(events: DataFrame, ts: str, group: str, value: str, window:
 
     On a stream, rows later than ``late`` are dropped and a window is emitted
     once the watermark has passed it; state is one row per open window and group.
+    Rows without a time are in no window and drop out.
     """
     timed = events.withColumn("__ts", F.col(ts).cast("timestamp"))
     if events.isStreaming:

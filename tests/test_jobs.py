@@ -60,11 +60,30 @@ def test_percentiles_are_exact(spark):
     """Ties, nulls, a null group, one row, and more values than a stretch, against the built-in exact form."""
     rows = [("a", float(i % 700) if i % 7 else 3.0) for i in range(3000)] + [("b", 5.0)] + [(None, float(i)) for i in range(50)] + [("c", None), ("a", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(3)
-    at = [0.0, 0.1, 0.5, 0.9, 1.0]
-    want = df.where("v is not null").groupBy("g").agg(*(F.percentile("v", p).alias(f"p{round(100 * p)}") for p in at)).collect()
-    got = periods.percentiles(df, "g", "v", at, pieces=20).collect()
-    close = lambda rows: sorted((repr(r.g), *(round(r[f"p{round(100 * p)}"], 6) for p in at)) for r in rows)
-    assert close(got) == close(want) and len(got) == 3
+    at, names = [0.0, 0.1, 0.333, 0.5, 0.99, 0.995, 1.0], ["p0", "p10", "p33_3", "p50", "p99", "p99_5", "p100"]
+    want = df.where("v is not null").groupBy("g").agg(*(F.percentile("v", p).alias(n) for p, n in zip(at, names))).collect()
+    close = lambda rows: sorted((repr(r.g), *(round(r[n], 6) for n in names)) for r in rows)
+    for exact_up_to in (100_000, 0):  # all groups in the built-in form; those with over ``accuracy`` rows by their sketch
+        out = periods.percentiles(df, "g", "v", at, exact_up_to, accuracy=40)
+        assert out.columns == ["g", *names]
+        got = out.collect()
+        assert close(got) == close(want) and len(got) == 3
+    with pytest.raises(ValueError):
+        periods.percentiles(df, "g", "v", [0.5, 0.5])
+
+
+def test_null_groups_meet_their_own_months(spark):
+    d = dt.date
+    totals = spark.createDataFrame([(None, d(2020, 1, 1), 10.0), (None, d(2020, 2, 1), 30.0), ("a", d(2020, 2, 1), 1.0), (None, None, 7.0)], "g string, month date, total double")
+    got = {(r.g, r.month and r.month.month): r.before for r in periods.change(totals, "g", 1).collect()}
+    assert got == {(None, 1): None, (None, 2): 10.0, ("a", 2): None, (None, None): None}
+
+
+@pytest.mark.parametrize("name", ["month", "before", "__i"])
+def test_names_of_results_are_refused(spark, name):
+    totals = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0)], "g string, month date, total double")
+    with pytest.raises(ValueError):
+        periods.change(totals.withColumnRenamed("total", "v").withColumn(name, F.lit(1)), name, 1, "v")
 
 
 def test_empty_input(spark):
