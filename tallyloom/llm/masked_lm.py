@@ -9,7 +9,7 @@ its share of the output's count, from word counts over all documents that are ke
 and joined in Spark.  The output is a softmax of two levels, class and member.
 
 Training is synchronous: a hash of doc_id and text deals all documents into
-``steps`` mini-batches; for each, tasks sum the gradient over their documents, the
+mini-batches (more of them for more tokens, up to a bound); for each, tasks sum the gradient over their documents, the
 sums meet in a tree, and one Adam step follows.  All positions train once, and the
 weights don't depend on how the documents lie in partitions (but for rounding).
 """
@@ -45,6 +45,8 @@ SHAPES = {
 SIZE = sum(math.prod(s) for s in SHAPES.values())
 #: Words whose counts every task holds (the rest are joined), tokens in one go, tokens for a task of a step, sums that meet at once.
 KNOWN, BATCH, TASK_TOKENS, FAN = 1 << 17, 8192, 100_000, 32
+#: Steps for up to STEP_TOKENS tokens, steps at most, and tasks of a step at most (of them two for each core).
+STEPS, STEP_TOKENS, MOST_STEPS, MOST_TASKS = 32, 5_000_000, 64, 1024
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -104,19 +106,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From a written table of word counts.  Words come in levels by the logarithm of their count; whole
-    levels, the highest first, are known to every task while they hold at most KNOWN words together."""
+    """From a written table of word counts.  Words come in levels by the logarithm of their count; the highest
+    are known to every task while they hold at most KNOWN words together, and of the next level the share by hash that fits."""
     level = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"])  # under 512 rows
-    total, lowest = 0, 1 << 30
+    total, lowest, rest = 0, 1 << 30, F.lit(False)
     for r in sizes:
-        total += r["k"]
-        if total > KNOWN:
+        if total + r["k"] > KNOWN:
+            rest = (level == r["level"]) & (F.pmod(F.xxhash64("w"), F.lit(1 << 30)) < int((1 << 30) * (KNOWN - total) / r["k"]))
             break
-        lowest = r["level"]
-    top = counts.where(level >= lowest).select("w", "rare", "n").toArrow()  # at most KNOWN rows
+        total, lowest = total + r["k"], r["level"]
+    top = counts.where((level >= lowest) | rest).select("w", "rare", "n").toArrow()  # about KNOWN rows
     words, n = top["w"].to_numpy(), top["n"].to_numpy()
-    order = np.lexsort((words, -n))
+    order = np.lexsort((words, -n))[:KNOWN]
     totals = np.zeros(RARE)
     for r in counts.groupBy("rare").agg(F.sum("n").alias("n")).collect():  # RARE rows
         totals[r["rare"]] = r["n"]
@@ -315,10 +317,21 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "n long, g binary")
 
 
-def train(docs: DataFrame, known: Vocabulary, scratch: Scratch, steps: int, rate: float) -> np.ndarray:
+def steps_for(tokens_: int) -> int:
+    """Mini-batches for so many tokens: they grow with the root, up to a bound."""
+    return max(STEPS, min(MOST_STEPS, round(STEPS * math.sqrt(tokens_ / STEP_TOKENS))))
+
+
+def tasks_for(tokens_: int, steps: int, cores: int) -> int:
+    """Tasks of one step; each streams its documents, so a task may have any number of tokens."""
+    return max(1, min(math.ceil(tokens_ / (steps * TASK_TOKENS)), 2 * cores, MOST_TASKS))
+
+
+def train(docs: DataFrame, known: Vocabulary, scratch: Scratch, steps: int | None, rate: float) -> np.ndarray:
     """One Adam step for each of ``steps`` mini-batches of (doc_id, text); each reads its own part of a written table."""
     total = int(known.output_counts().sum())
-    slots = max(1, math.ceil(total / (steps * TASK_TOKENS)))
+    steps = steps or steps_for(total)
+    slots = tasks_for(total, steps, docs.sparkSession.sparkContext.defaultParallelism)
     dealt = token_batches(docs, known, steps, slots).repartition(steps * slots, "step", "slot")
     dealt = scratch.save(dealt, "tokens", partition_by="step")
     flat, adam = start_weights(known.output_counts()), Adam(rate)
@@ -334,7 +347,7 @@ def train(docs: DataFrame, known: Vocabulary, scratch: Scratch, steps: int, rate
     return flat
 
 
-def score_documents(docs: DataFrame, steps: int = 32, rate: float = 0.06) -> DataFrame:
+def score_documents(docs: DataFrame, steps: int | None = None, rate: float = 0.06) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of (doc_id, text).
 
     log_likelihood sums the natural log-probabilities of all words (lower case)

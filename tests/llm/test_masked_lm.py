@@ -136,3 +136,18 @@ def test_odd_rows(spark):
     assert all(rows[i].n_tokens == 0 and rows[i].log_likelihood == 0 and rows[i].mean_log_likelihood is None for i in (0, 1, 2))
     assert rows[7].n_tokens == 60_000 and rows[7].log_likelihood < 0
     assert masked_lm.score_documents(empty(spark), steps=2).count() == 0
+
+
+def test_a_vocabulary_of_one_level_is_cut_inside_it(spark):
+    counts = spark.range(140_000).selectExpr("xxhash64(id) as w", "cast(id % 64 as int) as rare", "1L as n")
+    known = masked_lm.vocabulary(Scratch(spark, "t").save(counts, "counts"))
+    assert 0.95 * masked_lm.KNOWN < len(known.words) <= masked_lm.KNOWN
+    assert known.output_counts().sum() == 140_000
+
+
+def test_tasks_are_bounded_and_steps_grow():
+    for tokens in (0, 10**6, 10**9, 10**14):
+        steps = masked_lm.steps_for(tokens)
+        assert 32 <= steps <= 64 and 1 <= masked_lm.tasks_for(tokens, steps, 8) <= 16
+        assert masked_lm.tasks_for(tokens, steps, 100_000) <= 1024
+    assert masked_lm.steps_for(10**9) > masked_lm.steps_for(10**6)
