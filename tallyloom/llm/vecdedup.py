@@ -7,9 +7,15 @@ both halves' sorted lists are walked together).  How far to go is fitted: pairs
 from sampled vectors at exactly the threshold cosine tell how deep the partner's
 cell lies, and traversal ends where the share ``target`` of them is reached; closer
 pairs lie less deep.  Of two vectors in different cells, the one in the cell with
-the smaller number looks for the other, so a pair meets once.  Pairs met in a
-visited cell are verified in double precision, block by block; a block returns
-counts and a spanning forest of its links, never pairs.
+the smaller number looks for the other, so a pair meets once.
+
+Cells lie in tiles of the grid, by blocks of codes that are near each other, and a
+vector travels once to each tile that it visits, with the list of its cells there, as
+a code of two bytes a component and the norm of what the code leaves out.  The codes
+tell the cosine within a certain bound, which decides nearly every pair met in a
+visited cell; a block returns counts and a spanning forest of these links, never pairs.
+Only pairs within the bound of the threshold fetch their vectors, and are verified in
+double precision.
 
 Equal vectors of a label are one class, a numbered node; a repeated row (same id,
 label and vector) counts once.
@@ -34,6 +40,8 @@ from .vectors import matrix, usable
 
 #: Vectors in one block of a comparison, vectors that codebooks are fitted on, pairs that the depth is fitted on.
 BLOCK, SAMPLE, PAIRS = 2000, 10_000, 10_000
+#: Vectors of the largest label in a tile, about.
+TILE = 2000
 #: Codes of a half for n vectors: GROWTH times the fourth root of n, so cells grow as the root; at most MOST_CODES.
 GROWTH, MOST_CODES = 2.5, 1024
 
@@ -61,6 +69,18 @@ def gaps(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, d - d[np.arange(len(x)), own][:, None]
 
 
+def in_line(centres: np.ndarray) -> np.ndarray:
+    """Centroids in order along the direction in which they spread most, so near numbers are near centroids."""
+    apart = centres - centres.mean(0)
+    return centres[np.argsort(apart @ np.linalg.svd(apart, full_matrices=False)[2][0], kind="stable")]
+
+
+def even_parts(counts: np.ndarray, n: int) -> np.ndarray:
+    """The part, 0 to n - 1, of each of a row of codes, in which parts hold about the same number."""
+    middle = np.cumsum(counts) - counts / 2
+    return np.minimum((middle * n / max(counts.sum(), 1)).astype(np.int64), n - 1)
+
+
 def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
     """Pairs (i, j) by increasing a[i] + b[j], as long as the sum is at most ``limit``."""
     order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
@@ -83,12 +103,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """Codebooks of the two halves of vectors of one length, and how deep to search."""
+    """Codebooks of the two halves of vectors of one length, how deep to search, and the tiles of the grid.
 
-    def __init__(self, x: np.ndarray, k: int, threshold: float, target: float):
+    ``members``: vectors of the largest label, by which the number of tiles goes.
+    """
+
+    def __init__(self, x: np.ndarray, k: int, threshold: float, target: float, members: int = 0):
         self.half = x.shape[1] // 2
-        self.first, self.second = fit_codebook(x[:, : self.half], k), fit_codebook(x[:, self.half :], k)
+        self.first, self.second = in_line(fit_codebook(x[:, : self.half], k)), in_line(fit_codebook(x[:, self.half :], k))
         self.limit = self._depth(x, threshold, target)
+        tiles = math.ceil(members / TILE)
+        rows = max(1, math.isqrt(tiles))
+        columns = max(1, -(-tiles // rows))
+        parts = (x[:, : self.half], self.first, rows), (x[:, self.half :], self.second, columns)
+        row, column = (even_parts(np.bincount(gaps(half, book)[0], minlength=len(book)), n) for half, book, n in parts)
+        #: The tile of each cell.
+        self.tile = (row[:, None] * columns + column[None, :]).ravel()
 
     def _depth(self, x: np.ndarray, threshold: float, target: float) -> float:
         """The ``target`` quantile of the partner's depth over pairs at the threshold; half the partners lie in
@@ -123,6 +153,14 @@ class Grid:
         return own, visits
 
 
+def short_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors in two bytes a component, the step of each, and the norm of what is left."""
+    step = np.abs(x).max(1) / 32767
+    code = np.rint(x / step[:, None]).astype(np.int16)
+    left = x - code * step[:, None]
+    return code, step, np.sqrt((left * left).sum(1))
+
+
 def fit_grids(classes: DataFrame, threshold: float, target: float) -> dict[int, Grid]:
     """A grid for each length of vector in a sample of about SAMPLE classes; lengths it lacks, and 1, are one cell."""
     n = classes.count()
@@ -131,28 +169,39 @@ def fit_grids(classes: DataFrame, threshold: float, target: float) -> dict[int,
     for r in rows:
         by_dim.setdefault(r["dim"], []).append(r["embedding"])
     k = max(1, min(MOST_CODES, math.ceil(GROWTH * n**0.25)))
-    return {d: Grid(_unit(np.array(v, np.float64)), k, threshold, target) for d, v in by_dim.items() if d > 1}
+    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return {d: Grid(_unit(np.array(v, np.float64)), k, threshold, target, largest) for d, v in by_dim.items() if d > 1}
 
 
 def placed_vectors(classes: DataFrame, grids: dict[int, Grid]) -> DataFrame:
-    """(label, dim, node, n, embedding, cell, visits)."""
+    """(label, dim, node, n, code, step, left, cell, tile, visits): visits lists the cells to visit by tile."""
     shared = classes.sparkSession.sparkContext.broadcast(grids)  # at most 2 * MOST_CODES half vectors for each length
-    names = ["label", "dim", "node", "n", "embedding"]
+    names = ["label", "dim", "node", "n"]
+    kind = pa.list_(pa.struct([("tile", pa.int32()), ("cells", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                own, visits = np.zeros(part.num_rows, np.int64), [[0]] * part.num_rows
+                x = _unit(matrix(part.column("embedding")))
+                own, visits, tile = np.zeros(len(x), np.int64), [[0]] * len(x), np.zeros(1, np.int64)
                 if dim in shared.value:
-                    own, visits = shared.value[dim].cells(_unit(matrix(part.column("embedding"))))
-                columns = [*(part.column(c) for c in names), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "cell", "visits"])
-
-    schema = "label string, dim int, node long, n long, embedding array<float>, cell int, visits array<int>"
-    schema = schema.replace("array<float>", classes.schema["embedding"].dataType.simpleString())
-    return classes.select(*names).mapInArrow(run, schema)
+                    own, visits = shared.value[dim].cells(x)
+                    tile = shared.value[dim].tile
+                by_tile: list[list[dict]] = []
+                for found in visits:
+                    of: dict[int, list[int]] = {}
+                    for cell, t in zip(found, tile[found].tolist()):
+                        of.setdefault(t, []).append(cell)
+                    by_tile.append([{"tile": t, "cells": cells} for t, cells in of.items()])
+                code, step, left = short_codes(x)
+                columns = [*(part.column(c) for c in names), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(step), pa.array(left)]
+                columns += [pa.array(own, pa.int32()), pa.array(tile[own], pa.int32()), pa.array(by_tile, kind)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "code", "step", "left", "cell", "tile", "visits"])
+
+    schema = "label string, dim int, node long, n long, code binary, step double, left double, cell int, tile int, visits array<struct<tile:int,cells:array<int>>>"
+    return classes.select(*names, "embedding").mapInArrow(run, schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -166,40 +215,78 @@ def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
         np.minimum.at(label, b, low)
 
 
-def compare(q: pa.Table, m: pa.Table, threshold: float) -> list[np.ndarray]:
-    """Links between visitors (node, n, embedding, home) and members of a cell: rows (a, b, n) with the links
-    (a, b, 0) of a spanning forest and the counts (a, -1, n) of linked vectors.
+def compare(q: pa.Table, m: pa.Table, threshold: float) -> Iterator[list[np.ndarray]]:
+    """Links between visitors (with the cells that each visits) and the members of those cells, cell by cell: rows (a, b, n)
+    with the links (a, b, 0) of a spanning forest, the counts (a, -1, n) of linked vectors, and pairs (a, b, -1) that the
+    codes leave open.
 
-    A visitor at home meets every member, itself left out, and each of these pairs
-    comes from both sides; a visitor from elsewhere counts for both.
+    A visitor at home meets every member of its cell, itself left out, and each of these
+    pairs comes from both sides; a visitor from elsewhere counts for both.
     """
-    q_id, m_id = q["node"].to_numpy(), m["node"].to_numpy()
-    x, y = _unit(matrix(q["embedding"])), _unit(matrix(m["embedding"]))
-    cosine = x @ y.T
-    for i, j in np.argwhere(np.abs(cosine - threshold) < 1e-9):  # the sum's order mustn't decide
-        cosine[i, j] = math.fsum(x[i] * y[j])
-    linked = (cosine >= threshold) & (q_id[:, None] != m_id[None, :])
-    away = ~q["home"].to_numpy(zero_copy_only=False)
-    n_q, n_m = linked @ m["n"].to_numpy(), linked[away].T @ q["n"].to_numpy()[away]
-    i, j = np.nonzero(linked)
-    ids, where = np.unique(np.concatenate([q_id, m_id]), return_inverse=True)
-    label = _forest(where[: len(q_id)][i], where[len(q_id) :][j], ids)
-    star, some_q, some_m = np.flatnonzero(label != ids), np.flatnonzero(n_q), np.flatnonzero(n_m)
-    none = np.full(len(some_q) + len(some_m), -1)
-    return [
-        np.concatenate([ids[star], q_id[some_q], m_id[some_m]]),
-        np.concatenate([label[star], none]),
-        np.concatenate([np.zeros(len(star), np.int64), n_q[some_q], n_m[some_m]]),
-    ]
+    decoded = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.int16).reshape(len(t), -1) * t["step"].to_numpy()[:, None]
+    x, y = decoded(q), decoded(m)
+    q_all, m_all, q_n, m_n, q_left, m_left = (t[c].to_numpy() for c in ("node", "n", "left") for t in (q, m))
+    lists, home_cell, member_cell = q["cells"].combine_chunks(), q["cell"].to_numpy(), m["cell"].to_numpy()
+    who, cell = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+    order = np.argsort(cell, kind="stable")
+    who, cell = who[order], cell[order]
+    members = np.argsort(member_cell, kind="stable")
+    for j in np.split(members, np.flatnonzero(np.diff(member_cell[members])) + 1):
+        at = member_cell[j[0]]
+        i = who[np.searchsorted(cell, at) : np.searchsorted(cell, at, "right")]
+        if not len(i):
+            continue
+        q_id, m_id = q_all[i], m_all[j]
+        cosine = x[i] @ y[j].T
+        error = q_left[i][:, None] + m_left[j][None, :] + 1e-12
+        other = q_id[:, None] != m_id[None, :]
+        linked = (cosine - error >= threshold) & other
+        away = home_cell[i] != at
+        unsure = (np.abs(cosine - threshold) < error) & other & (away[:, None] | (q_id[:, None] < m_id[None, :]))
+        n_q, n_m = linked @ m_n[j], linked[away].T @ q_n[i][away]
+        a, b = np.nonzero(linked)
+        ids, where = np.unique(np.concatenate([q_id, m_id]), return_inverse=True)
+        label = _forest(where[: len(q_id)][a], where[len(q_id) :][b], ids)
+        star, some_q, some_m = np.flatnonzero(label != ids), np.flatnonzero(n_q), np.flatnonzero(n_m)
+        none = np.full(len(some_q) + len(some_m), -1)
+        a, b = np.nonzero(unsure)
+        yield [
+            np.concatenate([ids[star], q_id[some_q], m_id[some_m], q_id[a]]),
+            np.concatenate([label[star], none, m_id[b]]),
+            np.concatenate([np.zeros(len(star), np.int64), n_q[some_q], n_m[some_m], np.full(len(a), -1)]),
+        ]
+
+
+def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) as :func:`compare` gives them, of pairs (a, b), by their vectors in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                x, y = _unit(matrix(part.column("x"))), _unit(matrix(part.column("y")))
+                cosine = (x * y).sum(1)
+                for i in np.flatnonzero(np.abs(cosine - threshold) < 1e-9).tolist():  # the sum's order mustn't decide
+                    cosine[i] = math.fsum(x[i] * y[i])
+                keep = cosine >= threshold
+                a, b, n_a, n_b = (part.column(c).to_numpy()[keep] for c in ("a", "b", "n_a", "n_b"))
+                none = np.full(len(a), -1)
+                columns = np.concatenate([np.maximum(a, b), a, b]), np.concatenate([np.minimum(a, b), none, none]), np.concatenate([np.zeros(len(a), np.int64), n_b, n_a])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
+
+    end = lambda name, vector, n: classes.select(F.col("node").alias(name), F.col("embedding").alias(vector), F.col("n").alias(n))
+    both = pairs.join(end("a", "x", "n_a"), "a").join(end("b", "y", "n_b"), "b").withColumn("dim", F.size("x"))
+    return both.select("a", "b", "n_a", "n_b", "dim", "x", "y").mapInArrow(run, "a long, b long, n long")
 
 
 def compared(both: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(a, b, n) of all blocks; ``both``: visitors and members by block, each block's rows together."""
 
-    def results(rows: pa.Table) -> pa.RecordBatch | None:
-        visitor = rows["visitor"]
-        out = compare(rows.filter(visitor), rows.filter(pc.invert(visitor)), threshold)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "n"])
+    def results(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        visitor = pc.is_valid(rows["cells"])
+        for out in compare(rows.filter(visitor), rows.filter(pc.invert(visitor)), threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of the block at hand: at most about two BLOCKs
@@ -212,15 +299,15 @@ def compared(both: DataFrame, keys: list[str], threshold: float) -> DataFrame:
                 change |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
             if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in keys):
-                yield results(pa.Table.from_batches(held))
+                yield from results(pa.Table.from_batches(held))
                 held = []
             for i, j in zip(cuts, cuts[1:]):
                 if i:
-                    yield results(pa.Table.from_batches(held))
+                    yield from results(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(i, j - i))
         if held:
-            yield results(pa.Table.from_batches(held))
+            yield from results(pa.Table.from_batches(held))
 
     return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
 
@@ -249,25 +336,27 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, target:
     members = scratch.save(members.select("vec_id", "rep", "node", "n"), "members")
     placed = scratch.save(placed_vectors(classes, fit_grids(classes, threshold, target)), "cells")
 
-    cell, up_to = ["label", "dim", "cell"], lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = placed.select("label", "dim", F.col("cell").alias("own"), F.explode("visits").alias("cell"), "node", "n", "embedding")
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("m_blocks"))
-    loads = asked.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
-    grid = scratch.save(sizes.join(loads, cell), "grid")
-    # The blocks of a hot cell meet each other, each pair of blocks in a task of its own.
-    blocks = [*cell, "q", "m"]
-    visitors = asked.join(grid, cell).withColumn("q", F.pmod(F.xxhash64("node"), "q_blocks")).withColumn("m", up_to("m_blocks"))
-    visitors = visitors.select(*blocks, "node", "n", "embedding", F.lit(True).alias("visitor"), (F.col("own") == F.col("cell")).alias("home"))
-    stored = placed.select(*cell, "node", "n", "embedding").join(grid, cell)
+    tile, up_to = ["label", "dim", "tile"], lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    coded = ["node", "n", "code", "step", "left", "cell"]
+    asked = placed.select("label", "dim", F.explode("visits").alias("v"), *coded).select("label", "dim", "v.tile", *coded, "v.cells")
+    sizes = placed.groupBy(*tile).agg(F.ceil(F.count("*") / BLOCK).alias("m_blocks"))
+    loads = asked.groupBy(*tile).agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
+    grid = scratch.save(sizes.join(loads, tile), "grid")
+    # The blocks of a hot tile meet each other, each pair of blocks in a task of its own.
+    blocks = [*tile, "q", "m"]
+    visitors = asked.join(grid, tile).withColumn("q", F.pmod(F.xxhash64("node"), "q_blocks")).withColumn("m", up_to("m_blocks"))
+    stored = placed.select(*tile, *coded).join(grid, tile)
     stored = stored.withColumn("m", F.pmod(F.xxhash64("node"), "m_blocks")).withColumn("q", up_to("q_blocks"))
-    stored = stored.select(*blocks, "node", "n", "embedding", F.lit(False).alias("visitor"), F.lit(True).alias("home"))
-    found = scratch.save(compared(visitors.unionByName(stored), blocks, threshold), "found")
+    both = visitors.select(*blocks, *coded, "cells").unionByName(stored.select(*blocks, *coded), allowMissingColumns=True)
+    found = scratch.save(compared(both, blocks, threshold), "found")
+    close = scratch.save(verified(found.where("n < 0").select("a", "b"), classes, threshold), "close")
+    found = found.where("n >= 0").union(close)
     labels = components(found.where("n = 0").select("a", "b"), scratch)
     low = classes.select(F.col("node").alias("component"), F.col("rep").alias("low"))
     lows = labels.join(low, "component").select("node", "low")
     others = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     known = scratch.save(others.join(lows, "node", "full"), "known")
-    scratch.drop(same, classes, placed, grid, found, labels)
+    scratch.drop(same, classes, placed, grid, close, labels)
     out = members.join(known, "node", "left")
     out = out.select("vec_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -216,3 +216,42 @@ def test_byte_codes_bound_their_error():
     about = (fine * step[:, None] * y).sum(1)
     assert (np.abs(about - (x * y).sum(1)) <= left * np.sqrt((y * y).sum(1)) * (1 + 1e-9)).all()
     assert (left < 0.03 * np.sqrt((x * x).sum(1))).all()
+
+
+def test_codes_leave_few_pairs_open_and_travel_once_to_a_tile(spark, monkeypatch):
+    """Many labels and tiles: links as by brute force, rows sent for each vector, and pairs verified on their vectors."""
+    monkeypatch.setattr(vecdedup, "TILE", 60)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((900, 24))
+    near = base[:300] + rng.standard_normal((300, 24)) * (rng.random((300, 1)) * 0.45)
+    x = np.concatenate([base, near]).astype(np.float32)
+    label = np.arange(len(x)) % 3
+    written, save = {}, Scratch.save
+
+    def counted(self, df, name, **more):
+        out = save(self, df, name, **more)
+        if name == "cells":
+            written["tiles"] = out.select("tile").distinct().count()
+            written["sent"] = out.selectExpr("sum(size(visits))").first()[0]
+            written["cells"] = out.selectExpr("sum(aggregate(visits, 0, (n, v) -> n + size(v.cells)))").first()[0]
+            assert "embedding" not in out.columns
+        if name == "found":
+            written["open"] = out.where("n < 0").count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = sum(r.n_links for r in vecdedup.near_duplicate_vectors(table(spark, [(i, v.tolist(), int(label[i])) for i, v in enumerate(x)])).collect()) / 2
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
+    want = (np.triu(u @ u.T, 1) >= 0.93)[label[:, None] == label[None, :]].sum()
+    assert 0.95 * want <= got <= want and want > 40
+    assert written["tiles"] > 4 and written["sent"] < 0.6 * written["cells"] and written["open"] < 20
+
+
+def test_pairs_that_codes_leave_open_are_verified(spark):
+    """Cosines a few units of rounding about the threshold."""
+    angle = math.acos(0.93)
+    rows = [(0, [1.0, 0.0], 1)] + [(i, [math.cos(angle + d), math.sin(angle + d)], 1) for i, d in enumerate((-3e-6, -1e-7, 1e-7, 3e-6), 1)]
+    got = {r.vec_id: r.n_links for r in vecdedup.near_duplicate_vectors(table(spark, rows), target=1.0).collect()}
+    v = {i: np.array(x, np.float32).astype(np.float64) for i, x, _ in rows}
+    want = {i: sum(j != i and v[i] @ v[j] / math.sqrt((v[i] @ v[i]) * (v[j] @ v[j])) >= 0.93 for j in v) for i in v}
+    assert got == want
