@@ -12,8 +12,8 @@ and one text of each goes on, however often its rows repeat.  Buckets aren't exp
 its bucket's smallest member, and components of the confirmed links are found.
 Members of buckets that still hold several components meet through an exact
 set-similarity join: their shingles are put in order from rare to frequent, only a
-short prefix of each set is joined, and positions and sizes bound how much two sets can
-have in common, so that members which can't reach the threshold don't meet, however many
+short prefix of each set is joined, and positions, sizes and the odd sketches of the full
+sets bound how much two sets can have in common, so that members which can't reach the threshold don't meet, however many
 share a bucket.  A pair inside one component can't change the result and isn't formed.
 
 A pair is confirmed with one end as its centre: the centre's text stands once for a
@@ -183,10 +183,10 @@ def set_tokens(members: DataFrame, k: int) -> DataFrame:
     return members.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, h long")
 
 
-def within_reach(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes in different components that may reach the threshold, by prefixes, positions and sizes.
+def within_reach(tokens: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes in different components that may reach the threshold, by prefixes, positions, sizes and sketches.
 
-    ``tokens``: a written table as :func:`set_tokens` makes it.  Shingles that a single
+    ``tokens``: a written table as :func:`set_tokens` makes it; ``sketches``: (node, parity).  Shingles that a single
     component has come first in the order, and the rest from rare to frequent.  The first
     shingle that two sets share lies in a prefix of each: of the larger as long as a set of
     the least possible size allows, of the smaller only as long as one of its own size does.
@@ -198,18 +198,19 @@ def within_reach(tokens: DataFrame, percent: int) -> DataFrame:
     useful = tokens.join(spread, "h")
     node = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("held", "h"))
-    useful = useful.withColumn("i", place)
+    useful = useful.withColumn("i", place).join(sketches.select("node", "parity"), "node")
     as_index = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
     as_probe = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     in_main = F.col("component") == F.col("main")
     side = F.when(in_main, F.lit(1)).otherwise(F.lit(0)).alias("side")
     sides = F.explode(F.when(in_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")
-    index = useful.where(F.col("i") <= as_index).select("h", side, F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.col("i").alias("i_x"))
-    probe = useful.where(F.col("i") <= as_probe).select("h", sides, F.col("node").alias("y"), F.col("component").alias("c_y"), F.col("n").alias("n_y"), F.col("i").alias("i_y"))
+    index = useful.where(F.col("i") <= as_index).select("h", side, F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.col("i").alias("i_x"), F.col("parity").alias("p_x"))
+    probe = useful.where(F.col("i") <= as_probe).select("h", sides, F.col("node").alias("y"), F.col("component").alias("c_y"), F.col("n").alias("n_y"), F.col("i").alias("i_y"), F.col("parity").alias("p_y"))
     needed = percent * (F.col("n_x") + F.col("n_y"))
     at_most = lambda before: before + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
     met = index.join(probe, ["h", "side"]).where("c_x <> c_y and (n_x < n_y or n_x = n_y and x < y)").where(100 * F.col("n_x") >= percent * F.col("n_y"))
     met = met.where((100 + percent) * at_most(F.least("i_x", "i_y")) >= needed)
+    met = met.where(differing_bits("p_x", "p_y", SET_BITS) * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
     # All that a pair shares up to the last shared shingle of its prefixes has been met.
     met = met.groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("shared"), F.max("i_x").alias("i_x"), F.max("i_y").alias("i_y"))
     met = met.where((100 + percent) * at_most(F.col("shared")) >= needed)
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     open_ = scratch.save(labelled.join(mixed, "key").select("node", "component").distinct(), "open")
     if not open_.isEmpty():
         tokens = scratch.save(set_tokens(open_.join(texts, "node"), k), "tokens")
-        pairs = plausible(within_reach(tokens, percent)).join(tried, ["a", "b"], "left_anti")
+        pairs = plausible(within_reach(tokens, sketches.withColumnRenamed("id", "node"), percent)).join(tried, ["a", "b"], "left_anti")
         found = scratch.save(confirm(scratch.save(pairs, "pairs"), texts, k, percent), "links")
         scratch.drop(tokens)
         if not found.isEmpty():
