@@ -3,10 +3,12 @@
 A small network sees ``SIDE`` words on either side of a masked word and predicts
 it; the sum of the log-probabilities of all a document's words, each given its
 neighbours, scores the document.  Every word of the corpus is in the vocabulary.
-The ``FREQUENT`` most frequent words are outputs of the network; each other word
-belongs to one of ``RARE`` outputs by its ending, and its share of that output is
-its share of the output's count, from word counts over all documents that are kept
-and joined in Spark.  The output is a softmax of two levels, class and member.
+The ``FREQUENT`` most frequent words are outputs of the network, a softmax of two
+levels, class and member.  Each other word is put together from its parts: its ending
+is one of ``RARE`` further outputs, and a third softmax predicts its beginning, one of
+``STARTS``, from the neighbours and the ending.  What is left of it is its share of the
+count of all words with that ending and beginning, from word counts over all documents
+that are kept and joined in Spark.  As a neighbour it is the sum of its parts, too.
 
 Training is synchronous: a hash of doc_id and text deals all documents into
 mini-batches (more of them for more tokens, up to a bound); for each, tasks sum the gradient over their documents, the
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, IntTable, hash_runs, signed, slices, text_bytes, words_of
 from .scratch import Scratch
 
-CLASSES, MEMBERS, RARE = 64, 64, 64
+CLASSES, MEMBERS, RARE, STARTS = 64, 64, 64, 64
 FREQUENT = CLASSES * MEMBERS - RARE
 #: The token beyond either end of a document.
 PAD = CLASSES * MEMBERS
+#: The token of a word with ending e and beginning b is COMPOSED + e * STARTS + b.
+COMPOSED = PAD + 1
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 SHIFTS = [d for d in range(-SIDE, SIDE + 1) if d]
 SHAPES = {
@@ -41,6 +45,9 @@ SHAPES = {
     "bc": (CLASSES,),
     "wm": (CLASSES, HIDDEN, MEMBERS),
     "bm": (CLASSES, MEMBERS),
+    "starts": (STARTS + 1, WIDTH),
+    "ws": (HIDDEN, STARTS),
+    "bs": (RARE, STARTS),
 }
 SIZE = sum(math.prod(s) for s in SHAPES.values())
 #: Words whose counts every task holds (the rest are joined), tokens in one go, tokens for a task of a step, sums that meet at once.
@@ -50,18 +57,18 @@ STEPS, STEP_TOKENS, MOST_STEPS, MOST_TASKS = 32, 5_000_000, 64, 1024
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(w, rare, n): each word (by hash), the output of rare words that it would belong to, and how often it occurs in all texts."""
+    """(w, part, n): each word (by hash), its ending and beginning (as one number), and how often it occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            words, rare, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            words, part, n = (np.concatenate([h[i] for h in held]) for i in range(3))
             distinct, at, which = np.unique(words, return_index=True, return_inverse=True)
-            return distinct, rare[at], np.bincount(which, n, len(distinct)).astype(np.int64)
+            return distinct, part[at], np.bincount(which, n, len(distinct)).astype(np.int64)
 
-        def row(words: np.ndarray, rare: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(rare), pa.array(n)], ["w", "rare", "n"])
+        def row(words: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(part), pa.array(n)], ["w", "part", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -69,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 data = LOWER[data]
                 starts, ends, _ = words_of(data, offsets)
                 words, at, n = np.unique(hash_runs(data, starts, ends), return_index=True, return_counts=True)
-                held.append((words, endings(data, starts[at], ends[at]), n))
+                held.append((words, word_parts(data, starts[at], ends[at]), n))
                 if len(held) == 16:
                     held[:] = [merged()]
                     if len(held[0][0]) > 500_000:  # bounds the task's memory
@@ -77,23 +84,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield row(*merged())
 
-    parts = docs.select("text").mapInArrow(run, "w long, rare int, n long")
-    return parts.groupBy("w").agg(F.first("rare").alias("rare"), F.sum("n").alias("n"))
+    parts = docs.select("text").mapInArrow(run, "w long, part int, n long")
+    return parts.groupBy("w").agg(F.first("part").alias("part"), F.sum("n").alias("n"))
 
 
-def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The output, from 0 to RARE - 1, that words with these last two bytes share."""
-    return (hash_runs(data, np.maximum(starts, ends - 2), ends) % np.uint64(RARE)).astype(np.int32)
+def word_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each word's ending, by its last two bytes, and beginning, by its first three: ending * STARTS + beginning."""
+    ending = hash_runs(data, np.maximum(starts, ends - 2), ends) % np.uint64(RARE)
+    beginning = hash_runs(data, starts, np.minimum(starts + 3, ends)) % np.uint64(STARTS)
+    return (ending * np.uint64(STARTS) + beginning).astype(np.int32)
 
 
 class Vocabulary:
-    """The words that every task knows: hashes by falling count, their counts, and the count of each output of rare words."""
+    """The words that every task knows: hashes by falling count, their counts, and the count of other than frequent words by ending and beginning."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rare_totals: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, part_totals: np.ndarray):
         self.words, self.logs = words, np.log(np.maximum(counts, 1))
         self.counts = counts[:FREQUENT]
-        self.rare_logs = np.log(np.maximum(rare_totals, 1))
-        self.rare_totals = rare_totals
+        self.part_logs = np.log(np.maximum(part_totals, 1))
+        self.part_totals = part_totals
 
     def table(self) -> IntTable:
         return IntTable(self.words, np.arange(len(self.words), dtype=np.int32))
@@ -101,7 +110,7 @@ class Vocabulary:
     def output_counts(self) -> np.ndarray:
         out = np.zeros(PAD)
         out[: len(self.counts)] = self.counts
-        out[FREQUENT:] = self.rare_totals
+        out[FREQUENT:] = self.part_totals.reshape(RARE, STARTS).sum(1)
         return out
 
 
@@ -116,14 +125,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             rest = (level == r["level"]) & (F.pmod(F.xxhash64("w"), F.lit(1 << 30)) < int((1 << 30) * (KNOWN - total) / r["k"]))
             break
         total, lowest = total + r["k"], r["level"]
-    top = counts.where((level >= lowest) | rest).select("w", "rare", "n").toArrow()  # about KNOWN rows
+    top = counts.where((level >= lowest) | rest).select("w", "part", "n").toArrow()  # about KNOWN rows
     words, n = top["w"].to_numpy(), top["n"].to_numpy()
     order = np.lexsort((words, -n))[:KNOWN]
-    totals = np.zeros(RARE)
-    for r in counts.groupBy("rare").agg(F.sum("n").alias("n")).collect():  # RARE rows
-        totals[r["rare"]] = r["n"]
+    totals = np.zeros(RARE * STARTS)
+    for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect():  # RARE * STARTS rows
+        totals[r["part"]] = r["n"]
     frequent = order[:FREQUENT]
-    totals -= np.bincount(top["rare"].to_numpy()[frequent], n[frequent], RARE)
+    totals -= np.bincount(top["part"].to_numpy()[frequent], n[frequent], RARE * STARTS)
     return Vocabulary(words[order], n[order], totals)
 
 
@@ -135,7 +144,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, table: IntTable) -> tuple[np.n
     known = table.get(signed(hashes))
     out = known.astype(np.int64)
     rare = np.flatnonzero((known < 0) | (known >= FREQUENT))
-    out[rare] = FREQUENT + endings(data, starts[rare], ends[rare])
+    out[rare] = COMPOSED + word_parts(data, starts[rare], ends[rare])
     return out, known, hashes, at
 
 
@@ -147,7 +156,7 @@ def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
-def start_weights(output_counts: np.ndarray) -> np.ndarray:
+def start_weights(output_counts: np.ndarray, part_totals: np.ndarray) -> np.ndarray:
     """Random inner weights; the biases are the outputs' own frequencies, so training starts from the unigram model."""
     rng = np.random.default_rng(11)
     w = {name: np.zeros(shape) for name, shape in SHAPES.items()}
@@ -157,6 +166,9 @@ def start_weights(output_counts: np.ndarray) -> np.ndarray:
     share = (output_counts + 0.1).reshape(CLASSES, MEMBERS)
     w["bc"] = np.log(share.sum(1) / share.sum())
     w["bm"] = np.log(share / share.sum(1, keepdims=True))
+    share = (part_totals + 0.1).reshape(RARE, STARTS)
+    w["bs"] = np.log(share / share.sum(1, keepdims=True))
+    w["ws"], w["starts"] = rng.standard_normal(SHAPES["ws"]) * 0.02, rng.standard_normal(SHAPES["starts"]) * 0.1
     return np.concatenate([w[name].ravel() for name in SHAPES]).astype(np.float32)
 
 
@@ -168,6 +180,12 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def composed(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The output of each token, and the beginning of those put together (of others STARTS)."""
+    part = seq - COMPOSED
+    return np.where(part >= 0, FREQUENT + part // STARTS, seq), np.where(part >= 0, part % STARTS, STARTS)
+
+
 def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp of each logit (kept within +-60, so that nothing overflows or vanishes), in place, and the sum of each row."""
     np.clip(logits, -60, 60, out=logits)
@@ -179,11 +197,12 @@ class Pass:
     """The network over tokens a to b of a padded sequence."""
 
     def __init__(self, w: dict[str, np.ndarray], seq: np.ndarray, a: int, b: int):
-        self.w, self.seq, self.a, self.b = w, seq, a, b
-        vectors = w["table"].take(seq[a - SIDE : b + SIDE], axis=0)
+        self.w, self.a, self.b = w, a, b
+        self.outputs, self.begins = composed(seq[a - SIDE : b + SIDE])
+        vectors = w["table"].take(self.outputs, axis=0) + w["starts"].take(self.begins, axis=0)
         self.x = np.concatenate([vectors[SIDE + d : SIDE + d + b - a] for d in SHIFTS], axis=1)
         self.hidden = np.tanh(self.x @ w["w1"] + w["b1"])
-        target = seq[a:b]
+        target = self.outputs[SIDE : SIDE + b - a]
         self.order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # members are scored class by class
         target = target[self.order]
         self.real = target < PAD
@@ -198,13 +217,19 @@ class Pass:
             np.matmul(self.sorted[i:j], w["wm"][c], out=members[i:j])
             members[i:j] += w["bm"][c]
         self.members, self.member_sums = _exponentials(members)
+        # Words put together are all of the last class, whose members are endings; pads come after them.
+        self.rare = slice(cuts[CLASSES - 1], int(self.real.sum()))
+        self.begin = self.begins[SIDE : SIDE + b - a][self.order][self.rare]
+        self.starts, self.start_sums = _exponentials(self.sorted[self.rare] @ w["ws"] + w["bs"].take(self.member[self.rare], axis=0))
 
     def log_probabilities(self) -> np.ndarray:
         """log p(token | neighbours) for each token, 0 for pads, in their order."""
         row = np.arange(len(self.order))
         share = self.classes[row, self.class_].astype(np.float64) * self.members[row, self.member]
+        found = np.where(self.real, np.log(share / (self.class_sums.astype(np.float64) * self.member_sums)), 0.0)
+        found[self.rare] += np.log(self.starts[np.arange(len(self.begin)), self.begin].astype(np.float64) / self.start_sums)
         out = np.empty(len(self.order))
-        out[self.order] = np.where(self.real, np.log(share / (self.class_sums.astype(np.float64) * self.member_sums)), 0.0)
+        out[self.order] = found
         return out
 
     def gradient(self, into: dict[str, np.ndarray]) -> None:
@@ -224,6 +249,12 @@ class Pass:
             into["wm"][c] += self.sorted[i:j].T @ back_m[i:j]
             into["bm"][c] += back_m[i:j].sum(0)
             back[i:j] += back_m[i:j] @ w["wm"][c].T
+        back_s, ending = self.starts, self.member[self.rare]
+        back_s /= self.start_sums[:, None]
+        back_s[np.arange(len(self.begin)), self.begin] -= 1
+        into["ws"] += self.sorted[self.rare].T @ back_s
+        into["bs"] += (ending == np.arange(RARE)[:, None]).astype(back_s.dtype) @ back_s
+        back[self.rare] += back_s @ w["ws"].T
         inner = np.empty_like(back)
         inner[self.order] = back
         inner *= 1 - self.hidden * self.hidden
@@ -234,9 +265,9 @@ class Pass:
         to_token = np.zeros((n + 2 * SIDE, WIDTH), back.dtype)
         for k, d in enumerate(SHIFTS):
             to_token[SIDE + d : SIDE + d + n] += inner @ w["w1"][k * WIDTH : (k + 1) * WIDTH].T
-        near = self.seq[self.a - SIDE : self.b + SIDE]
         for i in range(WIDTH):
-            into["table"][:, i] += np.bincount(near, to_token[:, i], PAD + 1)
+            into["table"][:, i] += np.bincount(self.outputs, to_token[:, i], PAD + 1)
+            into["starts"][:, i] += np.bincount(self.begins, to_token[:, i], STARTS + 1)
 
 
 def batches_of(seq: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -334,7 +365,7 @@ def train(docs: DataFrame, known: Vocabulary, scratch: Scratch, steps: int | Non
     slots = tasks_for(total, steps, docs.sparkSession.sparkContext.defaultParallelism)
     dealt = token_batches(docs, known, steps, slots).repartition(steps * slots, "step", "slot")
     dealt = scratch.save(dealt, "tokens", partition_by="step")
-    flat, adam = start_weights(known.output_counts()), Adam(rate)
+    flat, adam = start_weights(known.output_counts(), known.part_totals), Adam(rate)
     for i in range(steps):
         parts, left = _gradients(dealt.where(F.col("step") == i).select("ids"), flat), slots
         while left > FAN:
@@ -374,8 +405,8 @@ def score_documents(docs: DataFrame, steps: int | None = None, rate: float = 0.0
                 for a, b in batches_of(seq):
                     every[a:b] = Pass(w, seq, a, b).log_probabilities()
                 logs[1:] = every[place]
-                rare = np.flatnonzero(ids >= FREQUENT)
-                logs[1 + rare] -= known.rare_logs[ids[rare] - FREQUENT]
+                rare = np.flatnonzero(ids >= COMPOSED)
+                logs[1 + rare] -= known.part_logs[ids[rare] - COMPOSED]
                 local = rare[place_known[rare] >= 0]
                 logs[1 + local] += known.logs[place_known[local]]
                 rest = rare[place_known[rare] < 0]

@@ -15,9 +15,11 @@ SF = "/root/testdata/sf0.01"
 
 def test_gradient():
     rng = np.random.default_rng(0)
-    flat = masked_lm.start_weights(rng.integers(1, 100, masked_lm.PAD)).astype(np.float64)
+    parts = rng.integers(1, 100, masked_lm.RARE * masked_lm.STARTS)
+    flat = masked_lm.start_weights(rng.integers(1, 100, masked_lm.PAD), parts).astype(np.float64)
     flat += rng.standard_normal(len(flat)) * 0.05
-    ids, at = rng.integers(0, masked_lm.PAD, 40), np.array([0, 3, 3, 4, 40])
+    ids, at = rng.integers(0, masked_lm.FREQUENT, 40), np.array([0, 3, 3, 4, 40])
+    ids[::2] = masked_lm.COMPOSED + rng.integers(0, len(parts), 20)
     seq, _ = masked_lm.padded(ids, at)
 
     def loss(f):
@@ -45,28 +47,35 @@ def plain_scores(texts, known, counts, flat):
     key = lambda word: int(signed(hash_runs(hashes(word), np.array([0]), np.array([len(word)])))[0])
     rank = {int(x): i for i, x in enumerate(known.words[: masked_lm.FREQUENT])}
 
+    def parts(word):
+        one = lambda x: int(hash_runs(hashes(x), np.array([0]), np.array([len(x)]))[0])
+        return one(word[-2:]) % masked_lm.RARE, one(word[:3]) % masked_lm.STARTS
+
     def output(word):
+        """The word's output, and its beginning if it is put together."""
         if key(word) in rank:
-            return rank[key(word)]
-        return masked_lm.FREQUENT + int(masked_lm.endings(hashes(word), np.array([0]), np.array([len(word)]))[0])
+            return rank[key(word)], masked_lm.STARTS
+        return masked_lm.FREQUENT + parts(word)[0], parts(word)[1]
 
     totals = Counter()
     for word, n in counts.items():
-        if output(word) >= masked_lm.FREQUENT:
-            totals[output(word)] += n
+        totals[output(word)] += n
     out = []
     for text in texts:
         words = text.lower().encode().split()
-        ids = [output(x) for x in words]
+        ids, pad = [output(x) for x in words], (masked_lm.PAD, masked_lm.STARTS)
         total = 0.0
-        for i, t in enumerate(ids):
-            x = np.concatenate([w["table"][ids[i + d] if 0 <= i + d < len(ids) else masked_lm.PAD] for d in masked_lm.SHIFTS])
+        for i, (t, begin) in enumerate(ids):
+            near = [ids[i + d] if 0 <= i + d < len(ids) else pad for d in masked_lm.SHIFTS]
+            x = np.concatenate([w["table"][o] + w["starts"][s] for o, s in near])
             h = np.tanh(x @ w["w1"] + w["b1"])
             c, m = divmod(t, masked_lm.MEMBERS)
-            for logits, j in ((h @ w["wc"] + w["bc"], c), (h @ w["wm"][c] + w["bm"][c], m)):
-                total += logits[j] - math.log(np.exp(logits).sum())
+            levels = [(h @ w["wc"] + w["bc"], c), (h @ w["wm"][c] + w["bm"][c], m)]
             if t >= masked_lm.FREQUENT:
-                total += math.log(counts[words[i]] / totals[t])
+                levels.append((h @ w["ws"] + w["bs"][m], begin))
+                total += math.log(counts[words[i]] / totals[t, begin])
+            for logits, j in levels:
+                total += logits[j] - math.log(np.exp(logits).sum())
         out.append(total)
     return out
 
@@ -139,7 +148,7 @@ def test_odd_rows(spark):
 
 
 def test_a_vocabulary_of_one_level_is_cut_inside_it(spark):
-    counts = spark.range(140_000).selectExpr("xxhash64(id) as w", "cast(id % 64 as int) as rare", "1L as n")
+    counts = spark.range(140_000).selectExpr("xxhash64(id) as w", "cast(id % 4096 as int) as part", "1L as n")
     known = masked_lm.vocabulary(Scratch(spark, "t").save(counts, "counts"))
     assert 0.95 * masked_lm.KNOWN < len(known.words) <= masked_lm.KNOWN
     assert known.output_counts().sum() == 140_000
