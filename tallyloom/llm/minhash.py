@@ -10,11 +10,13 @@ candidate is rejected from 64 bytes; the rest are confirmed on the full sets.
 Rows with equal shingle sets form one class, a numbered node; only one signature
 and one text of each goes on, however often its rows repeat.  Buckets aren't expanded into pairs: each member is first compared with
 its bucket's smallest member, and components of the confirmed links are found.
-Members of buckets that still hold several components meet through an exact
-set-similarity join: their shingles are put in order from rare to frequent, only a
-short prefix of each set is joined, and positions, sizes and the odd sketches of the full
-sets bound how much two sets can have in common, so that members which can't reach the threshold don't meet, however many
-share a bucket.  A pair inside one component can't change the result and isn't formed.
+Members of buckets that still hold several components are compared across those
+components as an exact set-similarity join does: their shingles are put in order from
+rare to frequent, and two sets can only reach the threshold if short prefixes of them
+share a shingle.  With sizes and the odd sketches of the full sets this decides within
+the join, on short arrays, which pairs come out; first each member's best-estimated partner
+in each other component, then all that remain.  A pair inside one component can't change
+the result and isn't formed, so no link between components is lost.
 
 A pair is confirmed with one end as its centre: the centre's text stands once for a
 block of its partners.
@@ -183,38 +185,36 @@ def set_tokens(members: DataFrame, k: int) -> DataFrame:
     return members.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, h long")
 
 
-def within_reach(tokens: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes in different components that may reach the threshold, by prefixes, positions, sizes and sketches.
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """(node, index, probe): the short and the long prefix of each set, by which sets that may reach the threshold meet.
 
-    ``tokens``: a written table as :func:`set_tokens` makes it; ``sketches``: (node, parity).  Shingles that a single
-    component has come first in the order, and the rest from rare to frequent.  The first
-    shingle that two sets share lies in a prefix of each: of the larger as long as a set of
-    the least possible size allows, of the smaller only as long as one of its own size does.
-    A shingle's postings in its main component meet only those outside it.
+    ``tokens``: a written table as :func:`set_tokens` makes it.  Shingles that a single
+    component has come first in the order, as no two components share them, and the rest from
+    rare to frequent.  The first shingle that two sets share lies in a prefix of each:
+    of the larger as long as a set of the least possible size allows, of the smaller only as
+    long as one of its own size does.  Shingles that no other component has aren't listed.
     """
     spread = tokens.groupBy("h", "component").agg(F.count("*").alias("held"))
-    main = F.max(F.struct("held", "component"))["component"].alias("main")
-    spread = spread.groupBy("h").agg(F.sum("held").alias("held"), main, F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    useful = tokens.join(spread, "h")
+    spread = spread.groupBy("h").agg(F.sum("held").alias("held"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     node = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("held", "h"))
-    useful = useful.withColumn("i", place).join(sketches.select("node", "parity"), "node")
     as_index = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
     as_probe = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    in_main = F.col("component") == F.col("main")
-    side = F.when(in_main, F.lit(1)).otherwise(F.lit(0)).alias("side")
-    sides = F.explode(F.when(in_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")
-    index = useful.where(F.col("i") <= as_index).select("h", side, F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.col("i").alias("i_x"), F.col("parity").alias("p_x"))
-    probe = useful.where(F.col("i") <= as_probe).select("h", sides, F.col("node").alias("y"), F.col("component").alias("c_y"), F.col("n").alias("n_y"), F.col("i").alias("i_y"), F.col("parity").alias("p_y"))
-    needed = percent * (F.col("n_x") + F.col("n_y"))
-    at_most = lambda before: before + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
-    met = index.join(probe, ["h", "side"]).where("c_x <> c_y and (n_x < n_y or n_x = n_y and x < y)").where(100 * F.col("n_x") >= percent * F.col("n_y"))
-    met = met.where((100 + percent) * at_most(F.least("i_x", "i_y")) >= needed)
-    met = met.where(differing_bits("p_x", "p_y", SET_BITS) * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
-    # All that a pair shares up to the last shared shingle of its prefixes has been met.
-    met = met.groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("shared"), F.max("i_x").alias("i_x"), F.max("i_y").alias("i_y"))
-    met = met.where((100 + percent) * at_most(F.col("shared")) >= needed)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    placed = tokens.join(spread, "h").withColumn("i", place).where(F.col("i") <= as_probe)
+    return placed.groupBy("node").agg(F.collect_list(F.when(F.col("i") <= as_index, F.col("h"))).alias("index"), F.collect_list("h").alias("probe"))
+
+
+def within_reach(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``left`` and ``right`` of one key and block, of different components, whose sets may reach the threshold.
+
+    Columns end in _a on the left and _b on the right.  Sizes, the sketches of the full
+    sets and the prefixes tell; a pair of which either end is in the key's main component comes once.
+    """
+    by_size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    by_sets = differing_bits("p_a", "p_b", SET_BITS) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    meet = F.when(smaller, F.arrays_overlap("index_a", "probe_b")).otherwise(F.arrays_overlap("probe_a", "index_b"))
+    return left.join(right, ["key", "block"]).where("c_a <> c_b and (c_b = m_b or a < b)").where(by_size).where(by_sets).where(meet)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, slack: float = 0.2) -> DataFrame:
@@ -279,17 +279,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = scratch.save(confirm(tried, texts, k, percent), "links")
     labels = components(links, scratch)
 
-    labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.select("key", F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = scratch.save(labelled.join(mixed, "key").select("node", "component").distinct(), "open")
-    if not open_.isEmpty():
-        tokens = scratch.save(set_tokens(open_.join(texts, "node"), k), "tokens")
-        pairs = plausible(within_reach(tokens, sketches.withColumnRenamed("id", "node"), percent)).join(tried, ["a", "b"], "left_anti")
-        found = scratch.save(confirm(scratch.save(pairs, "pairs"), texts, k, percent), "links")
-        scratch.drop(tokens)
+    arrays_of = None
+    for last in (False, True):
+        labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
+        by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("held"))
+        main = F.max(F.struct("held", "component"))["component"].alias("main")
+        mixed = by_component.groupBy("key").agg(main, F.count("*").alias("parts"), F.ceil(F.sum("held") / BLOCK).alias("blocks"))
+        open_ = scratch.save(labelled.join(mixed.where("parts > 1"), "key").drop("parts"), "open")
+        if open_.isEmpty():
+            break
+        if arrays_of is None:  # components only grow, so the prefixes of the first round hold for the second
+            inside = open_.select(F.col("id").alias("node"), "component").distinct()
+            tokens = scratch.save(set_tokens(inside.join(texts, "node"), k), "tokens")
+            found = prefixes(tokens, percent).withColumnRenamed("node", "id").join(sketches.select("id", "n_shingles", "parity"), "id")
+            arrays_of = scratch.save(found, "prefixes")
+            scratch.drop(tokens)
+        # Of two members in different components, one at least is outside the bucket's main component.
+        # A large bucket is cut into blocks; its members outside the main component meet each of them.
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        names = {"id": "{}", "component": "c_{}", "main": "m_{}", "n_shingles": "n_{}", "parity": "p_{}", "index": "index_{}", "probe": "probe_{}"}
+        end = lambda rows_, x: rows_.join(arrays_of, "id").select("key", "block", *(F.col(c).alias(n.format(x)) for c, n in names.items()))
+        left = end(open_.where("component <> main").withColumn("block", every), "a")
+        right = end(open_.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "b")
+        across = within_reach(left, right, percent)
+        if last:
+            pairs = across.select("a", "b")
+        else:  # first each with its best partner in each other component
+            best = F.min(F.struct(differing_bits("p_a", "p_b", SET_BITS).alias("d"), F.col("b"))).alias("best")
+            pairs = across.groupBy("a", "c_b").agg(best).select("a", F.col("best.b").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.save(plausible(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        found = scratch.save(confirm(pairs, texts, k, percent), "links")
         if not found.isEmpty():
-            labels = components(scratch.save(links.union(found), "links"), scratch)
+            links = scratch.save(links.union(found), "links")
+            labels = components(links, scratch)
+        tried = tried.union(pairs)
+        scratch.drop(open_)
 
     low = sets.select(F.col("node").alias("component"), F.col("rep").alias("low"))
     lows = scratch.save(labels.join(low, "component").select("node", "low"), "lows")

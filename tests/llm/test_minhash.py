@@ -5,7 +5,7 @@ import pytest
 from helpers import BASE, documents, empty, odd_rows
 
 from tallyloom.llm.components import components
-from tallyloom.llm.minhash import SET_BITS, centred, drop_near_duplicates, near_duplicates, within_reach
+from tallyloom.llm.minhash import SET_BITS, centred, drop_near_duplicates, near_duplicates, prefixes, within_reach
 from tallyloom.llm.scratch import Scratch
 
 
@@ -152,8 +152,11 @@ def test_prefixes_keep_every_pair_that_reaches_the_threshold(spark):
         parity[i][bit // 64] ^= 1 << bit % 64
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     sketches = spark.createDataFrame([(i, list(map(signed, p))) for i, p in parity.items()], "node long, parity array<long>")
+    shape = spark.createDataFrame([(i, part[i], len(s)) for i, s in sets.items()], "node long, c long, n long")
     for percent in (80, 60):
-        got = {tuple(r) for r in within_reach(spark.createDataFrame(tokens, "node long, component long, n long, h long"), sketches, percent).collect()}
+        short = prefixes(spark.createDataFrame(tokens, "node long, component long, n long, h long"), percent).join(sketches, "node")
+        ends = [short.join(shape, "node").selectExpr("0 key", "0 block", f"node as {x}", f"c as c_{x}", f"-1 as m_{x}", f"n as n_{x}", f"parity as p_{x}", f"index as index_{x}", f"probe as probe_{x}") for x in "ab"]
+        got = {(r.a, r.b) for r in within_reach(*ends, percent).collect()}
         far = [(a, b) for a in sets for b in sets if a < b and part[a] != part[b]]
         want = {(a, b) for a, b in far if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
         assert len(want) > 80 and want <= got and len(got) < len(far) / 10
