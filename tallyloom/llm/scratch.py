@@ -35,6 +35,9 @@ class Scratch:
 
     An operator drops what it won't read again.  What its lazy result still reads
     stays in the shared folder, for its owner to clear after the result is used.
+    A write sets a setting of the whole session for as long as it takes, so writes of
+    two threads in one session may undo each other's (files are then cleaned later);
+    dropping needs a classic session, with a JVM at hand.
     """
 
     def __init__(self, spark: SparkSession, name: str):
