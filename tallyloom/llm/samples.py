@@ -40,15 +40,17 @@ def reservoir(rows: DataFrame, key: str, columns: list[str], most: int, scratch:
     estimate of each key's distinct rows says which hashes can be among the smallest;
     the rows with those, few more than ``most`` for a key, are written once, repeats gone,
     and the ``most``-th smallest hash cuts them off.  No more than that is ever sorted or
-    held, and the result doesn't depend on partitions.
+    held, and the result doesn't depend on partitions.  Only the chosen rows are
+    shuffled; the driver holds an estimate for each key.
     """
     place = F.pmod(F.xxhash64(F.xxhash64(*columns)), F.lit(1 << 62)).alias("__at")
     own = rows.select(*columns, place)
     spread = own.groupBy(key).agg(F.approx_count_distinct("__at", 0.02).alias("__distinct"))
+    spread = rows.sparkSession.createDataFrame(spread.collect(), spread.schema)  # a row for each key
     reach = F.lit(float(1 << 62)) * F.least(F.lit(1.0), 1.25 * most / F.col("__distinct"))
-    few = own.join(spread, key).where(F.col("__at") <= reach).select(*columns, "__at")
+    few = own.join(F.broadcast(spread), key).where(F.col("__at") <= reach).select(*columns, "__at")
     few = scratch.save(few.dropDuplicates([*columns, "__at"]), "few")
     order = Window.partitionBy(key).orderBy("__at")
     ranked = few.select(key, "__at").distinct().withColumn("__rank", F.row_number().over(order))
     cut = ranked.where(F.col("__rank") <= most).groupBy(key).agg(F.max("__at").alias("__cut"))
-    return few.join(cut, key).where(F.col("__at") <= F.col("__cut")).select(*columns)
+    return few.join(F.broadcast(cut), key).where(F.col("__at") <= F.col("__cut")).select(*columns)
