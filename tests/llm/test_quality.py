@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from helpers import documents, empty, labels, odd_rows
+import pytest
+from helpers import BASE, documents, empty, labels, odd_rows
 from pyspark.sql import functions as F
 
 from tallyloom.llm import quality, queries
@@ -164,3 +165,85 @@ def test_odd_rows(spark):
     assert {r.doc_id for r in out.where("rejected").collect()} >= {0, 1, 2} and out.count() == docs.count()
     assert quality.score_quality(docs, labels(spark)).where("rejected").count() == 3
     assert quality.score_quality(empty(spark), labels(spark)).count() == 0
+
+
+def plain_longer(rows, trusted, folds, order):
+    """(perplexity, symbols, perplexity without the own fold) of each (doc_id, text, lang), by models of ``order`` symbols."""
+
+    def grams(text):
+        s = [32] * (order - 1) + plain_symbols(text)[2:]
+        return [tuple(s[i : i + order]) for i in range(len(s) - order + 1)]
+
+    class Longer:
+        def __init__(self, texts):
+            counts = Counter(g for t in texts for g in grams(t))
+            self.levels = [PlainModel.level(counts)]
+            while len(next(iter(counts), ())) > 2:
+                counts = Counter(g[1:] for g in counts)
+                self.levels.append(PlainModel.level(counts))
+            self.one = Counter(g[1:] for g in counts)
+
+        def p(self, gram):
+            value = quality.SPREAD / size + (1 - quality.SPREAD) * self.one[gram[-1:]] / sum(self.one.values()) if self.one else 1 / size
+            for counts, d, total, left in reversed(self.levels):
+                g = gram[len(gram) - len(next(iter(counts), gram)) :]
+                if g[:-1] in total:
+                    n = counts.get(g, 0)
+                    value = ((n - d[min(n, 3) - 1] if n else 0) + left[g[:-1]] * value) / total[g[:-1]]
+            return value
+
+        def perplexity(self, text):
+            found = grams(text)
+            return math.exp(-sum(math.log(self.p(g)) for g in found) / len(found)) if found else None
+
+    of_trusted = [r for r in rows if r[0] in trusted]
+    size = len({c for _, t, _ in of_trusted for c in plain_symbols(t)[2:]} | {32}) + 1
+    models = [Longer([t for i, t, _ in of_trusted if folds[i] != f]) for f in range(quality.FOLDS)]
+    full = Longer([t for _, t, _ in of_trusted])
+    return [(full.perplexity(t), len(grams(t)), models[folds[i]].perplexity(t) if i in trusted else None) for i, t, _ in rows]
+
+
+@pytest.mark.parametrize("order", [4, 5, 7])
+def test_longer_ngrams_are_counted_joined_and_scored_by_the_definition(spark, monkeypatch, order):
+    monkeypatch.setattr(quality, "BLOCK", 200)  # several blocks of a fold, and rounds
+    rows = small_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    trusted = set(range(0, 50)) | {63}
+    folds = folds_of(docs)
+    want = {(i, t): w for (i, t, _), w in zip(rows, plain_longer(rows, trusted, folds, order))}
+    known = labels(spark, [(i, 1, 0) for i in trusted] + [(i, 0, 0) for i in (50, 60, 3)])
+    got = quality.score_quality(docs, known, quantile=0.9, prior=5, pull=5, order=order).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t, _ in rows)
+    rank = lambda values, share: sorted(values)[max(math.ceil(share * len(values)), 1) - 1]
+    held = [(g, want[i, t][1], want[i, t][2]) for i, t, g in rows if want[i, t][2]]
+    usual = rank([math.log(p) for _, _, p in held], 0.5)
+    adjust = lambda n, p: math.exp((math.log(p) * n + 5 * usual) / (n + 5))
+    pooled = rank([adjust(n, p) for _, n, p in held], 0.9)
+    for r in got:
+        p, n, _ = want[r.doc_id, r.text]
+        assert r.symbols == n and (r.perplexity is None) == (p is None)
+        assert p is None or math.isclose(r.perplexity, p, rel_tol=1e-4) and math.isclose(r.adjusted, adjust(n, p), rel_tol=1e-4)
+        own = [adjust(m, q) for g, m, q in held if g == r.lang]
+        limit = max(rank(own, 0.9), math.exp((len(own) * math.log(rank(own, 0.9)) + 5 * math.log(pooled)) / (len(own) + 5))) if r.lang else pooled
+        assert math.isclose(r.threshold, limit, rel_tol=1e-4) and r.rejected == (p is None or adjust(n, p) > limit)
+
+
+def test_the_query_joins_ngrams_of_five_symbols(spark):
+    """What a context of two bytes can't see: perplexities differ from those of trigrams, and bad rows stand out more."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    known = spark.read.parquet(f"{SF}/labels.parquet")
+    got = queries.op10_quality(spark, SF).select("doc_id", "perplexity").join(known, "doc_id")
+    old = quality.score_quality(docs, known).select("doc_id", F.col("perplexity").alias("old"))
+    of = {r.quality: r.d for r in got.join(old, "doc_id").groupBy("quality").agg(F.median(F.log(F.col("perplexity") / F.col("old"))).alias("d")).collect()}
+    assert of[1] < -0.1 and of[0] > of[1]
+
+
+def test_longer_ngrams_of_odd_rows(spark):
+    docs = documents(spark, odd_rows())
+    out = quality.score_quality(docs, labels(spark, [(3, 1, 0), (4, 1, 1), (8, 0, 0)]), order=5)
+    assert set(docs.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    assert {r.doc_id for r in out.where("rejected").collect()} >= {0, 1, 2} and out.count() == docs.count()
+    assert quality.score_quality(docs, labels(spark), order=5).where("rejected").count() == 3
+    assert quality.score_quality(empty(spark), labels(spark), order=5).count() == 0
+    nulls = spark.createDataFrame([(None, BASE, "en"), (None, BASE, None), (1, BASE, "en"), (1, BASE, "en")], "doc_id long, text string, lang string")
+    assert quality.score_quality(nulls, labels(spark, [(1, 1, 0)]), order=5).count() == 4
