@@ -98,7 +98,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return score_quality(docs, table(spark, sf_dir, "labels"), order=5).select("doc_id", "perplexity", "adjusted", "threshold", "rejected")
+    return score_quality(docs, table(spark, sf_dir, "labels"), order=4).select("doc_id", "perplexity", "adjusted", "threshold", "rejected")
 
 
 def periodic_tail(docs: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def test_longer_ngrams_are_counted_joined_and_scored_by_the_definition(spark, mo
         assert math.isclose(r.threshold, limit, rel_tol=1e-4) and r.rejected == (p is None or adjust(n, p) > limit)
 
 
-def test_the_query_joins_ngrams_of_five_symbols(spark):
+def test_the_query_joins_ngrams_of_four_symbols(spark):
     """What a context of two bytes can't see: perplexities differ from those of trigrams, and bad rows stand out more."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
     known = spark.read.parquet(f"{SF}/labels.parquet")
