@@ -408,7 +408,7 @@ def scored(docs: DataFrame, models: list[Model], likely: np.ndarray | None = Non
                 batch = batch.filter(in_set(batch.column("bit"), likely))
             folds = batch.column("fold").to_numpy()
             for fold in np.unique(folds).tolist():
-                for part in slices(batch.filter(pa.array(folds == fold)), "text"):
+                for part in slices(batch.filter(pa.array(folds == fold)), "text", 1 << 18):
                     n, value = models[fold].perplexity(part.column("text"))
                     columns = [*part.columns, pa.array(n, pa.int64()), pa.array(value, pa.float64(), mask=n == 0)]
                     yield pa.RecordBatch.from_arrays(columns, [*names, "symbols", "perplexity"])
