@@ -39,19 +39,18 @@ SIDE, WIDTH, HIDDEN = 2, 16, 32
 SHIFTS = [d for d in range(-SIDE, SIDE + 1) if d]
 SHAPES = {
     "table": (PAD + 1, WIDTH),
-    "w1": (len(SHIFTS) * WIDTH, HIDDEN),
-    "b1": (HIDDEN,),
-    "wc": (HIDDEN, CLASSES),
-    "bc": (CLASSES,),
-    "wm": (CLASSES, HIDDEN, MEMBERS),
-    "bm": (CLASSES, MEMBERS),
+    "l1": (len(SHIFTS) * WIDTH + 1, HIDDEN),
+    "lc": (HIDDEN + 1, CLASSES),
+    "lm": (CLASSES, HIDDEN + 1, MEMBERS),
     "starts": (STARTS + 1, WIDTH),
     "ws": (HIDDEN, STARTS),
     "bs": (RARE, STARTS),
 }
+#: Layers that hold weights and, in a last row, their biases.
+LAYERS = {"l1": ("w1", "b1"), "lc": ("wc", "bc"), "lm": ("wm", "bm")}
 SIZE = sum(math.prod(s) for s in SHAPES.values())
-#: Words whose counts every task holds (the rest are joined), tokens in one go, tokens for a task of a step, sums that meet at once.
-KNOWN, BATCH, TASK_TOKENS, FAN = 1 << 17, 8192, 100_000, 32
+#: Words whose counts every task holds (the rest are joined), tokens in one go and of them in cache, tokens for a task of a step, sums that meet at once.
+KNOWN, BATCH, BLOCK, TASK_TOKENS, FAN = 1 << 17, 60_000, 448, 100_000, 32
 #: Steps for up to STEP_TOKENS tokens, steps at most, and tasks of a step at most (of them two for each core).
 STEPS, STEP_TOKENS, MOST_STEPS, MOST_TASKS = 32, 5_000_000, 64, 1024
 
@@ -159,24 +158,28 @@ def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def start_weights(output_counts: np.ndarray, part_totals: np.ndarray) -> np.ndarray:
     """Random inner weights; the biases are the outputs' own frequencies, so training starts from the unigram model."""
     rng = np.random.default_rng(11)
-    w = {name: np.zeros(shape) for name, shape in SHAPES.items()}
-    w["table"] = rng.standard_normal(SHAPES["table"]) * 0.3
-    w["w1"] = rng.standard_normal(SHAPES["w1"]) / math.sqrt(SHAPES["w1"][0])
-    w["wc"], w["wm"] = rng.standard_normal(SHAPES["wc"]) * 0.02, rng.standard_normal(SHAPES["wm"]) * 0.02
+    flat = np.zeros(SIZE)
+    w = views(flat)
+    w["table"][:] = rng.standard_normal(w["table"].shape) * 0.3
+    w["w1"][:] = rng.standard_normal(w["w1"].shape) / math.sqrt(len(w["w1"]))
+    w["wc"][:], w["wm"][:] = rng.standard_normal(w["wc"].shape) * 0.02, rng.standard_normal(w["wm"].shape) * 0.02
     share = (output_counts + 0.1).reshape(CLASSES, MEMBERS)
-    w["bc"] = np.log(share.sum(1) / share.sum())
-    w["bm"] = np.log(share / share.sum(1, keepdims=True))
+    w["bc"][:] = np.log(share.sum(1) / share.sum())
+    w["bm"][:] = np.log(share / share.sum(1, keepdims=True))
     share = (part_totals + 0.1).reshape(RARE, STARTS)
-    w["bs"] = np.log(share / share.sum(1, keepdims=True))
-    w["ws"], w["starts"] = rng.standard_normal(SHAPES["ws"]) * 0.02, rng.standard_normal(SHAPES["starts"]) * 0.1
-    return np.concatenate([w[name].ravel() for name in SHAPES]).astype(np.float32)
+    w["bs"][:] = np.log(share / share.sum(1, keepdims=True))
+    w["ws"][:], w["starts"][:] = rng.standard_normal(w["ws"].shape) * 0.02, rng.standard_normal(w["starts"].shape) * 0.1
+    return flat.astype(np.float32)
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Each part of the flat vector by its name, and weights and biases of each layer by theirs."""
     out, at = {}, 0
     for name, s in SHAPES.items():
         out[name] = flat[at : at + math.prod(s)].reshape(s)
         at += math.prod(s)
+    for name, (weights, biases) in LAYERS.items():
+        out[weights], out[biases] = out[name][..., :-1, :], out[name][..., -1, :]
     return out
 
 
@@ -186,88 +189,118 @@ def composed(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(part >= 0, FREQUENT + part // STARTS, seq), np.where(part >= 0, part % STARTS, STARTS)
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each logit (kept within +-60, so that nothing overflows or vanishes), in place, and the sum of each row."""
-    np.clip(logits, -60, 60, out=logits)
-    np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
-
-
 class Pass:
-    """The network over tokens a to b of a padded sequence."""
+    """The network over tokens a to b of a padded sequence.
+
+    Only the hidden layer is held for all of them, with a last column of ones for the biases.
+    Everything wider exists for BLOCK tokens at a time, small enough to stay in a core's cache,
+    with a row for each output, so that what is done to a token runs along long rows.
+    """
 
     def __init__(self, w: dict[str, np.ndarray], seq: np.ndarray, a: int, b: int):
-        self.w, self.a, self.b = w, a, b
-        self.outputs, self.begins = composed(seq[a - SIDE : b + SIDE])
-        vectors = w["table"].take(self.outputs, axis=0) + w["starts"].take(self.begins, axis=0)
-        self.x = np.concatenate([vectors[SIDE + d : SIDE + d + b - a] for d in SHIFTS], axis=1)
-        self.hidden = np.tanh(self.x @ w["w1"] + w["b1"])
-        target = self.outputs[SIDE : SIDE + b - a]
-        self.order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # members are scored class by class
-        target = target[self.order]
-        self.real = target < PAD
-        self.class_ = np.minimum(target // MEMBERS, CLASSES - 1)
-        self.member = np.where(self.real, target % MEMBERS, 0)
-        self.sorted = self.hidden.take(self.order, axis=0)
-        cuts = np.searchsorted(self.class_, np.arange(CLASSES + 1)).tolist()
-        self.runs = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-        self.classes, self.class_sums = _exponentials(self.sorted @ w["wc"] + w["bc"])
-        members = np.empty((b - a, MEMBERS), self.hidden.dtype)
-        for c, i, j in self.runs:
-            np.matmul(self.sorted[i:j], w["wm"][c], out=members[i:j])
-            members[i:j] += w["bm"][c]
-        self.members, self.member_sums = _exponentials(members)
-        # Words put together are all of the last class, whose members are endings; pads come after them.
-        self.rare = slice(cuts[CLASSES - 1], int(self.real.sum()))
-        self.begin = self.begins[SIDE : SIDE + b - a][self.order][self.rare]
-        self.starts, self.start_sums = _exponentials(self.sorted[self.rare] @ w["ws"] + w["bs"].take(self.member[self.rare], axis=0))
+        self.w, self.n, self.near = w, b - a, seq[a - SIDE : b + SIDE]
+        self.outputs, self.begins = composed(self.near)
+        self.hidden = np.ones((self.n, HIDDEN + 1), w["l1"].dtype)
+        for i in range(0, self.n, BLOCK):
+            out = self.hidden[i : i + BLOCK, :HIDDEN]
+            np.tanh(self.inputs(i, i + len(out)).T @ w["l1"], out=out)
+        # Each block holds tokens of one class, in the order of members; pads, behind the last class, predict nothing.
+        target = self.outputs[SIDE : SIDE + self.n]
+        self.order = np.argsort(target.astype(np.uint16), kind="stable")
+        self.target, self.begin = target.take(self.order), self.begins[SIDE : SIDE + self.n].take(self.order)
+        cuts = np.searchsorted(self.target, np.arange(CLASSES + 1) * MEMBERS).tolist()
+        self.pads = self.order[cuts[CLASSES] :]
+        self.blocks = [(c, i, min(i + BLOCK, to)) for c, (at, to) in enumerate(zip(cuts, cuts[1:])) for i in range(at, to, BLOCK)]
+
+    def inputs(self, i: int, j: int) -> np.ndarray:
+        """The neighbours' vectors of tokens i to j, one above the other, and a row of ones."""
+        at = slice(i, j + 2 * SIDE)
+        vectors = self.w["table"].take(self.outputs[at], axis=0) + self.w["starts"].take(self.begins[at], axis=0)
+        vectors = np.ascontiguousarray(vectors.T)
+        x = np.empty((len(SHIFTS) * WIDTH + 1, j - i), vectors.dtype)
+        for k, d in enumerate(SHIFTS):
+            x[k * WIDTH : (k + 1) * WIDTH] = vectors[:, SIDE + d : SIDE + d + j - i]
+        x[-1] = 1
+        return x
+
+    def far(self) -> np.ndarray:
+        """Whether a logit of each class's softmaxes may lie beyond +-60, with hidden values within +-1."""
+        w = self.w
+        most = np.maximum(np.abs(w["lc"]).sum(0).max(), np.abs(w["lm"]).sum(1).max(1))
+        most[-1] = max(most[-1], (np.abs(w["ws"]).sum(0) + np.abs(w["bs"])).max())
+        return most > 60
+
+    def softmaxes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], list[tuple], np.ndarray, np.ndarray]]:
+        """For each block its class, places, hidden rows, the layers of its softmaxes (class, member, and of words put together,
+        all of the last class, beginning), where each has the tokens' own outputs, the exponentials and their sums."""
+        w = self.w
+        room = np.empty(3 * MEMBERS * BLOCK, self.hidden.dtype)
+        starts = np.vstack([w["ws"], np.zeros(STARTS, w["ws"].dtype)])
+        far = self.far()
+        for c, i, j in self.blocks:
+            place, member, column = self.order[i:j], self.target[i:j] - c * MEMBERS, np.arange(j - i)
+            rows = self.hidden.take(place, axis=0)
+            layers, own = [w["lc"], w["lm"][c]], [c, (member, column)]
+            if c == CLASSES - 1:
+                layers, own = [*layers, starts], [*own, (self.begin[i:j], column)]
+            e = room[: len(layers) * MEMBERS * (j - i)].reshape(len(layers), MEMBERS, j - i)
+            for logits, layer in zip(e, layers):
+                np.matmul(layer.T, rows.T, out=logits)
+            if c == CLASSES - 1:
+                e[2] += w["bs"].T.take(member, axis=1)
+            if far[c]:
+                np.clip(e, -60, 60, out=e)  # so that nothing overflows or vanishes
+            np.exp(e, out=e)
+            yield c, place, rows, layers, own, e, e.sum(1)
 
     def log_probabilities(self) -> np.ndarray:
         """log p(token | neighbours) for each token, 0 for pads, in their order."""
-        row = np.arange(len(self.order))
-        share = self.classes[row, self.class_].astype(np.float64) * self.members[row, self.member]
-        found = np.where(self.real, np.log(share / (self.class_sums.astype(np.float64) * self.member_sums)), 0.0)
-        found[self.rare] += np.log(self.starts[np.arange(len(self.begin)), self.begin].astype(np.float64) / self.start_sums)
-        out = np.empty(len(self.order))
-        out[self.order] = found
+        out = np.zeros(self.n)
+        for _, place, _, _, own, e, sums in self.softmaxes():
+            share = np.ones(len(place))
+            for part, at, total in zip(e, own, sums):
+                share *= part[at]
+                share /= total
+            out[place] = np.log(share)
         return out
 
     def gradient(self, into: dict[str, np.ndarray]) -> None:
-        """Add the gradient of the summed loss; the exponentials are used up."""
-        w, row = self.w, np.arange(len(self.order))
-        back_c, back_m = self.classes, self.members
-        back_c /= self.class_sums[:, None]
-        back_m /= self.member_sums[:, None]
-        back_c[row, self.class_] -= 1
-        back_m[row, self.member] -= 1
-        back_c[~self.real] = 0
-        back_m[~self.real] = 0
-        into["wc"] += self.sorted.T @ back_c
-        into["bc"] += back_c.sum(0)
-        back = back_c @ w["wc"].T
-        for c, i, j in self.runs:
-            into["wm"][c] += self.sorted[i:j].T @ back_m[i:j]
-            into["bm"][c] += back_m[i:j].sum(0)
-            back[i:j] += back_m[i:j] @ w["wm"][c].T
-        back_s, ending = self.starts, self.member[self.rare]
-        back_s /= self.start_sums[:, None]
-        back_s[np.arange(len(self.begin)), self.begin] -= 1
-        into["ws"] += self.sorted[self.rare].T @ back_s
-        into["bs"] += (ending == np.arange(RARE)[:, None]).astype(back_s.dtype) @ back_s
-        back[self.rare] += back_s @ w["ws"].T
-        inner = np.empty_like(back)
-        inner[self.order] = back
-        inner *= 1 - self.hidden * self.hidden
-        into["w1"] += self.x.T @ inner
-        into["b1"] += inner.sum(0)
+        """Add the gradient of the summed loss; the hidden layer is used up."""
+        for c, place, rows, layers, own, e, sums in self.softmaxes():
+            e *= 1 / sums[:, None]
+            for part, at in zip(e, own):
+                part[at] -= 1
+            into["lc"] += (e[0] @ rows).T
+            into["lm"][c] += (e[1] @ rows).T
+            back = e[0].T @ layers[0].T
+            back += e[1].T @ layers[1].T
+            if c == CLASSES - 1:
+                into["ws"] += (e[2] @ rows)[:, :HIDDEN].T
+                member = own[1][0]
+                first = np.flatnonzero(np.diff(member, prepend=-1))
+                into["bs"][member[first]] += np.add.reduceat(e[2], first, axis=1).T
+                back += e[2].T @ layers[2].T
+            rows *= rows
+            back *= np.subtract(1, rows, out=rows)
+            self.hidden[place] = back
+        inner, self.hidden = self.hidden[:, :HIDDEN], None
+        inner[self.pads] = 0
         # Token j is neighbour d of token j - d: one vector for each token gathers what all its roles send back.
-        n = self.b - self.a
-        to_token = np.zeros((n + 2 * SIDE, WIDTH), back.dtype)
-        for k, d in enumerate(SHIFTS):
-            to_token[SIDE + d : SIDE + d + n] += inner @ w["w1"][k * WIDTH : (k + 1) * WIDTH].T
-        for i in range(WIDTH):
-            into["table"][:, i] += np.bincount(self.outputs, to_token[:, i], PAD + 1)
-            into["starts"][:, i] += np.bincount(self.begins, to_token[:, i], STARTS + 1)
+        to_token = np.zeros((WIDTH, self.n + 2 * SIDE), inner.dtype)
+        for i in range(0, self.n, BLOCK):
+            part = inner[i : i + BLOCK]
+            j = i + len(part)
+            into["l1"] += self.inputs(i, j) @ part
+            x = self.w["w1"] @ part.T
+            for k, d in enumerate(SHIFTS):
+                to_token[:, SIDE + d + i : SIDE + d + j] += x[k * WIDTH : (k + 1) * WIDTH]
+        for i, row in enumerate(to_token):
+            g = np.bincount(self.near, row, COMPOSED + RARE * STARTS)
+            parts = g[COMPOSED:].reshape(RARE, STARTS)
+            into["table"][:, i] += g[:COMPOSED]
+            into["table"][FREQUENT:PAD, i] += parts.sum(1)
+            into["starts"][:STARTS, i] += parts.sum(0)
+            into["starts"][STARTS, i] += g[:COMPOSED].sum()
 
 
 def batches_of(seq: np.ndarray) -> Iterator[tuple[int, int]]:

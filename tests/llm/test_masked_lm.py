@@ -1,6 +1,7 @@
 """Masked pseudo-likelihood: gradient, a plain score, independence of partitions, odd rows."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -38,6 +39,61 @@ def test_gradient():
             assert math.isclose((loss(up) - loss(down)) / 2e-5, g[i], rel_tol=1e-3, abs_tol=1e-6)
 
 
+def random_pass(scale, lengths):
+    """Weights, a padded sequence with words put together, and the ids and offsets it was made of."""
+    rng = np.random.default_rng(1)
+    parts = rng.integers(1, 100, masked_lm.RARE * masked_lm.STARTS)
+    flat = masked_lm.start_weights(rng.integers(1, 100, masked_lm.PAD), parts).astype(np.float64)
+    flat = flat * scale + rng.standard_normal(len(flat)) * 0.05
+    at = np.cumsum([0, *lengths])
+    ids = rng.integers(0, masked_lm.FREQUENT, at[-1])
+    ids[::2] = masked_lm.COMPOSED + rng.integers(0, len(parts), len(ids[::2]))
+    return flat, masked_lm.padded(ids, at)[0], ids, at
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_blocks_dont_change_a_pass(monkeypatch, scale):
+    """Also where logits lie beyond 60."""
+    flat, seq, ids, at = random_pass(scale, [0, 1, 60, 0, 239])
+    w, most = masked_lm.views(flat), 0
+    outputs, begins = masked_lm.composed(seq)
+    want = []
+    for i in range(masked_lm.SIDE, len(seq) - masked_lm.SIDE):
+        if seq[i] == masked_lm.PAD:
+            want.append(0.0)
+            continue
+        h = np.tanh(np.concatenate([w["table"][outputs[i + d]] + w["starts"][begins[i + d]] for d in masked_lm.SHIFTS]) @ w["w1"] + w["b1"])
+        c, m = divmod(outputs[i], masked_lm.MEMBERS)
+        levels = [(h @ w["wc"] + w["bc"], c), (h @ w["wm"][c] + w["bm"][c], m)]
+        if begins[i] < masked_lm.STARTS:
+            levels.append((h @ w["ws"] + w["bs"][m], begins[i]))
+        most = max(most, max(np.abs(logits).max() for logits, _ in levels))
+        levels = [(np.clip(logits, -60, 60), j) for logits, j in levels]
+        want.append(sum(logits[j] - math.log(np.exp(logits).sum()) for logits, j in levels))
+    assert (most > 60) == (scale > 1)
+    sums = []
+    for block in (1, 7, 448):
+        monkeypatch.setattr(masked_lm, "BLOCK", block)
+        got = np.concatenate([masked_lm.Pass(w, seq, a, b).log_probabilities() for a, b in masked_lm.batches_of(seq)])
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)
+        sums.append(np.zeros(masked_lm.SIZE))
+        masked_lm.summed_gradient(w, ids, at, sums[-1])
+        np.testing.assert_allclose(sums[-1], sums[0], rtol=1e-9, atol=1e-9)
+
+
+def test_a_pass_holds_nothing_as_wide_as_a_softmax():
+    """Rows of a softmax exist for a block of tokens, which stays in cache; all that a pass holds for each token is less than two of them."""
+    n = 50_000
+    flat, seq, _, _ = random_pass(1, [n])
+    w, into = masked_lm.views(flat.astype(np.float32)), masked_lm.views(np.zeros(masked_lm.SIZE, np.float32))
+    for use in (lambda p: p.log_probabilities(), lambda p: p.gradient(into)):
+        tracemalloc.start()
+        use(masked_lm.Pass(w, seq, masked_lm.SIDE, len(seq) - masked_lm.SIDE))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < n * 4 * 2 * masked_lm.MEMBERS
+
+
 def plain_scores(texts, known, counts, flat):
     """Log-likelihoods by loops, from the words themselves."""
     from tallyloom.llm.arrays import hash_runs, signed
